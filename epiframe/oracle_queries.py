@@ -110,8 +110,10 @@ def _masked_full() -> str:
 def _eval_model_sql() -> str:
     base = _model_score_sql("base")
     # wrap: model scores as a CTE, then the per-sample metrics
-    head, _, tail = base.partition("\nselect ex.doc_id")
-    scored = "scored_m as materialized (select ex.doc_id" + tail + ")"
+    head, _, _ = base.partition("\nselect ex.doc_id")
+    scored = ("scored_m as materialized (select ex.doc_id, ex.pos, ex.sample_id, ex.label, "
+              "round(coalesce(sc.score, 0), 9) score from ex left join sc "
+              "on ex.doc_id = sc.doc_id and ex.pos = sc.pos)")
     return head + ",\n" + scored + ",\n" + _metrics_sql("scored_m", "sample_id").strip()
 
 
@@ -191,7 +193,6 @@ from slots join r on slots.l_returnflag = r.l_returnflag and r.rn = slots.s % sl
               from seq)""", "seq"),
     "log_loss": W("""select round(avg(greatest(score, 0) - score * label + ln(1 + exp(-abs(score)))), 6)
         log_loss from scored""", "scored"),
-    "eval_by_sample": _with(("scored",), _metrics_sql("scored", "sample_id").strip()),
     "activations": W("""select doc_id, pos, round(greatest(score - 15.0, 0), 6) relu,
         round(1 / (1 + exp(-(score - 15.0))), 6) sigmoid from scored""", "scored"),
     "linear": W(f"""select doc_id, pos, round(sum(greatest(abundance * {R('A1', '0', 'j')}
@@ -235,3 +236,5 @@ from slots join r on slots.l_returnflag = r.l_returnflag and r.rn = slots.s % sl
 _ctes, _sel = _metrics_sql("scored", None).strip().split("\nselect ", 1)
 ORACLE["roc_auc"] = _with(("scored",), _ctes, "m as (select " + _sel + ")", "select roc_auc from m")
 ORACLE["pr_auc"] = _with(("scored",), _ctes, "m as (select " + _sel + ")", "select pr_auc from m")
+_ctes_s, _sel_s = _metrics_sql("scored", "sample_id").strip().split("\nselect ", 1)
+ORACLE["eval_by_sample"] = _with(("scored",), _ctes_s, "select " + _sel_s)

@@ -40,7 +40,7 @@ def arr_str(c: Column | str) -> Column:
 
 def r6(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
+    return F.round(c.cast("double"), 6) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
 
 
 def _codes(spark, sf):
@@ -247,10 +247,13 @@ def q_masked_score_flank(spark, sf):
 
 
 def q_eval_model(spark, sf):
-    """Score every example with the model and evaluate per held-out sample."""
+    """Score every example with the model and evaluate per sample.
+
+    Scores are compared at 1e-9: float sums in another order would otherwise
+    split exact ties and move the tie-sensitive areas."""
     cfg = scoring.ScorerConfig("base")
     sc = scoring.score_examples(_examples(spark, sf), scoring.rule_weights(cfg), cfg)
-    out = metrics.evaluate_by_sample(sc)
+    out = metrics.evaluate_by_sample(sc.withColumn("score", F.round("score", 9)))
     return out.select("sample_id", "n_pos", "n_neg", r6("roc_auc").alias("roc_auc"),
                       r6("pr_auc").alias("pr_auc"), r6("log_loss").alias("log_loss"))
 

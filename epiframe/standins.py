@@ -63,8 +63,11 @@ def _fix_letters(c):
 def seq_flank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEQ plus ``flank``: the last 5 letters of the previous word and the first
     5 of the next, Z-padded, letters outside the alphabet written as Z."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    ws = F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "n_chars", F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0).alias("ws"))
+    # The word array is a column of its own, so the neighbour look-ups index it
+    # instead of re-running the regex per element.
+    ws = F.col("ws")
     triples = F.transform(ws, lambda x, i: F.struct(
         F.get(ws, i - 1).alias("prev"), x.alias("w"), F.get(ws, i + 1).alias("nxt")))
     words = docs.select("doc_id", "n_chars", F.posexplode(triples).alias("pos", "t"))
