@@ -13,8 +13,9 @@ the metrics (the reference does the same). The flank branch one-hot encodes the
 flank codes (the reference one-hot encodes the peptide one-hot there, which
 looks like a slip; see README).
 
-Dense math runs in NumPy on Arrow batches (``mapInPandas``); weights travel in
-the task closure (their size is fixed by the model, not by the data).
+Dense math runs in NumPy on Arrow record batches (``mapInArrow``: the vector
+column is reshaped from the flat list buffer, no per-row Python); weights travel
+in the task closure (their size is fixed by the model, not by the data).
 """
 
 from __future__ import annotations
@@ -151,15 +152,14 @@ def dropout_mask(row_hash: np.ndarray, units: int, step: int, keep_prob: float)
     return (u < keep_prob) / keep_prob
 
 
-def _one_hot_sum(W: np.ndarray, codes: np.ndarray, depth: int) -> np.ndarray:
-    """codes (N, L) -> one_hot(codes, depth).reshape(N, L*depth) @ W, by gathering
-    rows of W; an out-of-range code contributes nothing."""
+def _one_hot_dense(codes: np.ndarray, depth: int) -> np.ndarray:
+    """codes (N, L) -> one_hot(codes, depth) flattened to (N, L*depth); an
+    out-of-range code gives a zero row. Used as a BLAS operand both ways."""
     n, length = codes.shape
-    out = np.zeros((n, W.shape[1]))
-    for p in range(length):
-        c = codes[:, p]
-        ok = (c >= 0) & (c < depth)
-        out[ok] += W[p * depth + c[ok]]
+    out = np.zeros((n, length * depth))
+    ok = (codes >= 0) & (codes < depth)
+    rows, pos = np.nonzero(ok)
+    out[rows, pos * depth + codes[rows, pos]] = 1.0
     return out
 
 
@@ -191,22 +191,24 @@ def forward(w: Weights, vecs: np.ndarray, cfg: ScorerConfig, mask: np.ndarray |
     """Score a batch; returns (score, cache for backward)."""
     W = w.arrays
     pep, al, ab, fl = split_vectors(vecs, cfg)
-    pre = _one_hot_sum(W["W1"], pep, cfg.depth) + W["b1"]
+    X1 = _one_hot_dense(pep, cfg.depth)
+    pre = X1 @ W["W1"] + W["b1"]
     h = np.maximum(pre, 0.0)
     if mask is not None:
         h = h * mask
     z = h @ W["W2"] + W["b2"]
-    cache = {"pep": pep, "pre": pre, "h": h, "mask": mask}
+    cache = {"X1": X1, "pre": pre, "h": h, "mask": mask}
     if ab is not None:
         apre = ab @ W["A1"] + W["a1"]
         ah = np.maximum(apre, 0.0)
         z = z + (ah @ W["A2"] + W["a2"])
         cache.update(ab=ab, apre=apre, ah=ah)
     if fl is not None:
-        fpre = _one_hot_sum(W["F1"], fl, cfg.depth) + W["f1"]
+        XF = _one_hot_dense(fl, cfg.depth)
+        fpre = XF @ W["F1"] + W["f1"]
         fh = np.maximum(fpre, 0.0)
         z = z + (fh @ W["F2"] + W["f2"])
-        cache.update(fl=fl, fpre=fpre, fh=fh)
+        cache.update(XF=XF, fpre=fpre, fh=fh)
     cnt = _counts(al, cfg.categories)
     sz = _sigmoid(z)
     score = (sz * cnt).sum(axis=1)
@@ -229,13 +231,7 @@ def backward(w: Weights, cache: dict, y: np.ndarray, s: np.ndarray, cfg: ScorerC
         dh = dh * cache["mask"]
     dpre = dh * (cache["pre"] > 0)
     g["b1"] = dpre.sum(axis=0)
-    gW1 = np.zeros_like(W["W1"])
-    pep = cache["pep"]
-    for p in range(pep.shape[1]):
-        c = pep[:, p]
-        ok = (c >= 0) & (c < cfg.depth)
-        np.add.at(gW1, p * cfg.depth + c[ok], dpre[ok])
-    g["W1"] = gW1
+    g["W1"] = cache["X1"].T @ dpre
     dz_extra = G.sum(axis=1, keepdims=True)                 # (N, 1)
     if "ab" in cache:
         g["A2"] = cache["ah"].T @ dz_extra
@@ -243,17 +239,11 @@ def backward(w: Weights, cache: dict, y: np.ndarray, s: np.ndarray, cfg: ScorerC
         dapre = (dz_extra @ W["A2"].T) * (cache["apre"] > 0)
         g["A1"] = cache["ab"].T @ dapre
         g["a1"] = dapre.sum(axis=0)
-    if "fl" in cache:
+    if "XF" in cache:
         g["F2"] = cache["fh"].T @ dz_extra
         g["f2"] = dz_extra.sum(axis=0)
         dfpre = (dz_extra @ W["F2"].T) * (cache["fpre"] > 0)
-        gF1 = np.zeros_like(W["F1"])
-        fl = cache["fl"]
-        for p in range(fl.shape[1]):
-            c = fl[:, p]
-            ok = (c >= 0) & (c < cfg.depth)
-            np.add.at(gF1, p * cfg.depth + c[ok], dfpre[ok])
-        g["F1"] = gF1
+        g["F1"] = cache["XF"].T @ dfpre
         g["f1"] = dfpre.sum(axis=0)
     return g
 
@@ -263,30 +253,56 @@ def _vectors(pdf: pd.DataFrame, col: str) -> np.ndarray:
         if len(pdf) else np.zeros((0, 0))
 
 
+def _arrow_vectors(batch, col: str) -> np.ndarray:
+    """Fixed-width list column of an Arrow batch -> (N, width) float64, without
+    a Python loop over rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    arr = batch.column(col)
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, 0))
+    if arr.null_count:
+        raise ValueError(f"NULL example vector in column {col!r}")
+    sizes = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
+    if (sizes != sizes[0]).any():
+        raise ValueError("example vectors of different widths in one batch")
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(n, int(sizes[0]))
+
+
 # ------------------------------------------------------------- Spark operators
 
 def score_examples(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = None,
-                   vec: str = "vec", out: str = "score") -> DataFrame:
+                   vec: str = "vec", out: str = "score", rebalance: bool = True) -> DataFrame:
     """Add ``score`` (M6) to every example row; all other columns pass through.
 
-    One ``mapInPandas`` over Arrow batches; no shuffle, the input partitioning is
-    kept.
+    One ``mapInArrow`` over Arrow batches. The model math is the costly step, and
+    rows made by exploding texts are spread very unevenly over the input splits,
+    so by default the (narrow) example rows are rebalanced first: AQE cuts them
+    into even partitions of the advisory size.
     """
     cfg = cfg or ScorerConfig()
     w = weights
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            X = _vectors(pdf, vec)
+            X = _arrow_vectors(rb, vec)
             if X.shape[1] != cfg.width:
                 raise ValueError(f"example width {X.shape[1]} != {cfg.width}")
             s, _ = forward(w, X, cfg)
-            yield pdf.assign(**{out: s})
+            yield rb.append_column(out, pa.array(s, type=pa.float64()))
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())])
-    return df.mapInPandas(run, schema)
+    src = df.hint("rebalance") if rebalance else df
+    return src.mapInArrow(run, schema)
 
 
 def linear_layer(df: DataFrame, in_col: str, W: np.ndarray, b: np.ndarray,
@@ -299,7 +315,7 @@ def linear_layer(df: DataFrame, in_col: str, W: np.ndarray, b: np.ndarray,
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = _vectors(pdf, in_col)
+            X = _vectors(pdf, in_col)  # small vectors (M1 inputs)
             Y = X @ W + b
             if activation == "relu":
                 Y = np.maximum(Y, 0.0)
@@ -326,31 +342,35 @@ def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = No
     w = weights
     names = sorted(w.arrays)
 
+    cols = [vec, label] + ([key_hash] if key_hash else [])
+
     def run(batches):
         total = None
         loss, rows = 0.0, 0
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            X = _vectors(pdf, vec)
-            y = pdf[label].to_numpy(dtype=np.float64)
+            X = _arrow_vectors(rb, vec)
+            y = rb.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
             mask = None
             if step is not None:
-                mask = dropout_mask(pdf[key_hash].to_numpy().astype(np.int64).view(np.uint64),
-                                    cfg.hidden, step, cfg.keep_prob)
+                kh = rb.column(key_hash).to_numpy(zero_copy_only=False).astype(np.int64)
+                mask = dropout_mask(kh.view(np.uint64), cfg.hidden, step, cfg.keep_prob)
             s, cache = forward(w, X, cfg, mask)
             g = backward(w, cache, y, s, cfg)
             v = np.concatenate([g[k].ravel() for k in names])
             total = v if total is None else total + v
             loss += float(log_loss_terms(y, s).sum())
-            rows += len(pdf)
+            rows += rb.num_rows
         if total is None:
             return
+        import pyarrow as pa
+
         idx = np.arange(-2, total.size, dtype=np.int64)
         vals = np.concatenate([[rows, loss], total])
-        yield pd.DataFrame({"idx": idx, "g": vals})
+        yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(vals)], names=["idx", "g"])
 
-    parts = df.mapInPandas(run, "idx long, g double")
+    parts = df.select(*cols).mapInArrow(run, "idx long, g double")
     return parts.groupBy("idx").agg(F.sum("g").alias("g"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,5 +26,8 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     touched. Above the bound the planner (with AQE) chooses the join.
     """
     bound = max_broadcast_rows(df) if max_rows is None else max_rows
+    # Kept after the count so the join does not derive the dimension again; a
+    # lost block is rebuilt from the (deterministic) plan.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     return F.broadcast(df) if n <= bound else df
