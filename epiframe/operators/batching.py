@@ -39,7 +39,7 @@ def hash_order_index(df: DataFrame, label: str, keys: Sequence[str], seed: int,
 
 
 def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class: int,
-                     seed: int = 0) -> DataFrame:
+                     seed: int = 0, checkpoint_input: bool = False) -> DataFrame:
     """Batches holding exactly ``n_per_class`` rows of every class.
 
     The number of batches is ``ceil(largest class / n)``. Slot ``s`` of a class
@@ -87,14 +87,21 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
 
 def sequential_batches(df: DataFrame, batch_rows: int, order: Sequence[str],
                        split_col: str, lead: Sequence[str] = (), by: Sequence[str] = (),
-                       n_buckets: int | None = None) -> DataFrame:
+                       n_buckets: int | None = None, checkpoint_input: bool = False) -> DataFrame:
     """Unshuffled batches of ``batch_rows`` rows in the order (``lead``, ``order``).
 
     ``lead`` are leading sort columns of low cardinality (the class, as in
     "negatives file, then positives file"); ``order`` the rest of the sort key,
     whose first column ``split_col`` is numeric and is cut at its quantiles.
     Adds ``rn`` (1-based within ``by``) and ``batch``.
+
+    The input is read three times (quantiles, bucket totals, numbering);
+    ``checkpoint_input`` writes it once to the checkpoint folder first, for
+    inputs that are expensive to derive.
     """
+    if checkpoint_input:
+        checkpoint_root(df.sparkSession)
+        df = df.checkpoint(eager=True)
     n = n_buckets or default_buckets(df)
     staged = quantile_bucket(df, split_col, n, out="_bkt")
     from epiframe.plans.ordering import running_totals

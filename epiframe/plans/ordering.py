@@ -64,15 +64,6 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bkt")
     return b.transform(src).withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def _offsets(df: DataFrame, by: Sequence[str], buckets: Sequence[str],
-             values: dict[str, Column], descending: bool) -> DataFrame:
-    totals = df.groupBy(*by, *buckets).agg(*[F.sum(v).alias(k) for k, v in values.items()])
-    order = [F.col(b).desc() if descending else F.col(b).asc() for b in buckets]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*by, *buckets, *[
-        F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_off_{k}") for k in values])
-
-
 def running_totals(df: DataFrame, by: Sequence[str], bucket: str | Sequence[str],
                    order: Sequence[Column], values: dict[str, Column],
                    descending: bool = False, bucket_bound: bool = True) -> DataFrame:
@@ -80,23 +71,32 @@ def running_totals(df: DataFrame, by: Sequence[str], bucket: str | Sequence[str]
     ``by``. The bucket columns, compared in their listed order, must be
     non-decreasing along ``order`` (non-increasing when ``descending``).
 
-    ``bucket_bound`` says the distinct bucket values are bounded (a bucket count
-    times a few leading values); with no ``by`` the offsets table is then
-    broadcast. Otherwise it is joined on (by, bucket), the same keys the final
-    window partitions on, so the exchange is shared.
+    Plan: one exchange on (by, bucket) feeds a local window. Bucket totals
+    (groups x buckets rows, after map-side partial aggregation) become offsets
+    through a small window; with no ``by`` and ``bucket_bound`` they are
+    broadcast back, otherwise joined on (by, bucket), the keys the local window
+    is already partitioned on. The totals pass reads the input a second time
+    with only the key columns (column pruning), which is cheap for stored
+    tables; checkpoint an expensive derived input first (see the
+    ``checkpoint_input`` options of the batching operators).
     """
     by = list(by)
     buckets = [bucket] if isinstance(bucket, str) else list(bucket)
+    keys = [*by, *buckets]
     staged = df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()])
-    off = _offsets(staged, by, buckets, {k: F.col(f"_v_{k}") for k in values}, descending)
+    w_local = (Window.partitionBy(*keys).orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = staged.select("*", *[F.sum(f"_v_{k}").over(w_local).alias(f"_l_{k}") for k in values])
+    totals = local.groupBy(*keys).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    b_order = [F.col(b).desc() if descending else F.col(b).asc() for b in buckets]
+    w_off = Window.partitionBy(*by).orderBy(*b_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, *[
+        F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_off_{k}") for k in values])
     if not by and bucket_bound:
-        off = F.broadcast(off)
-    joined = staged.join(off, [*by, *buckets])
-    w = (Window.partitionBy(*by, *buckets).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = joined.select("*", *[
-        (F.sum(f"_v_{k}").over(w) + F.col(f"_off_{k}")).alias(k) for k in values])
-    drop = [f"_v_{k}" for k in values] + [f"_off_{k}" for k in values] + \
+        offsets = F.broadcast(offsets)
+    joined = local.join(offsets, keys)
+    out = joined.select("*", *[(F.col(f"_l_{k}") + F.col(f"_off_{k}")).alias(k) for k in values])
+    drop = [f"_{p}_{k}" for k in values for p in ("v", "l", "off")] + \
         [b for b in buckets if b.startswith("_")]
     return out.drop(*drop)
 

@@ -180,9 +180,10 @@ def q_balanced_batches(spark, sf):
 
 
 def q_sequential_batches(spark, sf):
+    # SEQ is derived from whole texts: written once, then read by the three passes
     out = batching.sequential_batches(S.seq_table(spark, sf), SEQUENTIAL_ROWS,
                                       order=["doc_id", "pos"], split_col="doc_id",
-                                      lead=["label"], by=["sample_id"])
+                                      lead=["label"], by=["sample_id"], checkpoint_input=True)
     return out.select("sample_id", "doc_id", "pos", "label", "rn", "batch")
 
 
