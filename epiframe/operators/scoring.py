@@ -377,16 +377,14 @@ def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = No
 def collect_gradient(sums: DataFrame, weights: Weights) -> tuple[Weights, float, int]:
     """Bring the (model-sized) summed gradient to the driver."""
     n = weights.flat().size
+    pdf = sums.toPandas()          # Arrow transfer of one model-sized vector
+    idx = pdf["idx"].to_numpy()
+    g = pdf["g"].to_numpy(dtype=np.float64)
     v = np.zeros(n)
-    loss, rows = 0.0, 0
-    for r in sums.collect():
-        i = r["idx"]
-        if i == -2:
-            rows = int(round(r["g"]))
-        elif i == -1:
-            loss = r["g"]
-        else:
-            v[i] = r["g"]
+    body = idx >= 0
+    v[idx[body]] = g[body]
+    rows = int(round(g[idx == -2].sum())) if (idx == -2).any() else 0
+    loss = float(g[idx == -1].sum()) if (idx == -1).any() else 0.0
     return weights.unflat(v), loss, rows
 
 
@@ -412,11 +410,17 @@ def adam_update(w: Weights, g: Weights, state: AdamState, lr: float = 1e-3,
 def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
                lr: float = 1e-2, seed: int = 0, vec: str = "vec", label: str = "label",
                keys: Sequence[str] = (), dropout: bool = True,
-               init: Weights | None = None) -> tuple[Weights, list[tuple[int, float, int]]]:
+               init: Weights | None = None,
+               batch_col: str | None = None) -> tuple[Weights, list[tuple[int, float, int]]]:
     """Synchronous data-parallel Adam (M7): each step is one Spark job computing
-    the mean gradient of the log loss over ``df`` (use
-    :func:`epiframe.operators.batching.balanced_batches` to pass a balanced
-    batch). Returns the weights and (step, mean loss, rows) per step.
+    the mean gradient of the log loss, then one Adam update on the driver.
+
+    Without ``batch_col`` every step uses all of ``df`` (full-batch). With it
+    (for example the ``batch`` column of
+    :func:`epiframe.operators.batching.balanced_batches`, n rows of each class
+    per batch), step ``t`` uses batch ``t mod n_batches``, as the reference's
+    trainer draws one balanced batch per step. Returns the weights and
+    (step, mean loss, rows) per step.
     """
     cfg = cfg or ScorerConfig()
     w = init.copy() if init is not None else random_weights(cfg, seed)
@@ -426,9 +430,19 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
     if dropout and keys:
         data = df.withColumn("_kh", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
         key_hash = "_kh"
+    n_batches = None
+    if batch_col is not None:
+        # The batch table is written once (shared checkpoint folder) so a step
+        # reads it instead of re-deriving the batches.
+        from epiframe.session import checkpoint_root
+
+        checkpoint_root(df.sparkSession)
+        data = data.checkpoint(eager=True)
+        n_batches = int(data.agg(F.max(batch_col)).first()[0]) + 1
     history = []
     for step in range(steps):
-        sums = gradient_sums(data, w, cfg, vec, label,
+        part = data if n_batches is None else data.filter(F.col(batch_col) == step % n_batches)
+        sums = gradient_sums(part, w, cfg, vec, label,
                              step=step if key_hash else None, key_hash=key_hash)
         g, loss, rows = collect_gradient(sums, w)
         if rows == 0:

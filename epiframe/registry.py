@@ -278,9 +278,13 @@ def q_gradient_sums(spark, sf):
 
 
 def q_fit_scorer(spark, sf):
+    """Three Adam steps, each on one balanced batch (n examples of each class)."""
     cfg = scoring.ScorerConfig("base")
     ex = _examples(spark, sf)
-    _, hist = scoring.fit_scorer(ex, cfg, steps=3, lr=1e-2, seed=SEED, keys=["doc_id", "pos"])
+    batches = batching.balanced_batches(ex, "label", ["doc_id", "pos"], BATCH_PER_CLASS,
+                                        seed=SEED, checkpoint_input=True)
+    _, hist = scoring.fit_scorer(batches, cfg, steps=3, lr=1e-2, seed=SEED,
+                                 keys=["doc_id", "pos", "slot"], batch_col="batch")
     return spark.createDataFrame(hist, "step int, loss double, rows long")
 
 

@@ -79,3 +79,16 @@ def test_fit_reduces_loss(spark):
                                "id int, vec array<double>, label int")
     _, hist = scoring.fit_scorer(df, cfg, steps=25, lr=0.05, seed=0, keys=["id"], dropout=False)
     assert hist[-1][1] < hist[0][1]
+
+
+def test_fit_on_balanced_batches(spark):
+    from epiframe.operators.batching import balanced_batches
+
+    cfg = scoring.ScorerConfig("base", hidden=16, categories=30)
+    X, _ = _batch(cfg, n=400, seed=6)
+    y = (X[:, 0] > cfg.depth / 2).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(y[i])) for i in range(len(X))],
+                               "id int, vec array<double>, label int")
+    b = balanced_batches(df, "label", ["id"], 50, seed=1)
+    _, hist = scoring.fit_scorer(b, cfg, steps=4, lr=0.05, keys=["id", "slot"], batch_col="batch")
+    assert [h[2] for h in hist] == [100, 100, 100, 100]
