@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.functions.alphabet import PEPTIDE_WIDTH
-from epiframe.functions.encode import assemble, encode_letters, peptide_vector
+from epiframe.functions.encode import assemble, encode_letters, pad_middle, peptide_vector
 from epiframe.operators.lookup import attach_sample_codes
 
 # Fixed layout widths: peptide, sample codes, abundance, flank.
@@ -46,3 +46,43 @@ def encode_examples(seqs: DataFrame, sample_codes: DataFrame, variant: str = "ba
         parts.append(encode_flank(F.col(flank_col), strict=strict))
     vec = assemble(parts, width=width, as_double=as_double, strict=strict)
     return df.withColumn("vec", vec).drop("codes")
+
+
+def encode_examples_checked(seqs: DataFrame, sample_codes: DataFrame, variant: str = "base",
+                            seq_col: str = "seq", key: str = "sample_id",
+                            abundance_col: str = "abundance",
+                            flank_col: str = "flank") -> tuple[DataFrame, DataFrame]:
+    """Reject mode of :func:`encode_examples`: (good rows with ``vec``, rejected
+    rows with ``reason``) instead of failing the job.
+
+    Reasons, first match wins: ``unknown_sample`` (no allele codes),
+    ``unknown_letter`` (a letter outside the alphabet), ``bad_width`` (a
+    sequence longer than 11 or a flank of the wrong length). Both outputs come
+    from one lazy plan; persist it or write both when the input is costly.
+    """
+    from epiframe.plans.joins import sized_broadcast
+
+    width = VARIANT_WIDTH[variant]
+    dim = sized_broadcast(sample_codes.select(key, "codes"))
+    df = seqs.join(dim, key, "left")
+    letters = encode_letters(F.col(seq_col), strict=False)
+    parts = [F.col("_pep"), F.col("codes")]
+    as_double = variant != "base"
+    if variant in ("abundance", "flank"):
+        parts.append(F.array(F.col(abundance_col).cast("double")))
+    if variant == "flank":
+        parts.append(encode_letters(F.col(flank_col), strict=False))
+    staged = df.withColumn("_pep", pad_middle(letters, PEPTIDE_WIDTH))
+    vec = assemble(parts, as_double=as_double)
+    unknown_letter = F.exists(F.col("_pep"), lambda x: x.isNull())
+    if variant == "flank":
+        unknown_letter = unknown_letter | F.exists(
+            encode_letters(F.col(flank_col), strict=False), lambda x: x.isNull())
+    reason = (F.when(F.col("codes").isNull(), F.lit("unknown_sample"))
+              .when(unknown_letter, F.lit("unknown_letter"))
+              .when(F.size(vec) != F.lit(width), F.lit("bad_width")))
+    checked = staged.withColumn("reason", reason)
+    good = (checked.filter(F.col("reason").isNull())
+            .withColumn("vec", vec).drop("codes", "_pep", "reason"))
+    rejects = checked.filter(F.col("reason").isNotNull()).drop("codes", "_pep")
+    return good, rejects

@@ -156,6 +156,16 @@ from (select d.doc_id, unnest(regexp_extract_all(d.text, '[A-Za-z]+')) w,
       from documents d where d.doc_id in (select doc_id from labels))
 where regexp_matches(upper(w), '^[A-Z]{8,11}$')
   and regexp_matches(upper(w), '[^ACDEFGHIKLMNOPQRSTUVWYZ]')
+""",
+    "encode_rejects": """
+select doc_id, pos, seq, case when regexp_matches(seq, '[^ACDEFGHIKLMNOPQRSTUVWYZ]') then 'unknown_letter'
+                              else 'bad_width' end reason
+from (select cast(doc_id as bigint) doc_id, cast(pos as integer) pos, upper(w) seq
+      from (select d.doc_id, unnest(regexp_extract_all(d.text, '[A-Za-z]+')) w,
+                   generate_subscripts(regexp_extract_all(d.text, '[A-Za-z]+'), 1) - 1 pos
+            from documents d where d.doc_id in (select doc_id from labels)))
+where regexp_matches(seq, '^[A-Z]{6,13}$')
+  and (regexp_matches(seq, '[^ACDEFGHIKLMNOPQRSTUVWYZ]') or length(seq) > 11)
 """,
     "unmatched_terms": W(f"select * from ({_UNPIVOT}) u where term not in (select term from voc)",
                          "voc", "slots"),

@@ -18,7 +18,7 @@ from epiframe.functions.activations import relu, sigmoid, sigmoid_log_loss
 from epiframe.functions.encode import (encode_letters, multi_hot, one_hot, pad_middle,
                                        peptide_vector, slice_features)
 from epiframe.operators import batching, metrics, sampling, scoring, split
-from epiframe.operators.examples import encode_examples
+from epiframe.operators.examples import encode_examples, encode_examples_checked
 from epiframe.operators.lookup import (attach_sample_codes, encode_slots, unmatched_terms,
                                        unpivot_slots)
 from epiframe.session import scratch_path
@@ -105,6 +105,14 @@ def q_unmatched_letters(spark, sf):
     return w.filter(F.exists(codes, lambda x: x.isNull())).select("doc_id", "pos", "seq")
 
 
+def q_encode_rejects(spark, sf):
+    """Reject mode over all words of 6..13 letters: why each rejected word fails."""
+    w = S.labelled_words(spark, sf, "^[A-Z]{6,13}$").withColumn(
+        "sample_id", (F.col("doc_id") % S.N_SEQ_SAMPLES).cast("bigint"))
+    _, rejects = encode_examples_checked(w, _codes(spark, sf), "base")
+    return rejects.select("doc_id", "pos", "seq", "reason")
+
+
 def q_unmatched_terms(spark, sf):
     long = unpivot_slots(S.slots_wide(spark, sf))
     return unmatched_terms(long, S.voc_table(spark, sf)).select("sample_id", "slot", "term")
@@ -413,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "attach_codes": q_attach_codes,
     "unmatched_letters": q_unmatched_letters,
     "unmatched_terms": q_unmatched_terms,
+    "encode_rejects": q_encode_rejects,
     "slice_features": q_slice_features,
     "clean_lines": q_clean_lines,
     "split_pos": q_split_pos,

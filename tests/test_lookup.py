@@ -54,3 +54,16 @@ def test_encode_examples_variants(spark):
     assert len(v17) == 17 and v17[11:] == [1, 2, 3, 4, 5, 6]
     assert len(v18) == 18 and v18[17] == 2.5
     assert len(v28) == 28 and v28[18:] == [float(x) for x in range(1, 11)]
+
+
+def test_reject_mode_reasons(spark):
+    from epiframe.operators.examples import encode_examples_checked
+
+    codes = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6])], "sample_id long, codes array<int>")
+    ex = spark.createDataFrame([("ACDEFGHI", 1), ("ACDXFGHI", 1), ("ACDEFGHIKLMN", 1),
+                                ("ACDEFGHI", 9)], "seq string, sample_id long")
+    good, bad = encode_examples_checked(ex, codes)
+    assert [len(r["vec"]) for r in good.collect()] == [17]
+    reasons = sorted((r["seq"], r["reason"]) for r in bad.collect())
+    assert reasons == [("ACDEFGHI", "unknown_sample"), ("ACDEFGHIKLMN", "bad_width"),
+                       ("ACDXFGHI", "unknown_letter")]
