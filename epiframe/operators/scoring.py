@@ -411,7 +411,8 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
                lr: float = 1e-2, seed: int = 0, vec: str = "vec", label: str = "label",
                keys: Sequence[str] = (), dropout: bool = True,
                init: Weights | None = None,
-               batch_col: str | None = None) -> tuple[Weights, list[tuple[int, float, int]]]:
+               batch_col: str | None = None, save_path: str | None = None,
+               save_every: int = 1) -> tuple[Weights, list[tuple[int, float, int]]]:
     """Synchronous data-parallel Adam (M7): each step is one Spark job computing
     the mean gradient of the log loss, then one Adam update on the driver.
 
@@ -421,10 +422,19 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
     per batch), step ``t`` uses batch ``t mod n_batches``, as the reference's
     trainer draws one balanced batch per step. Returns the weights and
     (step, mean loss, rows) per step.
+
+    With ``save_path`` (shared storage, e.g. below ``spark.checkpoint.dir``) the
+    weights and optimiser state are written every ``save_every`` steps, and a
+    later call with the same path resumes after the last saved step.
     """
     cfg = cfg or ScorerConfig()
     w = init.copy() if init is not None else random_weights(cfg, seed)
     state = AdamState(np.zeros_like(w.flat()), np.zeros_like(w.flat()))
+    first = 0
+    if save_path is not None:
+        saved = load_state(df.sparkSession, save_path, w)
+        if saved is not None:
+            w, state, first = saved
     data = df
     key_hash = None
     if dropout and keys:
@@ -440,7 +450,7 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
         data = data.checkpoint(eager=True)
         n_batches = int(data.agg(F.max(batch_col)).first()[0]) + 1
     history = []
-    for step in range(steps):
+    for step in range(first, steps):
         part = data if n_batches is None else data.filter(F.col(batch_col) == step % n_batches)
         sums = gradient_sums(part, w, cfg, vec, label,
                              step=step if key_hash else None, key_hash=key_hash)
@@ -450,4 +460,28 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
         g = g.unflat(g.flat() / rows)
         history.append((step, loss / rows, rows))
         w = adam_update(w, g, state, lr)
+        if save_path is not None and ((step + 1) % save_every == 0 or step + 1 == steps):
+            save_state(df.sparkSession, save_path, w, state, step + 1)
     return w, history
+
+
+def save_state(spark, path: str, w: Weights, state: AdamState, next_step: int) -> None:
+    """Weights + Adam moments as one small Parquet table (one row per tensor)."""
+    rows = [(k, list(map(int, a.shape)), a.ravel().tolist()) for k, a in w.arrays.items()]
+    rows += [("__m", [state.m.size], state.m.tolist()), ("__v", [state.v.size], state.v.tolist()),
+             ("__step", [2], [float(next_step), float(state.t)])]
+    df = spark.createDataFrame(rows, "name string, shape array<int>, value array<double>")
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_state(spark, path: str, like: Weights):
+    """(weights, state, next_step) saved by :func:`save_state`, or None."""
+    try:
+        rows = {r["name"]: r for r in spark.read.parquet(path).collect()}  # one row per tensor
+    except Exception:  # noqa: BLE001 - nothing saved yet
+        return None
+    arrays = {k: np.asarray(rows[k]["value"], dtype=np.float64).reshape(like.arrays[k].shape)
+              for k in like.arrays}
+    step, t = rows["__step"]["value"]
+    state = AdamState(np.asarray(rows["__m"]["value"]), np.asarray(rows["__v"]["value"]), int(t))
+    return Weights(arrays), state, int(step)

@@ -92,3 +92,16 @@ def test_fit_on_balanced_batches(spark):
     b = balanced_batches(df, "label", ["id"], 50, seed=1)
     _, hist = scoring.fit_scorer(b, cfg, steps=4, lr=0.05, keys=["id", "slot"], batch_col="batch")
     assert [h[2] for h in hist] == [100, 100, 100, 100]
+
+
+def test_fit_resumes_from_saved_state(spark, scratch):
+    cfg = scoring.ScorerConfig("base", hidden=8, categories=30)
+    X, y = _batch(cfg, n=120, seed=8)
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], int(y[i])) for i in range(len(X))],
+                               "id int, vec array<double>, label int")
+    full, hist_full = scoring.fit_scorer(df, cfg, steps=4, lr=0.05, dropout=False)
+    path = scratch("fit-state")
+    scoring.fit_scorer(df, cfg, steps=2, lr=0.05, dropout=False, save_path=path)
+    resumed, hist = scoring.fit_scorer(df, cfg, steps=4, lr=0.05, dropout=False, save_path=path)
+    assert [h[0] for h in hist] == [2, 3]
+    assert np.allclose(resumed.flat(), full.flat())
