@@ -33,7 +33,7 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus),
                           extra={"spark.driver.memory": "16g"})
     # warm-up (not timed): JVM code paths, Python workers, file listing
-    for warm in ("class_counts", "linear"):
+    for warm in ("class_counts", "linear", "assemble17"):
         QUERIES[warm](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:

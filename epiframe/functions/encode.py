@@ -36,14 +36,17 @@ def encode_letters(seq: Column | str, codes: dict[str, int] | None = None,
     """
     s = _col(seq)
     amap = alphabet_map(codes)
+    if strict:
+        # the check rides on the one transform: a letter without a code raises
+        def code(ch):
+            return F.coalesce(amap[ch], F.raise_error(
+                F.concat(F.lit("unknown residue letter in: "), s)).cast("int"))
+    else:
+        def code(ch):
+            return amap[ch]
     # split('', '') yields [''], so the empty string is handled on its own.
-    arr = F.when(s == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(s, ""), lambda ch: amap[ch]))
-    if not strict:
-        return arr
-    return F.when(F.exists(arr, lambda x: x.isNull()),
-                  F.raise_error(F.concat(F.lit("unknown residue letter in: "), s))
-                  ).otherwise(arr)
+    return F.when(s == "", F.array().cast("array<int>")).otherwise(
+        F.transform(F.split(s, ""), code))
 
 
 def pad_middle(codes: Column | str, maxlen: int = PEPTIDE_WIDTH) -> Column:
@@ -107,13 +110,32 @@ def slice_features(vec: Column | str, widths: Sequence[int],
     return out
 
 
-def one_hot(codes: Column | str, depth: int, flatten: bool = True) -> Column:
-    """Rows of 0/1 of length ``depth``; a code outside [0, depth) gives a zero row."""
+def one_hot(codes: Column | str, depth: int, flatten: bool = True,
+            width: int | None = None) -> Column:
+    """Rows of 0/1 of length ``depth``; a code outside [0, depth) gives a zero row.
+
+    With ``width`` (the usual array length, e.g. 11 for peptide vectors) and
+    ``flatten``, arrays of that length are built from per-position
+    ``array_repeat``/``concat`` expressions, which whole-stage codegen compiles;
+    arrays of any other length take the general higher-order-function form.
+    """
     c = _col(codes).cast("array<int>")
     rows = F.transform(c, lambda x: F.transform(
         F.sequence(F.lit(0), F.lit(depth - 1)),
         lambda d: F.when(x == d, F.lit(1)).otherwise(F.lit(0))))
-    return F.flatten(rows) if flatten else rows
+    if not flatten:
+        return rows
+    general = F.flatten(rows)
+    if width is None:
+        return general
+    blocks = []
+    for p in range(width):
+        x = F.get(c, p)
+        hit = F.concat(F.array_repeat(F.lit(0), x), F.array(F.lit(1)),
+                       F.array_repeat(F.lit(0), F.lit(depth - 1) - x))
+        blocks.append(F.when((x >= 0) & (x < depth), hit)
+                      .otherwise(F.array_repeat(F.lit(0), depth)))
+    return F.when(F.size(c) == width, F.concat(*blocks)).otherwise(general)
 
 
 def multi_hot(codes: Column | str, n: int = 100) -> Column:

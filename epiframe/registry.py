@@ -86,8 +86,10 @@ def q_assemble28(spark, sf):
 
 
 def q_one_hot(spark, sf):
-    s = S.seq_table(spark, sf)
-    return s.select("doc_id", "pos", arr_str(one_hot(peptide_vector("seq"), 21)).alias("onehot"))
+    # the peptide vector is its own column, so the 11 per-position references of
+    # the one-hot read it instead of re-encoding the sequence each time
+    s = S.seq_table(spark, sf).select("doc_id", "pos", peptide_vector("seq").alias("pv"))
+    return s.select("doc_id", "pos", arr_str(one_hot("pv", 21, width=11)).alias("onehot"))
 
 
 def q_multi_hot(spark, sf):

@@ -50,6 +50,10 @@ def test_one_hot_out_of_range_is_zero_row(spark):
     assert sum(got[2]) == 0
     flat = df.select(one_hot("c", 21)).first()[0]
     assert len(flat) == 63
+    fixed = df.select(one_hot("c", 21, width=3)).first()[0]
+    assert fixed == flat
+    other = df.select(one_hot("c", 21, width=5)).first()[0]   # other length: general form
+    assert other == flat
 
 
 def test_multi_hot_counts_duplicates(spark):
