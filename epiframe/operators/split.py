@@ -35,7 +35,20 @@ def dropped_lines(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def write_split(lines: DataFrame, path: str, col: str = "value",
-                extra_partitions: tuple = ()) -> None:
-    """One scan, both classes: ``<path>/label=1`` and ``<path>/label=0``."""
-    write_lines(split_by_label(lines, col), path, col=col,
-                partition_by=[*extra_partitions, "label"])
+                extra_partitions: tuple = (), negative_fraction: float | None = None,
+                key_cols: tuple | None = None, seed: int = 0) -> None:
+    """One scan, both classes: ``<path>/label=1`` and ``<path>/label=0``.
+
+    With ``negative_fraction`` the negatives are down-sampled in the same scan
+    (the reference splits, then samples in a second job): by a hash of
+    ``key_cols`` when given (layout-stable), else by ``rand(seed)``.
+    """
+    from epiframe.operators.sampling import downsample_class, downsample_class_bernoulli
+
+    out = split_by_label(lines, col)
+    if negative_fraction is not None:
+        if key_cols:
+            out = downsample_class(out, "label", list(key_cols), negative_fraction, 0, seed)
+        else:
+            out = downsample_class_bernoulli(out, "label", negative_fraction, 0, seed)
+    write_lines(out, path, col=col, partition_by=[*extra_partitions, "label"])

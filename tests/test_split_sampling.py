@@ -34,3 +34,16 @@ def test_downsample_keeps_other_class_whole(spark):
     assert counts[1] == 2500 and 600 < counts[0] < 900
     bern = sampling.downsample_class_bernoulli(df, "label", 0.1, seed=1)
     assert bern.filter("label = 1").count() == 2500
+
+
+def test_write_split_one_scan_with_downsampling(spark, scratch):
+    from epiframe.sources.text import scan_lines
+
+    lines = spark.range(0, 4000).select(
+        F.concat_ws("\t", F.col("id").cast("string"), (F.col("id") % 4 == 0).cast("int").cast("string"))
+        .alias("value"))
+    path = scratch("split")
+    split.write_split(lines, path, negative_fraction=0.1, key_cols=("value",), seed=5)
+    back = scan_lines(spark, path, recursive=False)      # partition column label comes back
+    counts = {r["label"]: r["count"] for r in back.groupBy("label").count().collect()}
+    assert counts[1] == 1000 and 200 < counts[0] < 400
