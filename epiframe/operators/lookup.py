@@ -32,26 +32,36 @@ def encode_slots(wide: DataFrame, vocab: DataFrame, id_col: str = "sample_id",
     """
     slot_cols = list(slot_cols or [c for c in wide.columns if c != id_col])
     long = unpivot_slots(wide, id_col, slot_cols)
-    return encode_slot_terms(long, vocab, id_col, max_slots=len(slot_cols), strict=strict)
+    return encode_slot_terms(long, vocab, id_col, slot_col="slot", strict=strict)
 
 
 def encode_slot_terms(long: DataFrame, vocab: DataFrame, id_col: str = "sample_id",
-                      max_slots: int | None = None, strict: bool = True) -> DataFrame:
-    """Long form of :func:`encode_slots`: rows (id, term) -> (id, codes)."""
+                      slot_col: str | None = None, strict: bool = True) -> DataFrame:
+    """Long form of :func:`encode_slots`: rows (id, [slot,] term) -> (id, codes).
+
+    With ``slot_col``, a slot filled twice for one id means the id occurs on two
+    typing rows, which fails in ``strict`` mode.
+    """
     voc = sized_broadcast(vocab.select("term", F.col("code").cast("int").alias("code")))
-    joined = long.select(id_col, "term").join(voc, "term", "left")
+    cols = [id_col, "term"] + ([slot_col] if slot_col else [])
+    joined = long.select(*cols).join(voc, "term", "left")
     code = F.col("code")
     if strict:
         code = F.when(code.isNull(), F.raise_error(
             F.concat(F.lit("unknown allele term: "), F.col("term")))).otherwise(code)
     else:
         joined = joined.filter(code.isNotNull())
-    out = joined.groupBy(id_col).agg(F.sort_array(F.collect_list(code)).alias("codes"))
-    if strict and max_slots is not None:
-        out = out.withColumn("codes", F.when(
-            F.size("codes") > max_slots,
+    aggs = [F.sort_array(F.collect_list(code)).alias("codes")]
+    if strict and slot_col:
+        # per sample at most one row per slot column: a bounded set
+        aggs.append((F.count(F.lit(1)) - F.size(F.collect_set(slot_col))).alias("_dup"))
+    out = joined.groupBy(id_col).agg(*aggs)
+    if strict and slot_col:
+        out = out.select(id_col, F.when(
+            F.col("_dup") > 0,
             F.raise_error(F.concat(F.lit("sample listed more than once: "),
-                                   F.col(id_col).cast("string")))).otherwise(F.col("codes")))
+                                   F.col(id_col).cast("string")))).otherwise(F.col("codes"))
+            .alias("codes"))
     return out
 
 

@@ -29,6 +29,11 @@ def test_unknown_term_and_repeated_sample(spark, vocab):
     dup = spark.createDataFrame([("s1", "A*01"), ("s1", "A*02")], "sample_id string, A1 string")
     with pytest.raises(Exception, match="more than once"):
         encode_slots(dup, vocab).collect()
+    # two partial rows for one id: still a repeated sample
+    dup2 = spark.createDataFrame([("s1", "A*01", None), ("s1", "A*02", None)],
+                                 "sample_id string, A1 string, A2 string")
+    with pytest.raises(Exception, match="more than once"):
+        encode_slots(dup2, vocab).collect()
 
 
 def test_attach_codes_strict_and_broadcast(spark):
