@@ -308,23 +308,29 @@ def score_examples(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = N
 def linear_layer(df: DataFrame, in_col: str, W: np.ndarray, b: np.ndarray,
                  activation: str | None = None, out: str = "y") -> DataFrame:
     """Affine map of a numeric vector column (M1), optional relu/sigmoid (M2),
-    as ARRAY<DOUBLE>."""
+    as ARRAY<DOUBLE>, computed in NumPy on Arrow batches (for wide layers; small
+    ones are JVM expressions, see :func:`epiframe.functions.linear.affine`)."""
     W, b = np.asarray(W, dtype=np.float64), np.asarray(b, dtype=np.float64)
+    n_out = W.shape[1]
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
+        import pyarrow as pa
+
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            X = _vectors(pdf, in_col)  # small vectors (M1 inputs)
+            X = _arrow_vectors(rb, in_col)
             Y = X @ W + b
             if activation == "relu":
                 Y = np.maximum(Y, 0.0)
             elif activation == "sigmoid":
                 Y = _sigmoid(Y)
-            yield pdf.assign(**{out: list(Y)})
+            offsets = pa.array(np.arange(0, (rb.num_rows + 1) * n_out, n_out, dtype=np.int32))
+            col = pa.ListArray.from_arrays(offsets, pa.array(Y.ravel(), type=pa.float64()))
+            yield rb.append_column(out, col)
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = None,

@@ -245,6 +245,7 @@ from slots join r on slots.l_returnflag = r.l_returnflag and r.rn = slots.s % sl
 
 _ctes, _sel = _metrics_sql("scored", None).strip().split("\nselect ", 1)
 ORACLE["roc_auc"] = _with(("scored",), _ctes, "m as (select " + _sel + ")", "select roc_auc from m")
+ORACLE["linear_arrow"] = ORACLE["linear"]
 ORACLE["pr_auc"] = _with(("scored",), _ctes, "m as (select " + _sel + ")", "select pr_auc from m")
 _ctes_s, _sel_s = _metrics_sql("scored", "sample_id").strip().split("\nselect ", 1)
 ORACLE["eval_by_sample"] = _with(("scored",), _ctes_s, "select " + _sel_s)

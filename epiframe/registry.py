@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from epiframe import oracle as O
 from epiframe import standins as S
 from epiframe.functions.activations import relu, sigmoid, sigmoid_log_loss
+from epiframe.functions.linear import affine
 from epiframe.functions.encode import (encode_letters, multi_hot, one_hot, pad_middle,
                                        peptide_vector, slice_features)
 from epiframe.operators import batching, metrics, sampling, scoring, split
@@ -231,6 +232,17 @@ def _examples(spark, sf, variant="base"):
 
 
 def q_linear(spark, sf):
+    """The abundance branch (1 -> 16 -> ReLU -> 1) as JVM expressions."""
+    cfg = scoring.ScorerConfig("abundance")
+    w = scoring.rule_weights(cfg).arrays
+    s = S.seq_table(spark, sf).select("doc_id", "pos", F.array("abundance").alias("x"))
+    h = s.select("doc_id", "pos", affine("x", w["A1"], w["a1"], activation="relu").alias("h"))
+    y = h.select("doc_id", "pos", affine("h", w["A2"], w["a2"]).alias("y"))
+    return y.select("doc_id", "pos", r6(F.element_at("y", 1)).alias("y"))
+
+
+def q_linear_arrow(spark, sf):
+    """The same branch through the NumPy/Arrow layer (the form wide layers use)."""
     cfg = scoring.ScorerConfig("abundance")
     w = scoring.rule_weights(cfg).arrays
     s = S.seq_table(spark, sf).select("doc_id", "pos", F.array("abundance").alias("x"))
@@ -443,6 +455,7 @@ QUERIES: dict[str, Query] = {
     # scoring (M1-M8)
     "activations": q_activations,
     "linear": q_linear,
+    "linear_arrow": q_linear_arrow,
     "masked_score": q_masked_score,
     "masked_score_abundance": q_masked_score_abundance,
     "masked_score_flank": q_masked_score_flank,

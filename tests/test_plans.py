@@ -56,3 +56,8 @@ def test_scoring_keeps_python_to_one_node(spark, reg):
     plan = _plan(reg.q_masked_score(spark, SF))
     assert plan.count("MapInArrow") == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_small_layers_stay_in_the_jvm(spark, reg):
+    plan = _plan(reg.q_linear(spark, SF))
+    assert "MapInArrow" not in plan and "EvalPython" not in plan

@@ -105,3 +105,17 @@ def test_fit_resumes_from_saved_state(spark, scratch):
     resumed, hist = scoring.fit_scorer(df, cfg, steps=4, lr=0.05, dropout=False, save_path=path)
     assert [h[0] for h in hist] == [2, 3]
     assert np.allclose(resumed.flat(), full.flat())
+
+
+def test_affine_expression_equals_arrow_layer(spark):
+    from epiframe.functions import affine
+
+    rng = np.random.default_rng(4)
+    W, b = rng.normal(size=(3, 5)), rng.normal(size=5)
+    X = rng.normal(size=(20, 3))
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(20)], "id int, x array<double>")
+    a = {r["id"]: r["y"] for r in df.select("id", affine("x", W, b, "relu").alias("y")).collect()}
+    c = {r["id"]: r["y"] for r in scoring.linear_layer(df, "x", W, b, "relu").collect()}
+    ref = np.maximum(X @ W + b, 0)
+    for i in range(20):
+        assert np.allclose(a[i], ref[i]) and np.allclose(c[i], ref[i])
