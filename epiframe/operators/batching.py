@@ -66,7 +66,7 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
     total_slots = n_batches * n_per_class
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
                 total_slots // 1_000_000 + 1)
-    bound = max_broadcast_rows(df)
+    bound = max_broadcast_rows(numbered)
     pieces = []
     for r in classes:
         value, cnt = r[label], r["n"]

@@ -5,18 +5,51 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a dimension may have before it stops being broadcast. Dictionaries in this
-# library (alphabet, allele vocabulary, per-sample codes) have tens to thousands
-# of rows; beyond this bound the join falls back to a shuffle join, where AQE's
-# skew handling splits a hot key.
+# Size a dimension may have before it stops being broadcast: a row limit and a
+# byte limit on the estimated size. Dictionaries in this library (alphabet,
+# allele vocabulary, per-sample codes) have tens to thousands of rows; beyond
+# the bound the join falls back to a shuffle join, where AQE's skew handling
+# splits a hot key.
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 CONF_KEY = "epiframe.broadcast.maxRows"
+CONF_BYTES = "epiframe.broadcast.maxBytes"
+
+# Assumed widths of variable-size values when estimating a row's size.
+_STRING_BYTES, _ARRAY_ELEMENTS = 32, 32
+
+
+def approx_type_bytes(dt: T.DataType) -> int:
+    if isinstance(dt, (T.ByteType, T.BooleanType)):
+        return 1
+    if isinstance(dt, T.ShortType):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return _STRING_BYTES
+    if isinstance(dt, T.ArrayType):
+        return 16 + _ARRAY_ELEMENTS * approx_type_bytes(dt.elementType)
+    if isinstance(dt, T.MapType):
+        return 16 + _ARRAY_ELEMENTS * (approx_type_bytes(dt.keyType) + approx_type_bytes(dt.valueType))
+    if isinstance(dt, T.StructType):
+        return sum(approx_type_bytes(f.dataType) for f in dt.fields)
+    return 8
+
+
+def approx_row_bytes(df: DataFrame) -> int:
+    return 16 + sum(approx_type_bytes(f.dataType) for f in df.schema.fields)
 
 
 def max_broadcast_rows(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get(CONF_KEY, None)
-    return int(v) if v else DEFAULT_MAX_BROADCAST_ROWS
+    """Row bound for broadcasting ``df``: the row limit, lowered so that the
+    estimated size stays under the byte limit."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get(CONF_KEY, None) or DEFAULT_MAX_BROADCAST_ROWS)
+    limit = int(conf.get(CONF_BYTES, None) or DEFAULT_MAX_BROADCAST_BYTES)
+    return max(1, min(rows, limit // approx_row_bytes(df)))
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -72,3 +72,17 @@ def test_reject_mode_reasons(spark):
     reasons = sorted((r["seq"], r["reason"]) for r in bad.collect())
     assert reasons == [("ACDEFGHI", "unknown_sample"), ("ACDEFGHIKLMN", "bad_width"),
                        ("ACDXFGHI", "unknown_letter")]
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from epiframe.plans.joins import max_broadcast_rows
+
+    narrow = spark.createDataFrame([(1, 2)], "a int, b int")
+    wide = spark.createDataFrame([(1, [1.0] * 3, "x")], "a int, v array<double>, s string")
+    assert max_broadcast_rows(narrow) == 1_000_000
+    assert max_broadcast_rows(wide) < max_broadcast_rows(narrow)
+    spark.conf.set("epiframe.broadcast.maxBytes", "1000")
+    try:
+        assert max_broadcast_rows(wide) < 10
+    finally:
+        spark.conf.unset("epiframe.broadcast.maxBytes")
