@@ -68,15 +68,15 @@ def read_labelled(spark: SparkSession, path: str, fields: int = 2, strict: bool
 # "file=<sample>_pos.txt") as Spark writers produce them.
 _SPLIT_RE = r"(?:^|/)(?:[A-Za-z_]+=)?(train|test)(?:/|$)"
 _CLASS_RE = r"(?:^|/)(?:[A-Za-z_]+=)?([^/=]+?)_(pos|neg)(?:\.[^/]*)?(?:/|$)"
-_BASENAME_RE = r"([^/]+)$"
+# Without a class suffix: the last path component (or the directory holding a
+# Spark part file) up to its first dot.
+_PLAIN_RE = r"(?:^|/)(?:[A-Za-z_]+=)?([^/=.]+)[^/]*(?:/part-[^/]*)?$"
 
 
 def path_columns(path: Column) -> dict[str, Column]:
     cls = F.regexp_extract(path, _CLASS_RE, 2)
     with_class = F.regexp_extract(path, _CLASS_RE, 1)
-    base = F.regexp_extract(path, _BASENAME_RE, 1)
-    # Without a class suffix the sample is the file name before its first dot.
-    plain = F.substring_index(base, ".", 1)
+    plain = F.regexp_extract(path, _PLAIN_RE, 1)
     split = F.regexp_extract(path, _SPLIT_RE, 1)
     return {
         "split": F.when(split != "", split),

@@ -49,10 +49,11 @@ def test_read_labelled_and_paths(spark, scratch):
 def test_path_rules(spark):
     df = spark.createDataFrame([("/d/train/train_sample_3_pos.txt",),
                                 ("/d/test_sample_1.txt",),
-                                ("/x/split=test/file=sample_2_neg.txt/part-0.txt",)], "p string")
+                                ("/x/split=test/file=sample_2_neg.txt/part-0.txt",),
+                                ("/x/split=train/file=sample_4.txt/part-00001-abc.txt",)], "p string")
     got = [tuple(r[1:]) for r in text.with_path_columns(df, "p").collect()]
     assert got == [("train", "train_sample_3", 1), (None, "test_sample_1", None),
-                   ("test", "sample_2", 0)]
+                   ("test", "sample_2", 0), ("train", "sample_4", None)]
 
 
 def test_bad_label_raises(spark):
