@@ -9,10 +9,13 @@ from epiframe.sources.sinks import write_lines
 
 
 def last_field_label(col: str = "value"):
-    """INT of the last tab field, not stripped first (an ANSI cast accepts
-    surrounding whitespace and fails on a blank or non-integer field, as
-    ``int()`` does)."""
-    return F.element_at(F.split(F.col(col), "\t"), -1).cast("int")
+    """INT of the last tab field, not stripped first. Like ``int()`` it accepts
+    surrounding whitespace and fails the job on a blank or non-integer field,
+    whatever the session's ANSI setting."""
+    field = F.element_at(F.split(F.col(col), "\t"), -1)
+    v = field.try_cast("int")
+    return F.when(v.isNull(), F.raise_error(F.concat(
+        F.lit("label is not an integer in line: "), F.col(col)))).otherwise(v)
 
 
 def split_by_label(lines: DataFrame, col: str = "value") -> DataFrame:

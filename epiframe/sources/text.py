@@ -33,11 +33,20 @@ def parse_fields(df: DataFrame, fields: int = 2, col: str = "value",
     """Tab-split typed fields.
 
     ``fields=2``: seq, label (INT). ``fields=3``: seq, abundance (DOUBLE), label.
-    Extra fields are ignored. In ``strict`` mode a bad number fails the job (ANSI
-    cast, as ``int()``/``float()`` raise); otherwise it becomes NULL.
+    Extra fields are ignored. In ``strict`` mode a bad number fails the job (as
+    ``int()``/``float()`` raise; surrounding blanks are accepted like there);
+    otherwise it becomes NULL.
     """
     parts = F.split(F.col(col), "\t")
-    cast = (lambda c, t: c.cast(t)) if strict else (lambda c, t: c.try_cast(t))
+
+    def cast(c, t):
+        # try_cast, then an explicit failure: the same under any ANSI setting
+        v = c.try_cast(t)
+        if not strict:
+            return v
+        return F.when(v.isNull() & c.isNotNull(), F.raise_error(F.concat(
+            F.lit(f"not a valid {t} field in line: "), F.col(col)))).otherwise(v)
+
     out = [parts.getItem(0).alias("seq")]
     if fields == 2:
         label_src = F.get(parts, 1)

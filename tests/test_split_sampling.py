@@ -47,3 +47,17 @@ def test_write_split_one_scan_with_downsampling(spark, scratch):
     back = scan_lines(spark, path, recursive=False)      # partition column label comes back
     counts = {r["label"]: r["count"] for r in back.groupBy("label").count().collect()}
     assert counts[1] == 1000 and 200 < counts[0] < 400
+
+
+def test_label_checks_do_not_depend_on_ansi(spark):
+    from epiframe.sources.text import parse_fields
+
+    df = spark.createDataFrame([("A\t1.0",)], "value string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="not an integer"):
+            split.split_by_label(df).collect()
+        with pytest.raises(Exception, match="not a valid int"):
+            parse_fields(df, 2).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
