@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from epiframe.operators.sampling import key_hash60
 from epiframe.plans.joins import max_broadcast_rows
-from epiframe.plans.ordering import default_buckets, hash_bucket, ordered_index, quantile_bucket
+from epiframe.plans.ordering import default_buckets, ordered_index, quantile_bucket, running_totals
 from epiframe.session import checkpoint_root
 
 MAX_CLASSES = 1000
@@ -50,9 +50,14 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
     The slots are generated by ``spark.range`` across many tasks and joined to the
     numbered rows on (class, rn); a class small enough is broadcast, so a
     class repeated many times never lands in one task.
+
+    ``checkpoint_input`` writes the input once to the checkpoint folder first,
+    for inputs that are expensive to derive (numbering reads them twice).
     """
     spark = df.sparkSession
     checkpoint_root(spark)
+    if checkpoint_input:
+        df = df.checkpoint(eager=True)
     numbered = hash_order_index(df, label, keys, seed).checkpoint(eager=True)
     counts = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     classes = counts.limit(MAX_CLASSES + 1).collect()  # class column: bounded list
@@ -73,7 +78,7 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
         slots = spark.range(0, total_slots, 1, parts).select(
             F.lit(value).cast(df.schema[label].dataType).alias(label),
             (F.col("id") % cnt + 1).alias("rn"),
-            (F.col("id") / n_per_class).cast("bigint").alias("batch"),
+            F.expr(f"id div {int(n_per_class)}").alias("batch"),
             (F.col("id") % n_per_class).alias("slot"))
         rows = numbered.filter(F.col(label) == F.lit(value))
         if cnt <= bound:
@@ -104,8 +109,6 @@ def sequential_batches(df: DataFrame, batch_rows: int, order: Sequence[str],
         df = df.checkpoint(eager=True)
     n = n_buckets or default_buckets(df)
     staged = quantile_bucket(df, split_col, n, out="_bkt")
-    from epiframe.plans.ordering import running_totals
-
     out = running_totals(staged, list(by), [*lead, "_bkt"], [F.col(c) for c in order],
                          {"rn": F.lit(1).cast("bigint")}, bucket_bound=True)
-    return out.withColumn("batch", ((F.col("rn") - 1) / batch_rows).cast("bigint"))
+    return out.withColumn("batch", F.expr(f"(rn - 1) div {int(batch_rows)}"))
