@@ -58,6 +58,8 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bkt")
     bounds = df.stat.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if probs else []
     bounds = sorted({float(b) for b in bounds if b is not None and not math.isnan(b)})
     splits = [-math.inf] + [b for b in bounds if math.isfinite(b)] + [math.inf]
+    if len(splits) < 3:  # one bucket (Bucketizer needs at least two)
+        return df.withColumn(out, F.lit(0))
     tmp = f"{out}_in"
     src = df.withColumn(tmp, F.col(col).cast("double"))
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")

@@ -39,3 +39,27 @@ def test_sequential_batches(spark):
     j = out.join(ref.select("id", "rn_ref"), "id")
     assert j.filter(F.col("rn") != F.col("rn_ref")).count() == 0
     assert out.filter("batch = (rn - 1) div 50").count() == 1000
+
+
+def test_running_totals_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from epiframe.plans.ordering import quantile_bucket, running_totals
+
+    @settings(max_examples=8, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 2), st.integers(-50, 50), st.integers(0, 9)),
+                    min_size=1, max_size=120),
+           st.sampled_from([1, 2, 8, 64]))
+    def check(rows, n_buckets):
+        data = [(i, g, k, w) for i, (g, k, w) in enumerate(rows)]
+        df = spark.createDataFrame(data, "id int, g int, k int, w int")
+        staged = quantile_bucket(df, "k", n_buckets)
+        got = running_totals(staged, ["g"], "_bkt", [F.col("k"), F.col("id")],
+                             {"cw": F.col("w").cast("bigint")})
+        res = {r["id"]: r["cw"] for r in got.collect()}
+        for i, g, k, w in data:
+            ref = sum(w2 for j, g2, k2, w2 in data if g2 == g and (k2, j) <= (k, i))
+            assert res[i] == ref
+
+    check()

@@ -39,3 +39,24 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["doc_id", "pos", "sample_id", "label", "vec"]
     assert df.count() > 0
+
+
+def test_encode_stream_restart_skips_done_files(spark, scratch):
+    from epiframe.streaming import start_encode_stream
+
+    root = scratch("stream-in2")
+    codes = spark.createDataFrame([("s1", [1, 2, 3, 4, 5, 6])], "sample_id string, codes array<int>")
+    out, ck = scratch("stream-out2"), scratch("stream-ck2")
+
+    def add(name, body):
+        p = os.path.join(local_path(root), name)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "w") as f:
+            f.write(body)
+
+    add("train/s1_pos.txt", "ACDEFGHI\t1\n")
+    start_encode_stream(spark, root, codes, out, ck).awaitTermination(120)
+    add("train/s1_neg.txt", "ACDEFGHIK\t0\n")
+    start_encode_stream(spark, root, codes, out, ck).awaitTermination(120)
+    rows = sorted((r["seq"], r["label"]) for r in spark.read.parquet(out).collect())
+    assert rows == [("ACDEFGHI", 1), ("ACDEFGHIK", 0)]      # first file not encoded twice
