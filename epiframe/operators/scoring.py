@@ -336,21 +336,26 @@ def linear_layer(df: DataFrame, in_col: str, W: np.ndarray, b: np.ndarray,
 def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = None,
                   vec: str = "vec", label: str = "label", step: int | None = None,
                   key_hash: str | None = None) -> DataFrame:
-    """Summed loss gradient over all rows, as rows (idx, g); idx -1 holds the
-    summed loss and idx -2 the row count (M8).
-
-    Each task sums its batches in NumPy and emits one dense vector of the model's
-    size; the cross-task sum is a grouped aggregation with map-side combine, so
-    only one vector per task is shuffled and one vector reaches the driver. With
-    ``step`` and ``key_hash`` (a BIGINT column), dropout is applied (M9).
+    """Summed loss gradient over all rows (M8): one row ``(rows, loss, g)`` with
+    ``g`` the flat gradient (parameters in sorted name order).
+
+    Each task sums its batches in NumPy and emits one row holding a model-sized
+    array; the rows are added by Spark ML's ``Summarizer`` (a JVM aggregate with
+    map-side partial sums), so the exchange carries one vector per task and a
+    single vector reaches the driver. With ``step`` and ``key_hash`` (a BIGINT
+    column), dropout is applied (M9).
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     cfg = cfg or ScorerConfig()
     w = weights
     names = sorted(w.arrays)
-
     cols = [vec, label] + ([key_hash] if key_hash else [])
 
     def run(batches):
+        import pyarrow as pa
+
         total = None
         loss, rows = 0.0, 0
         for rb in batches:
@@ -370,28 +375,23 @@ def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = No
             rows += rb.num_rows
         if total is None:
             return
-        import pyarrow as pa
-
-        idx = np.arange(-2, total.size, dtype=np.int64)
-        vals = np.concatenate([[rows, loss], total])
-        yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(vals)], names=["idx", "g"])
+        offsets = pa.array([0, total.size], type=pa.int32())
+        g_col = pa.ListArray.from_arrays(offsets, pa.array(total, type=pa.float64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows], type=pa.int64()), pa.array([loss], type=pa.float64()), g_col],
+            names=["rows", "loss", "g"])
 
-    parts = df.select(*cols).mapInArrow(run, "idx long, g double")
-    return parts.groupBy("idx").agg(F.sum("g").alias("g"))
+    parts = df.select(*cols).mapInArrow(run, "rows long, loss double, g array<double>")
+    return parts.agg(F.sum("rows").alias("rows"), F.sum("loss").alias("loss"),
+                     vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
 
 
 def collect_gradient(sums: DataFrame, weights: Weights) -> tuple[Weights, float, int]:
     """Bring the (model-sized) summed gradient to the driver."""
-    n = weights.flat().size
-    pdf = sums.toPandas()          # Arrow transfer of one model-sized vector
-    idx = pdf["idx"].to_numpy()
-    g = pdf["g"].to_numpy(dtype=np.float64)
-    v = np.zeros(n)
-    body = idx >= 0
-    v[idx[body]] = g[body]
-    rows = int(round(g[idx == -2].sum())) if (idx == -2).any() else 0
-    loss = float(g[idx == -1].sum()) if (idx == -1).any() else 0.0
-    return weights.unflat(v), loss, rows
+    r = sums.first()
+    if r is None or r["rows"] is None:
+        return weights.unflat(np.zeros(weights.flat().size)), 0.0, 0
+    return weights.unflat(np.asarray(r["g"], dtype=np.float64)), float(r["loss"]), int(r["rows"])
 
 
 @dataclass

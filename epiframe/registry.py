@@ -295,8 +295,9 @@ def q_gradient_sums(spark, sf):
     cfg = scoring.ScorerConfig("base")
     g = scoring.gradient_sums(_examples(spark, sf), scoring.rule_weights(cfg), cfg)
     off, n = _b2_offset(cfg)
-    return g.filter((F.col("idx") >= off) & (F.col("idx") < off + n)).select(
-        (F.col("idx") - off).cast("int").alias("k"), r6("g").alias("g"))
+    # one model-sized row: the output-bias slice, one row per category
+    b2 = g.select(F.posexplode(F.slice("g", off + 1, n)).alias("k", "g"))
+    return b2.select(F.col("k").cast("int").alias("k"), r6("g").alias("g"))
 
 
 def q_fit_scorer(spark, sf):
