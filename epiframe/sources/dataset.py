@@ -53,6 +53,26 @@ def assert_complete(report: DataFrame) -> None:
         raise AssertionError(f"incomplete dataset: {bad}")
 
 
+def present_partitions(spark: SparkSession, root: str,
+                       cols: Sequence[str] = ("split", "sample_id", "label")) -> DataFrame:
+    """The (split, sample, class) directories that hold rows under ``root``.
+
+    Only partition columns are selected, so the scan reads no data columns; the
+    result has one row per directory.
+    """
+    return spark.read.parquet(root).select(*cols).distinct()
+
+
+def check_examples(spark: SparkSession, root: str, manifest: DataFrame,
+                   id_col: str = "sample_id") -> DataFrame:
+    """``check_complete`` for the Parquet example layout: the manifest's
+    (split, sample, cls) against the directories present."""
+    present = present_partitions(spark, root).select(
+        "split", F.concat_ws("_", F.col(id_col).cast("string"),
+                             F.when(F.col("label") == 1, "pos").otherwise("neg")).alias("file"))
+    return check_complete(manifest, present)
+
+
 def read_examples(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 

@@ -75,6 +75,12 @@ def test_examples_roundtrip_and_pruning(spark, scratch):
     assert "PartitionFilters" in plan or "partitionFilters" in plan.lower()
     held = dataset.read_sample(spark, root, [0])
     assert [r["doc_id"] for r in held.collect()] == [2]
+    samples = spark.createDataFrame([("train", "3"), ("test", "0")], "split string, sample string")
+    man = dataset.dataset_manifest(samples, id_col="sample")
+    rep = {(r["split"], r["cls"]): (r["present"], r["missing"])
+           for r in dataset.check_examples(spark, root, man).collect()}
+    assert rep == {("train", "pos"): (1, 0), ("train", "neg"): (0, 1),
+                   ("test", "pos"): (0, 1), ("test", "neg"): (1, 0)}
 
 
 def test_manifest_and_check(spark):
