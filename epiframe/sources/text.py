@@ -112,9 +112,10 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value")
-    body = F.when(F.col("value").endswith("\n"),
-                  F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    lines = raw.select("file", F.posexplode(F.split(body, "\n")).alias("i", "line"))
+    # Line ends as Python's universal newlines: \n, \r\n or a lone \r; a final
+    # line end does not open another line.
+    body = F.regexp_replace("value", r"(\r\n|\r|\n)\z", "")
+    lines = raw.select("file", F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("i", "line"))
     sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))

@@ -21,6 +21,10 @@ def test_read_vocab_blank_and_repeated(spark, scratch):
     got = {r["term"]: r["code"] for r in text.read_vocab(spark, d).collect()}
     # a blank line uses up code 2; a repeated term keeps its last number
     assert got == {"A*01": 4, "B*07": 3, "C*01": 5}
+    d2 = scratch("voc-cr")
+    _write(d2, "v.csv", "A*01\rB*07\r\rC*01\r")
+    got2 = {r["term"]: r["code"] for r in text.read_vocab(spark, d2).collect()}
+    assert got2 == {"A*01": 1, "B*07": 2, "C*01": 4}
 
 
 def test_read_slots_header(spark, scratch):
