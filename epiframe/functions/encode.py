@@ -18,12 +18,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _python_space_class() -> str:
+    """Regex class of the characters Python's ``str.isspace`` accepts, written
+    with ``\\x{...}`` escapes (understood by Java regex and RE2)."""
+    cps = [cp for cp in range(0x110000) if chr(cp).isspace()]
+    return "[" + "".join(f"\\x{{{cp:X}}}" for cp in cps) + "]"
+
+
+PY_SPACE = _python_space_class()
+STRIP_PATTERN = f"^{PY_SPACE}+|{PY_SPACE}+$"
+
+
 def strip_blanks(c: Column | str) -> Column:
-    """Python ``str.strip()``: removes spaces, tabs, CR and LF at both ends.
+    """Python ``str.strip()``: removes whitespace at both ends, with Python's idea
+    of whitespace (tabs, CR, LF, vertical tab, form feed, the Unicode spaces).
 
-    Spark's ``trim`` removes spaces only, so a regex is used.
+    Spark's ``trim`` removes spaces only and regex ``\\s`` is ASCII-only, so the
+    class is built from Python's own rule.
     """
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
 
 
 def encode_letters(seq: Column | str, codes: dict[str, int] | None = None,

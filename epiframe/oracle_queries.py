@@ -6,6 +6,7 @@ from epiframe import oracle as O
 from epiframe.oracle import rule_sql as R
 from epiframe.registry import (BATCH_PER_CLASS, FRACTION, N_TEST_SAMPLES, SEED,
                                SEQUENTIAL_ROWS, SPLIT_SQL)
+from epiframe.functions.encode import STRIP_PATTERN
 from epiframe.standins import SLOT_NAMES
 
 W = O.with_ctes
@@ -175,7 +176,7 @@ where regexp_matches(seq, '^[A-Z]{6,13}$')
         {_JOIN}""", "seq", "codes"),
     "clean_lines": f"""
 select doc_id, line_no, v as value
-from (select doc_id, line_no, regexp_replace(l, '^\\s+|\\s+$', '', 'g') v from ({_LINES}))
+from (select doc_id, line_no, regexp_replace(l, '{STRIP_PATTERN}', '', 'g') v from ({_LINES}))
 where v <> ''""",
     "split_pos": W(f"select doc_id, pos, {_UNSPLIT} as value from seq where label + toxic = 1", "seq"),
     "split_neg": W(f"select doc_id, pos, {_UNSPLIT} as value from seq where label + toxic = 0", "seq"),

@@ -36,7 +36,7 @@ def test_letters_codes_and_unknown(spark):
 
 
 def test_strip_blanks_like_python(spark):
-    rows = [(" \tAC\r\n",), ("AC",), ("\t",)]
+    rows = [(" \tAC\r\n",), ("AC",), ("\t",), ("\xa0A C\u3000\x0b",), ("\x1cAC\x85",)]
     df = spark.createDataFrame(rows, "s string")
     got = [r[0] for r in df.select(strip_blanks("s")).collect()]
     assert got == [r[0].strip() for r in rows]
