@@ -34,7 +34,9 @@ def encode_examples(seqs: DataFrame, sample_codes: DataFrame, variant: str = "ba
     ``base`` = 11 peptide + 6 allele codes (INT); ``abundance`` appends the
     abundance and turns the vector DOUBLE (width 18); ``flank`` also appends 10
     flank codes (width 28). Unknown letters, unknown samples and wrong widths
-    fail the job in ``strict`` mode; otherwise those rows get a NULL vector.
+    fail the job in ``strict`` mode. Otherwise rows of unknown samples are
+    dropped and rows with an unknown letter or a wrong width get a NULL vector
+    (:func:`encode_examples_checked` says why).
     """
     width = VARIANT_WIDTH[variant]
     df = attach_sample_codes(seqs, sample_codes, key=key, strict=strict)
@@ -45,7 +47,11 @@ def encode_examples(seqs: DataFrame, sample_codes: DataFrame, variant: str = "ba
     if variant == "flank":
         parts.append(encode_flank(F.col(flank_col), strict=strict))
     vec = assemble(parts, width=width, as_double=as_double, strict=strict)
-    return df.withColumn("vec", vec).drop("codes")
+    out = df.withColumn("vec", vec).drop("codes")
+    if not strict:
+        out = out.withColumn("vec", F.when(F.exists("vec", lambda x: x.isNull()), F.lit(None))
+                             .otherwise(F.col("vec")))
+    return out
 
 
 def encode_examples_checked(seqs: DataFrame, sample_codes: DataFrame, variant: str = "base",

@@ -86,3 +86,12 @@ def test_broadcast_bound_counts_bytes(spark):
         assert max_broadcast_rows(wide) < 10
     finally:
         spark.conf.unset("epiframe.broadcast.maxBytes")
+
+
+def test_lax_encoding_nulls_bad_rows(spark):
+    codes = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6])], "sample_id long, codes array<int>")
+    ex = spark.createDataFrame([("ACDEFGHI", 1), ("ACDXFGHI", 1), ("ACDEFGHIKLMN", 1),
+                                ("ACDEFGHI", 9)], "seq string, sample_id long")
+    out = {r["seq"]: r["vec"] for r in encode_examples(ex, codes, strict=False).collect()}
+    assert len(out) == 3 and len(out["ACDEFGHI"]) == 17
+    assert out["ACDXFGHI"] is None and out["ACDEFGHIKLMN"] is None
