@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 N_SEQ_SAMPLES = 33          # documents are spread over donor samples 0..32
 SLOTS_PER_SAMPLE = 6        # A1, A2, B1, B2, C1, C2
 SEQ_PATTERN = "^[ACDEFGHIKLMNPQRSTVWYOUZ]{8,11}$"
+SEQ_MIN, SEQ_MAX = 8, 11   # the length range of SEQ_PATTERN, tested first (cheap)
 WORD_PATTERN = "[A-Za-z]+"
 
 
@@ -38,7 +39,8 @@ def seq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = docs.select(
         "doc_id", "n_chars",
         F.posexplode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0)).alias("pos", "w"))
-    words = (words.withColumn("seq", F.upper("w"))
+    words = (words.filter(F.length("w").between(SEQ_MIN, SEQ_MAX))
+             .withColumn("seq", F.upper("w"))
              .filter(F.col("seq").rlike(SEQ_PATTERN)))
     labels = table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").alias("label"), "toxic")
@@ -71,7 +73,8 @@ def seq_flank_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     triples = F.transform(ws, lambda x, i: F.struct(
         F.get(ws, i - 1).alias("prev"), x.alias("w"), F.get(ws, i + 1).alias("nxt")))
     words = docs.select("doc_id", "n_chars", F.posexplode(triples).alias("pos", "t"))
-    words = (words.withColumn("seq", F.upper("t.w")).filter(F.col("seq").rlike(SEQ_PATTERN)))
+    words = (words.filter(F.length("t.w").between(SEQ_MIN, SEQ_MAX))
+             .withColumn("seq", F.upper("t.w")).filter(F.col("seq").rlike(SEQ_PATTERN)))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     flank = F.concat(F.lpad(F.right(_fix_letters(F.col("t.prev")), F.lit(5)), 5, "Z"),
                      F.rpad(F.left(_fix_letters(F.col("t.nxt")), F.lit(5)), 5, "Z"))
