@@ -127,3 +127,29 @@ def cumulative_by_score(agg: DataFrame, score: str, values: Sequence[str],
     order = [F.col(score).desc() if descending else F.col(score).asc()]
     return running_totals(bucketed, by, "_bkt", order,
                           {f"cum_{v}": F.col(v) for v in values}, descending=descending)
+
+
+def string_prefix_key(col: Column | str, n_bytes: int = 7) -> Column:
+    """Non-negative BIGINT of the first ``n_bytes`` UTF-8 bytes (zero padded).
+
+    Spark orders strings by their UTF-8 bytes, so this key never decreases along
+    the string order: a usable bucket key for ordering strings.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, n_bytes))
+    return F.conv(F.rpad(head, 2 * n_bytes, "0"), 16, 10).cast("bigint")
+
+
+def dense_codes(df: DataFrame, col: str, name: str = "code",
+                n_buckets: int | None = None) -> DataFrame:
+    """Number the distinct values of a string column 1..n in string order.
+
+    Distributed: buckets come from quantiles of the byte-prefix key, each bucket
+    is numbered by its own window, and bucket sizes (one row per bucket) give
+    the offsets.
+    """
+    distinct = df.select(col).distinct().withColumn("_pk", string_prefix_key(col))
+    n = n_buckets or default_buckets(distinct)
+    staged = quantile_bucket(distinct, "_pk", n, out="_bkt")
+    out = running_totals(staged, [], "_bkt", [F.col(col)], {name: F.lit(1).cast("bigint")})
+    return out.select(col, F.col(name).cast("int").alias(name))

@@ -105,22 +105,30 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Headerless term list -> (term, code), code = 1-based line number.
 
     Each line is stripped; a blank line still uses up its number (and is not
-    returned); a repeated term keeps its last number. The numbering needs the
-    whole file in order, so each vocabulary file is read as one row; a
-    vocabulary is a dimension of at most thousands of lines. Several files are
+    returned); a repeated term keeps its last number. Several files are
     numbered one after another in path order.
+
+    Line numbers without reading a file whole: every file split
+    (``_metadata.file_block_start``) numbers its own lines in read order, and
+    the line counts of the splits (one row per split) give the offsets. A line
+    crossing a split boundary belongs to the split it starts in, as the line
+    reader assigns it. Line ends are \\n, \\r\\n or a lone \\r, as in Python.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value")
-    # Line ends as Python's universal newlines: \n, \r\n or a lone \r; a final
-    # line end does not open another line.
-    body = F.regexp_replace("value", r"(\r\n|\r|\n)\z", "")
-    lines = raw.select("file", F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("i", "line"))
-    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
-    numbered = lines.join(F.broadcast(offsets), "file").select(
-        strip_blanks("line").alias("term"), (F.col("off") + F.col("i") + 1).alias("code"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        # increases along the read order inside a task; file splits are fixed by
+        # the listing, so a re-run task reads the same rows in the same order
+        F.monotonically_increasing_id().alias("_rid"),
+        "value")
+    local = lines.withColumn(
+        "i", F.row_number().over(Window.partitionBy("file", "block").orderBy("_rid")))
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file split: bounded by the input size / split size
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
+    numbered = local.join(F.broadcast(offsets), ["file", "block"]).select(
+        strip_blanks("value").alias("term"), (F.col("off") + F.col("i")).alias("code"))
     return (numbered.filter(F.col("term") != "")
             .groupBy("term").agg(F.max("code").cast("int").alias("code")))
 

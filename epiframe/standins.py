@@ -101,16 +101,11 @@ def labelled_words(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
 
 
 def voc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VOC(term, code): distinct brands numbered 1..n in term order.
+    """VOC(term, code): distinct brands numbered 1..n in term order."""
+    from epiframe.plans.ordering import dense_codes
 
-    The window has no partition key, but it runs over the distinct brands only,
-    a dimension of a few dozen rows.
-    """
-    from pyspark.sql import Window
-
-    terms = table(spark, sf_dir, "part").select(F.col("p_brand").alias("term")).distinct()
-    return terms.select(
-        "term", F.row_number().over(Window.orderBy("term")).cast("int").alias("code"))
+    terms = table(spark, sf_dir, "part").select(F.col("p_brand").alias("term"))
+    return dense_codes(terms, "term")
 
 
 def slots_long(spark: SparkSession, sf_dir: str) -> DataFrame:

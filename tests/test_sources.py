@@ -27,6 +27,34 @@ def test_read_vocab_blank_and_repeated(spark, scratch):
     assert got2 == {"A*01": 1, "B*07": 2, "C*01": 4}
 
 
+def test_read_vocab_over_many_splits(spark, scratch):
+    d = scratch("voc-big")
+    terms = [f"T{i:05d}" if i % 7 else "" for i in range(1, 2001)]
+    _write(d, "v.csv", "\n".join(terms) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        blocks = spark.read.text(d).select("_metadata.file_block_start").distinct().count()
+        df = text.read_vocab(spark, d)
+        got = {r["term"]: r["code"] for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {t: i + 1 for i, t in enumerate(terms) if t}
+    assert blocks > 5
+    assert got == want
+
+
+def test_dense_codes_match_sorted_order(spark):
+    from epiframe.plans.ordering import dense_codes
+
+    words = ["beta", "Alpha", "alpha", "", "ü", "b", "beta", "zz", "a\u00e9", "ab"]
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    got = {r["t"]: r["code"] for r in dense_codes(df, "t", n_buckets=4).collect()}
+    uniq = sorted(set(words), key=lambda x: x.encode("utf-8"))
+    assert got == {w: i + 1 for i, w in enumerate(uniq)}
+
+
 def test_read_slots_header(spark, scratch):
     d = scratch("slots")
     _write(d, "s.csv", "paper_sampe_id,A1,A2\ntrain_sample_1,A*01,A*02\n")
