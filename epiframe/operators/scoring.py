@@ -448,12 +448,18 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
         key_hash = "_kh"
     n_batches = None
     if batch_col is not None:
-        # The batch table is written once (shared checkpoint folder) so a step
-        # reads it instead of re-deriving the batches.
-        from epiframe.session import checkpoint_root
-
-        checkpoint_root(df.sparkSession)
-        data = data.checkpoint(eager=True)
+        # The batch table is written once, range-partitioned and sorted on the
+        # batch, to the shared checkpoint folder: a step's ``batch = t`` filter
+        # is pushed to the Parquet scan and skips the other files and row
+        # groups instead of reading the whole table each step.
+        from epiframe.session import scratch_path
+
+        spark = df.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        path = scratch_path(spark, "fit-batches")
+        (data.repartitionByRange(parts, batch_col).sortWithinPartitions(batch_col)
+         .write.parquet(path))
+        data = spark.read.parquet(path)
         n_batches = int(data.agg(F.max(batch_col)).first()[0]) + 1
     history = []
     for step in range(first, steps):

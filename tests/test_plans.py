@@ -61,3 +61,31 @@ def test_scoring_keeps_python_to_one_node(spark, reg):
 def test_small_layers_stay_in_the_jvm(spark, reg):
     plan = _plan(reg.q_linear(spark, SF))
     assert "MapInArrow" not in plan and "EvalPython" not in plan
+
+
+def test_fit_step_reads_one_batch(spark):
+    """A fit step's batch filter reaches the Parquet scan."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from epiframe.operators import batching, scoring
+
+    cfg = scoring.ScorerConfig("base", hidden=4, categories=30)
+    rng = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rng.integers(0, 21, 11)] + [1.0] * 6, int(i % 3 == 0))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, vec array<double>, label int")
+    b = batching.balanced_batches(df, "label", ["id"], 20, seed=1)
+    plans = []
+    orig = scoring.gradient_sums
+
+    def spy(part, *a, **k):
+        plans.append(part._jdf.queryExecution().executedPlan().toString())
+        return orig(part, *a, **k)
+
+    scoring.gradient_sums = spy
+    try:
+        scoring.fit_scorer(b, cfg, steps=2, batch_col="batch", dropout=False)
+    finally:
+        scoring.gradient_sums = orig
+    assert plans and all("PushedFilters: [IsNotNull(batch), EqualTo(batch," in p for p in plans)
