@@ -108,13 +108,13 @@ def _masked_full() -> str:
     return _model_score_sql("base")
 
 
-def _eval_model_sql() -> str:
+def _eval_model_sql(where: str = "") -> str:
     base = _model_score_sql("base")
     # wrap: model scores as a CTE, then the per-sample metrics
     head, _, _ = base.partition("\nselect ex.doc_id")
     scored = ("scored_m as materialized (select ex.doc_id, ex.pos, ex.sample_id, ex.label, "
               "round(coalesce(sc.score, 0), 9) score from ex left join sc "
-              "on ex.doc_id = sc.doc_id and ex.pos = sc.pos)")
+              f"on ex.doc_id = sc.doc_id and ex.pos = sc.pos {where})")
     return head + ",\n" + scored + ",\n" + _metrics_sql("scored_m", "sample_id").strip()
 
 
@@ -213,6 +213,7 @@ from slots join r on slots.l_returnflag = r.l_returnflag and r.rn = slots.s % sl
     "masked_score_abundance": _model_score_sql("abundance"),
     "masked_score_flank": _model_score_sql("flank"),
     "eval_model": _eval_model_sql(),
+    "eval_held_out": _eval_model_sql(f"where ex.sample_id < {N_TEST_SAMPLES}"),
     "gradient_sums": _gradient_sql(),
     "read_vocab": W("select term, code from voc", "voc"),
     "read_slots": W("select * from slots", "slots"),

@@ -281,6 +281,19 @@ def q_eval_model(spark, sf):
                       r6("pr_auc").alias("pr_auc"), r6("log_loss").alias("log_loss"))
 
 
+def q_eval_held_out(spark, sf):
+    """The held-out samples read back from the written examples (directory
+    pruning), scored and evaluated per sample, as the reference's listeners do."""
+    cfg = scoring.ScorerConfig("base")
+    held = dataset.read_sample(spark, _examples_dir(spark, sf), list(range(N_TEST_SAMPLES)))
+    held = held.withColumn("sample_id", F.col("sample_id").cast("bigint")).withColumn(
+        "label", F.col("label").cast("int"))
+    sc = scoring.score_examples(held, scoring.rule_weights(cfg), cfg)
+    out = metrics.evaluate_by_sample(sc.withColumn("score", F.round("score", 9)))
+    return out.select("sample_id", "n_pos", "n_neg", r6("roc_auc").alias("roc_auc"),
+                      r6("pr_auc").alias("pr_auc"), r6("log_loss").alias("log_loss"))
+
+
 def _b2_offset(cfg) -> tuple[int, int]:
     w = scoring.rule_weights(cfg).arrays
     off = 0
@@ -461,6 +474,7 @@ QUERIES: dict[str, Query] = {
     "masked_score_abundance": q_masked_score_abundance,
     "masked_score_flank": q_masked_score_flank,
     "eval_model": q_eval_model,
+    "eval_held_out": q_eval_held_out,
     "gradient_sums": q_gradient_sums,
     "fit_scorer": q_fit_scorer,
     # sources and sinks
