@@ -11,7 +11,6 @@ the stream (broadcast when its size check passes).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from epiframe.operators.examples import encode_examples
 from epiframe.sources.text import clean_lines, parse_fields, with_path_columns

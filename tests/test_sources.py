@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from epiframe.session import local_path
 from epiframe.sources import dataset, sinks, text
