@@ -133,3 +133,32 @@ def test_dictionaries_roundtrip(spark, scratch):
     res, samp = sinks.load_dictionaries(spark, path)
     assert sinks.residue_codes_from(res)["Z"] == 0 and samp.first()["codes"] == [1, 2]
     assert res.count() == 23
+
+
+def test_write_merged_single_ordered_file(spark, scratch):
+    path = scratch("merged")
+    df = spark.range(0, 500).selectExpr("cast(id as string) value", "id").repartition(7)
+    sinks.write_merged(df, path, order=["id"])
+    files = [f for f in os.listdir(local_path(path)) if f.startswith("part-")]
+    assert len(files) == 1
+    with open(os.path.join(local_path(path), files[0])) as f:
+        assert [int(x) for x in f.read().split()] == list(range(500))
+
+
+def test_scan_lines_min_partitions(spark, scratch):
+    d = scratch("scan")
+    _write(d, "a.txt", "".join(f"L{i}\n" for i in range(100)))
+    assert text.scan_lines(spark, d, min_partitions=6).rdd.getNumPartitions() >= 6
+    assert text.scan_lines(spark, d).count() == 100
+
+
+def test_encode_with_saved_residue_table(spark, scratch):
+    from epiframe.functions import encode_letters
+
+    path = scratch("dict2")
+    codes = spark.createDataFrame([(1, [1])], "sample_id long, codes array<int>")
+    sinks.save_dictionaries(sinks.residue_table(spark), codes, path)
+    res, _ = sinks.load_dictionaries(spark, path)
+    table = sinks.residue_codes_from(res)
+    df = spark.createDataFrame([("ACZOU",)], "s string")
+    assert df.select(encode_letters("s", table)).first()[0] == [1, 2, 0, 21, 22]
