@@ -279,6 +279,9 @@ def score_examples(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = N
     so by default the (narrow) example rows are rebalanced first: AQE cuts them
     into even partitions of the advisory size.
     """
+    from epiframe.session import ship_package
+
+    ship_package(df.sparkSession)
     cfg = cfg or ScorerConfig()
     w = weights
 
@@ -304,6 +307,9 @@ def linear_layer(df: DataFrame, in_col: str, W: np.ndarray, b: np.ndarray,
     """Affine map of a numeric vector column (M1), optional relu/sigmoid (M2),
     as ARRAY<DOUBLE>, computed in NumPy on Arrow batches (for wide layers; small
     ones are JVM expressions, see :func:`epiframe.functions.linear.affine`)."""
+    from epiframe.session import ship_package
+
+    ship_package(df.sparkSession)
     W, b = np.asarray(W, dtype=np.float64), np.asarray(b, dtype=np.float64)
     n_out = W.shape[1]
 
@@ -342,6 +348,9 @@ def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = No
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
+    from epiframe.session import ship_package
+
+    ship_package(df.sparkSession)
     cfg = cfg or ScorerConfig()
     w = weights
     names = sorted(w.arrays)

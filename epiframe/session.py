@@ -66,3 +66,42 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``epiframe`` importable in the Python workers of this application.
+
+    Operators that run Python on executors (``mapInArrow``) call this once per
+    application: the package's ``.py`` files are zipped and added with
+    ``SparkContext.addPyFile``, which distributes the archive to every
+    executor. The archive is written below the checkpoint folder when that is a
+    local path, otherwise next to the driver process before Spark ships it.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import epiframe
+
+    pkg_dir = os.path.dirname(os.path.abspath(epiframe.__file__))
+    base = os.path.dirname(pkg_dir)
+    root = checkpoint_root(spark)
+    if root.startswith("file:") or root.startswith("/"):
+        target_dir = os.path.join(local_path(root), "epiframe", f"pyfiles-{app}")
+    else:
+        target_dir = tempfile.mkdtemp(prefix="epiframe-pyfiles-")
+    os.makedirs(target_dir, exist_ok=True)
+    archive = os.path.join(target_dir, f"epiframe-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

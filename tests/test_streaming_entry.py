@@ -60,3 +60,28 @@ def test_encode_stream_restart_skips_done_files(spark, scratch):
     start_encode_stream(spark, root, codes, out, ck).awaitTermination(120)
     rows = sorted((r["seq"], r["label"]) for r in spark.read.parquet(out).collect())
     assert rows == [("ACDEFGHI", 1), ("ACDEFGHIK", 0)]      # first file not encoded twice
+
+
+def test_python_tasks_work_from_another_directory(tmp_path):
+    """Executors import the package through the archive shipped with addPyFile,
+    not through the driver's working directory."""
+    import subprocess
+    import sys
+    import textwrap
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {repo!r})
+        from pyspark.sql import SparkSession
+        from epiframe.operators import scoring
+        spark = (SparkSession.builder.master("local[2]")
+                 .config("spark.ui.enabled", "false").getOrCreate())
+        cfg = scoring.ScorerConfig("base", hidden=4, categories=30)
+        df = spark.createDataFrame([(1, [1.0] * 17, 1)], "id int, vec array<double>, label int")
+        print("SCORE", scoring.score_examples(df, scoring.rule_weights(cfg), cfg).first()["score"])
+    """)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=300)
+    assert "SCORE" in out.stdout, out.stderr[-2000:]
