@@ -40,14 +40,17 @@ def encode_examples(seqs: DataFrame, sample_codes: DataFrame, variant: str = "ba
     """
     width = VARIANT_WIDTH[variant]
     df = attach_sample_codes(seqs, sample_codes, key=key, strict=strict)
-    parts = [peptide_vector(F.col(seq_col), PEPTIDE_WIDTH, strict=strict), F.col("codes")]
+    # the peptide vector is a column of its own: the width check below reads the
+    # assembled vector twice, and must not encode the letters twice
+    df = df.withColumn("_pep", peptide_vector(F.col(seq_col), PEPTIDE_WIDTH, strict=strict))
+    parts = [F.col("_pep"), F.col("codes")]
     as_double = variant != "base"
     if variant in ("abundance", "flank"):
         parts.append(F.array(F.col(abundance_col).cast("double")))
     if variant == "flank":
         parts.append(encode_flank(F.col(flank_col), strict=strict))
     vec = assemble(parts, width=width, as_double=as_double, strict=strict)
-    out = df.withColumn("vec", vec).drop("codes")
+    out = df.withColumn("vec", vec).drop("codes", "_pep")
     if not strict:
         out = out.withColumn("vec", F.when(F.exists("vec", lambda x: x.isNull()), F.lit(None))
                              .otherwise(F.col("vec")))
