@@ -14,9 +14,11 @@ LAYOUT_WIDTHS = {"peptide": PEPTIDE_WIDTH, "alleles": 6, "abundance": 1, "flank"
 VARIANT_WIDTH = {"base": 17, "abundance": 18, "flank": 28}
 
 
-def encode_flank(flank, width: int = LAYOUT_WIDTHS["flank"], strict: bool = True):
-    """Flanking residues -> exactly ``width`` codes (no padding)."""
-    codes = encode_letters(flank, strict=strict)
+def encode_flank(flank, width: int = LAYOUT_WIDTHS["flank"], strict: bool = True,
+                 codes=None):
+    """Flanking residues -> exactly ``width`` codes (no padding). ``codes`` may
+    pass the already encoded letters (a column), so they are not encoded twice."""
+    codes = encode_letters(flank, strict=strict) if codes is None else codes
     bad = F.size(codes) != F.lit(width)
     if strict:
         return F.when(bad, F.raise_error(F.concat(
@@ -48,9 +50,10 @@ def encode_examples(seqs: DataFrame, sample_codes: DataFrame, variant: str = "ba
     if variant in ("abundance", "flank"):
         parts.append(F.array(F.col(abundance_col).cast("double")))
     if variant == "flank":
-        parts.append(encode_flank(F.col(flank_col), strict=strict))
+        df = df.withColumn("_fl", encode_letters(F.col(flank_col), strict=strict))
+        parts.append(encode_flank(F.col(flank_col), strict=strict, codes=F.col("_fl")))
     vec = assemble(parts, width=width, as_double=as_double, strict=strict)
-    out = df.withColumn("vec", vec).drop("codes", "_pep")
+    out = df.withColumn("vec", vec).drop("codes", "_pep", "_fl")
     if not strict:
         out = out.withColumn("vec", F.when(F.exists("vec", lambda x: x.isNull()), F.lit(None))
                              .otherwise(F.col("vec")))
