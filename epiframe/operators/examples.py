@@ -82,19 +82,19 @@ def encode_examples_checked(seqs: DataFrame, sample_codes: DataFrame, variant: s
     as_double = variant != "base"
     if variant in ("abundance", "flank"):
         parts.append(F.array(F.col(abundance_col).cast("double")))
-    if variant == "flank":
-        parts.append(encode_letters(F.col(flank_col), strict=False))
     staged = df.withColumn("_pep", pad_middle(letters, PEPTIDE_WIDTH))
+    if variant == "flank":
+        staged = staged.withColumn("_fl", encode_letters(F.col(flank_col), strict=False))
+        parts.append(F.col("_fl"))
     vec = assemble(parts, as_double=as_double)
     unknown_letter = F.exists(F.col("_pep"), lambda x: x.isNull())
     if variant == "flank":
-        unknown_letter = unknown_letter | F.exists(
-            encode_letters(F.col(flank_col), strict=False), lambda x: x.isNull())
+        unknown_letter = unknown_letter | F.exists(F.col("_fl"), lambda x: x.isNull())
     reason = (F.when(F.col("codes").isNull(), F.lit("unknown_sample"))
               .when(unknown_letter, F.lit("unknown_letter"))
               .when(F.size(vec) != F.lit(width), F.lit("bad_width")))
     checked = staged.withColumn("reason", reason)
     good = (checked.filter(F.col("reason").isNull())
-            .withColumn("vec", vec).drop("codes", "_pep", "reason"))
-    rejects = checked.filter(F.col("reason").isNotNull()).drop("codes", "_pep")
+            .withColumn("vec", vec).drop("codes", "_pep", "_fl", "reason"))
+    rejects = checked.filter(F.col("reason").isNotNull()).drop("codes", "_pep", "_fl")
     return good, rejects

@@ -95,3 +95,15 @@ def test_lax_encoding_nulls_bad_rows(spark):
     out = {r["seq"]: r["vec"] for r in encode_examples(ex, codes, strict=False).collect()}
     assert len(out) == 3 and len(out["ACDEFGHI"]) == 17
     assert out["ACDXFGHI"] is None and out["ACDEFGHIKLMN"] is None
+
+
+def test_reject_mode_flank(spark):
+    from epiframe.operators.examples import encode_examples_checked
+
+    codes = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6])], "sample_id long, codes array<int>")
+    ex = spark.createDataFrame([("ACDEFGHI", 1, 0.5, "ACDEFGHIKL"), ("ACDEFGHI", 1, 0.5, "ACDEFGHIKX"),
+                                ("ACDEFGHI", 1, 0.5, "ACDEF")],
+                               "seq string, sample_id long, abundance double, flank string")
+    good, bad = encode_examples_checked(ex, codes, "flank")
+    assert [len(r["vec"]) for r in good.collect()] == [28]
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad_width", "unknown_letter"]
