@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from epiframe.llm.lines import OP6_ORACLE, op6_line_dedup
 from epiframe.llm.mixing import OP9_ORACLE, op9_source_mixing
+from epiframe.llm.neardup import op5_minhash_neardup
 from epiframe.llm.pieces import op3_pieces
 from epiframe.llm.quality import op7_quality_rules
 from epiframe.llm.warc import OP8_ORACLE, op8_warc
 
 QUERIES = {
     "op3_pieces": op3_pieces,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
