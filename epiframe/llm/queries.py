@@ -7,6 +7,7 @@ from epiframe.llm.mixing import OP9_ORACLE, op9_source_mixing
 from epiframe.llm.neardup import op5_minhash_neardup
 from epiframe.llm.pieces import op3_pieces
 from epiframe.llm.quality import op7_quality_rules
+from epiframe.llm.repeats import op10_repeats
 from epiframe.llm.warc import OP8_ORACLE, op8_warc
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op9_source_mixing": op9_source_mixing,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE: dict[str, str] = {
