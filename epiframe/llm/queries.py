@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from epiframe.llm.langid import op1_language_id
 from epiframe.llm.lines import OP6_ORACLE, op6_line_dedup
 from epiframe.llm.mixing import OP9_ORACLE, op9_source_mixing
 from epiframe.llm.neardup import op5_minhash_neardup
@@ -11,6 +12,7 @@ from epiframe.llm.repeats import op10_repeats
 from epiframe.llm.warc import OP8_ORACLE, op8_warc
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_pieces": op3_pieces,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_line_dedup": op6_line_dedup,
