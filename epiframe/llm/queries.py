@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from epiframe.llm.ann import op4_nearest_neighbours
+from epiframe.llm.htmltext import op2_main_text
 from epiframe.llm.langid import op1_language_id
 from epiframe.llm.lines import OP6_ORACLE, op6_line_dedup
 from epiframe.llm.mixing import OP9_ORACLE, op9_source_mixing
@@ -14,6 +15,7 @@ from epiframe.llm.warc import OP8_ORACLE, op8_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_main_text": op2_main_text,
     "op3_pieces": op3_pieces,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_minhash_neardup": op5_minhash_neardup,
