@@ -37,11 +37,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that fail the base rule or a learned rule go (operator 7)."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_lid"), F.col("quality").alias("_q")) \
         .where("_q is not null")
-    stats = with_features(with_statistics(docs.select("doc_id", "text")))
-    labelled = stats.join(labels, stats["doc_id"] == F.col("_lid")).where(~base_failed())
+    # the statistics are written once, with the rows: learning and judging both read them
+    stats = materialise(with_statistics(_packed(docs, "doc_id", "text"), carry=("_row",)), "pipeline-statistics")
+    slim = with_features(stats.drop("_row"))
+    labelled = slim.join(labels, slim["doc_id"] == F.col("_lid")).where(~base_failed())
     rules = learn_decision_list(labelled, F.col("_q") == 0)
-    judged = with_features(with_statistics(_packed(docs, "doc_id", "text"), carry=("_row",)))
-    return judged.where(~base_failed() & rules.keep()).select("_row.*")
+    return with_features(stats).where(~base_failed() & rules.keep()).select("_row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
