@@ -115,7 +115,6 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, id_c
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    spark = docs.sparkSession
     occ = line_occurrences(docs, id_col, text)
     n = F.char_length("line")
     keyed = occ.select("d", "l", *_identity(F.col("line")),
@@ -124,25 +123,32 @@ def removed_lines(docs: DataFrame, max_edits: int = 1, min_chars: int = 10, id_c
         F.min(F.struct("d", "l")).alias("o"), F.count("*").alias("c"), F.first("k").alias("k"))
     distinct = materialise(distinct, "lines-distinct")
     if max_edits:
-        halves = distinct.where("k is not null").select("h1", "h2", "o", F.explode("k").alias("k"))
+        # Only (line hash, key) pairs are shuffled; two lines whose 64-bit hashes agree are
+        # told apart again below, where both hashes are joined.
+        halves = distinct.where("k is not null").select("h1", F.explode("k").alias("k"))
         shared = halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-        near = materialise(halves.join(shared, "k", "left_semi").select("h1", "h2", "o").distinct(), "lines-candidates")
-        later = _near_copies(spark, occ, near)
+        hit = materialise(halves.join(shared, "k", "left_semi").select("h1").distinct(), "lines-hits")
+        near = materialise(_with_small(distinct.select("h1", "h2", "o", "c"), hit, "h1"), "lines-candidates")
+        later = materialise(_near_copies(occ, near), "lines-later")
+        # lines to drop whole, and repeated lines that keep their first occurrence
+        gone = near.join(later, ["h1", "h2"]).select("h1", "h2", "o", F.lit(True).alias("gone")).unionByName(
+            distinct.where("c > 1").join(later, ["h1", "h2"], "left_anti").select("h1", "h2", "o", F.lit(False).alias("gone")))
     else:
-        later = distinct.select("h1", "h2").limit(0)
-    gone = distinct.join(later.withColumn("gone", F.lit(True)), ["h1", "h2"], "left") \
-        .where("gone or c > 1").select("h1", "h2", "o", F.coalesce("gone", F.lit(False)).alias("gone"))
+        gone = distinct.where("c > 1").select("h1", "h2", "o", F.lit(False).alias("gone"))
     out = keyed.select("d", "l", "h1", "h2").join(gone, ["h1", "h2"]) \
         .where(F.col("gone") | (F.struct("d", "l") != F.col("o")))
     return out.select("d", "l").distinct()
 
 
-def _near_copies(spark: SparkSession, occ: DataFrame, near: DataFrame) -> DataFrame:
+def _with_small(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``; broadcast only when counted small."""
+    keys = keys.select(*on)
+    return df.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_LINES else keys, list(on), "left_semi")
+
+
+def _near_copies(occ: DataFrame, near: DataFrame) -> DataFrame:
     """(h1, h2) of candidate lines with an earlier near copy."""
-    side = near.select("h1", "h2")
-    if near.count() <= MAX_BROADCAST_LINES:
-        side = F.broadcast(side)
-    texts = occ.select("d", "l", "line", *_identity(F.col("line"))).join(side, ["h1", "h2"], "left_semi")
+    texts = _with_small(occ.select("d", "l", "line", *_identity(F.col("line"))), near, "h1", "h2")
     # one row per distinct line: its first occurrence
     first = near.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "o.d", "o.l")
     texts = texts.join(first, ["d", "l"]).where("h1 = a1 and h2 = a2").select("h1", "h2", "d", "l", "line") \
