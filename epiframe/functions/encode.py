@@ -58,8 +58,10 @@ def encode_letters(seq: Column | str, codes: dict[str, int] | None = None,
         def code(ch):
             return amap[ch]
     # split('', '') yields [''], so the empty string is handled on its own.
-    return F.when(s == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.split(s, ""), code))
+    out = F.when(s == "", F.array().cast("array<int>"))
+    if strict:
+        out = out.when(s.isNull(), F.raise_error(F.lit("sequence is NULL")).cast("array<int>"))
+    return out.otherwise(F.transform(F.split(s, ""), code))
 
 
 def pad_middle(codes: Column | str, maxlen: int = PEPTIDE_WIDTH) -> Column:
@@ -89,7 +91,8 @@ def assemble(parts: Sequence[Column | str], width: int | None = None,
 
     Scalars are wrapped into one-element arrays. ``as_double`` makes the whole
     vector DOUBLE, as mixing in a float feature does in the reference. With a
-    ``width``, a vector of another size fails the job (``strict``) or becomes NULL.
+    ``width``, a vector of another size, a NULL part or a NULL element fails the job
+    (``strict``) or makes the vector NULL.
     """
     elem = "double" if as_double else "int"
     arrays = []
@@ -99,11 +102,11 @@ def assemble(parts: Sequence[Column | str], width: int | None = None,
     vec = F.concat(*[a.cast(f"array<{elem}>") for a in arrays])
     if width is None:
         return vec
-    bad = F.size(vec) != F.lit(width)
+    bad = vec.isNull() | (F.size(vec) != F.lit(width)) | F.exists(vec, lambda x: x.isNull())
     if strict:
         return F.when(bad, F.raise_error(
-            F.concat(F.lit(f"example vector width is not {width}: "),
-                     F.size(vec).cast("string")))).otherwise(vec)
+            F.concat(F.lit(f"example vector has a NULL or its width is not {width}: "),
+                     F.coalesce(F.size(vec).cast("string"), F.lit("NULL"))))).otherwise(vec)
     return F.when(bad, F.lit(None)).otherwise(vec)
 
 

@@ -14,16 +14,12 @@ from pyspark.sql import functions as F
 
 from epiframe.functions.activations import relu, sigmoid
 
-MAX_TERMS = 4096
-
 
 def affine(vec: Column | str, W, b, activation: str | None = None) -> Column:
     """ARRAY<DOUBLE> ``activation(vec @ W + b)`` for a vector column of length
     ``W.shape[0]``; ``activation`` is None, "relu" or "sigmoid"."""
     W, b = np.asarray(W, dtype=np.float64), np.asarray(b, dtype=np.float64)
     n_in, n_out = W.shape
-    if n_in * n_out > MAX_TERMS:
-        raise ValueError(f"layer {n_in}x{n_out} too wide for an expression; use linear_layer")
     v = F.col(vec) if isinstance(vec, str) else vec
     xs = [F.get(v, i).cast("double") for i in range(n_in)]
     outs = []

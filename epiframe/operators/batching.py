@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.operators.sampling import key_hash60
-from epiframe.plans.joins import max_broadcast_rows
-from epiframe.plans.ordering import default_buckets, ordered_index, quantile_bucket, running_totals
+from epiframe.plans.joins import sized_broadcast
+from epiframe.plans.ordering import default_buckets, ordered_index, range_buckets, running_totals
 from epiframe.session import checkpoint_root
 
-MAX_CLASSES = 1000
+# A row of a small class that fills more slots than this is first copied into chunks,
+# which are dealt to many tasks, and then into slots.
+SLOTS_PER_CHUNK = 10_000
 
 
 def hash_order_index(df: DataFrame, label: str, keys: Sequence[str], seed: int,
@@ -47,9 +49,10 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
     a smaller class is cycled and the largest class wraps only in its last batch.
     Output: all input columns + ``batch``, ``slot`` (0..n-1), ``rn``.
 
-    The slots are generated by ``spark.range`` across many tasks and joined to the
-    numbered rows on (class, rn); a class small enough is broadcast, so a
-    class repeated many times never lands in one task.
+    A row's slots follow from its number by arithmetic (rn - 1, rn - 1 + count, ...),
+    so there is one pass over the numbered rows whatever the number of classes, and
+    no join of slots; the class counts (one row per class) are joined, NULL being a
+    class like any other.
 
     ``checkpoint_input`` writes the input once to the checkpoint folder first,
     for inputs that are expensive to derive (numbering reads them twice).
@@ -59,35 +62,21 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
     if checkpoint_input:
         df = df.checkpoint(eager=True)
     numbered = hash_order_index(df, label, keys, seed).checkpoint(eager=True)
-    counts = numbered.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    classes = counts.limit(MAX_CLASSES + 1).collect()  # class column: bounded list
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label!r}")
-    if not classes:
-        return numbered.withColumn("batch", F.lit(0).cast("bigint")).withColumn(
-            "slot", F.lit(0).cast("bigint")).limit(0)
-    largest = max(r["n"] for r in classes)
-    n_batches = -(-largest // n_per_class)
-    total_slots = n_batches * n_per_class
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-                total_slots // 1_000_000 + 1)
-    bound = max_broadcast_rows(numbered)
-    pieces = []
-    for r in classes:
-        value, cnt = r[label], r["n"]
-        slots = spark.range(0, total_slots, 1, parts).select(
-            F.lit(value).cast(df.schema[label].dataType).alias(label),
-            (F.col("id") % cnt + 1).alias("rn"),
-            F.expr(f"id div {int(n_per_class)}").alias("batch"),
-            (F.col("id") % n_per_class).alias("slot"))
-        rows = numbered.filter(F.col(label) == F.lit(value))
-        if cnt <= bound:
-            rows = F.broadcast(rows)
-        pieces.append(slots.join(rows, [label, "rn"]))
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out
+    counts = numbered.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
+    total = -(-largest // n_per_class) * n_per_class
+    rows = numbered.join(sized_broadcast(counts), F.col(label).eqNullSafe(F.col("_cls"))) \
+        .withColumn("_times", F.expr(f"cast(ceil(({total} - rn + 1) / _n) as bigint)"))
+    few = rows.where(F.col("_times") <= SLOTS_PER_CHUNK).withColumn("_from", F.lit(0).cast("bigint"))
+    many = rows.where(F.col("_times") > SLOTS_PER_CHUNK) \
+        .withColumn("_from", F.explode(F.expr(f"sequence(0L, _times - 1, {SLOTS_PER_CHUNK}L)")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    many = many.repartition(parts, "_cls", "rn", "_from")
+    at = F.explode(F.expr(f"sequence(_from, least(_from + {SLOTS_PER_CHUNK - 1}L, _times - 1))"))
+    slotted = few.unionByName(many).withColumn("_k", at).withColumn("_s", F.expr("rn - 1 + _k * _n"))
+    return slotted.select(label, "rn", *[c for c in df.columns if c != label],
+                          F.expr(f"_s div {int(n_per_class)}").alias("batch"),
+                          (F.col("_s") % n_per_class).alias("slot"))
 
 
 def sequential_batches(df: DataFrame, batch_rows: int, order: Sequence[str],
@@ -95,20 +84,22 @@ def sequential_batches(df: DataFrame, batch_rows: int, order: Sequence[str],
                        n_buckets: int | None = None, checkpoint_input: bool = False) -> DataFrame:
     """Unshuffled batches of ``batch_rows`` rows in the order (``lead``, ``order``).
 
-    ``lead`` are leading sort columns of low cardinality (the class, as in
-    "negatives file, then positives file"); ``order`` the rest of the sort key,
-    whose first column ``split_col`` is numeric and is cut at its quantiles.
-    Adds ``rn`` (1-based within ``by``) and ``batch``.
+    ``lead`` are leading sort columns (the class, as in "negatives file, then
+    positives file"); ``order`` is the rest of the sort key and should make it
+    unique; ``split_col`` must be its first column. Adds ``rn`` (1-based within
+    ``by``) and ``batch``. NULL keys sort first and are numbered like all others.
 
-    The input is read three times (quantiles, bucket totals, numbering);
-    ``checkpoint_input`` writes it once to the checkpoint folder first, for
-    inputs that are expensive to derive.
+    Rows are cut into ranges of the whole sort key, so a value shared by most rows
+    is spread too. The input is read twice (splitters, ranges); ``checkpoint_input``
+    writes it once to the checkpoint folder first, for inputs that are expensive to
+    derive.
     """
+    if split_col != order[0]:
+        raise ValueError(f"split_col {split_col!r} is not the first order column {order[0]!r}")
     if checkpoint_input:
         checkpoint_root(df.sparkSession)
         df = df.checkpoint(eager=True)
-    n = n_buckets or default_buckets(df)
-    staged = quantile_bucket(df, split_col, n, out="_bkt")
-    out = running_totals(staged, list(by), [*lead, "_bkt"], [F.col(c) for c in order],
-                         {"rn": F.lit(1).cast("bigint")}, bucket_bound=True)
+    key = [*lead, *order]
+    staged = range_buckets(df, key, n_buckets)
+    out = running_totals(staged, list(by), "_bkt", [F.col(c) for c in key], {"rn": F.lit(1).cast("bigint")})
     return out.withColumn("batch", F.expr(f"(rn - 1) div {int(batch_rows)}"))

@@ -19,7 +19,7 @@ def encode_flank(flank, width: int = LAYOUT_WIDTHS["flank"], strict: bool = True
     """Flanking residues -> exactly ``width`` codes (no padding). ``codes`` may
     pass the already encoded letters (a column), so they are not encoded twice."""
     codes = encode_letters(flank, strict=strict) if codes is None else codes
-    bad = F.size(codes) != F.lit(width)
+    bad = ~F.size(codes).eqNullSafe(F.lit(width))
     if strict:
         return F.when(bad, F.raise_error(F.concat(
             F.lit(f"flank is not {width} residues: "), F.coalesce(flank, F.lit("NULL"))))
@@ -67,7 +67,8 @@ def encode_examples_checked(seqs: DataFrame, sample_codes: DataFrame, variant: s
     """Reject mode of :func:`encode_examples`: (good rows with ``vec``, rejected
     rows with ``reason``) instead of failing the job.
 
-    Reasons, first match wins: ``unknown_sample`` (no allele codes),
+    Reasons, first match wins: ``unknown_sample`` (no allele codes), ``null_input``
+    (a NULL sequence, abundance or flank that the variant needs),
     ``unknown_letter`` (a letter outside the alphabet), ``bad_width`` (a
     sequence longer than 11 or a flank of the wrong length). Both outputs come
     from one lazy plan; persist it or write both when the input is costly.
@@ -90,7 +91,13 @@ def encode_examples_checked(seqs: DataFrame, sample_codes: DataFrame, variant: s
     unknown_letter = F.exists(F.col("_pep"), lambda x: x.isNull())
     if variant == "flank":
         unknown_letter = unknown_letter | F.exists(F.col("_fl"), lambda x: x.isNull())
+    missing = F.col(seq_col).isNull()
+    if variant in ("abundance", "flank"):
+        missing = missing | F.col(abundance_col).isNull()
+    if variant == "flank":
+        missing = missing | F.col(flank_col).isNull()
     reason = (F.when(F.col("codes").isNull(), F.lit("unknown_sample"))
+              .when(missing, F.lit("null_input"))
               .when(unknown_letter, F.lit("unknown_letter"))
               .when(F.size(vec) != F.lit(width), F.lit("bad_width")))
     checked = staged.withColumn("reason", reason)

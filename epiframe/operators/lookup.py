@@ -11,27 +11,27 @@ from epiframe.plans.joins import sized_broadcast
 
 
 def unpivot_slots(wide: DataFrame, id_col: str = "sample_id",
-                  slot_cols: Sequence[str] | None = None) -> DataFrame:
-    """Wide typing rows (id, slot1..slotN) -> (id, slot, term); NULL slots dropped.
-
-    An empty slot carries no allele; it is skipped rather than looked up.
-    """
+                  slot_cols: Sequence[str] | None = None, keep_empty: bool = False) -> DataFrame:
+    """Wide typing rows (id, slot1..slotN) -> (id, slot, term); NULL slots are dropped
+    unless ``keep_empty``."""
     slot_cols = list(slot_cols or [c for c in wide.columns if c != id_col])
     long = wide.unpivot([id_col], slot_cols, "slot", "term")
-    return long.filter(F.col("term").isNotNull())
+    return long if keep_empty else long.filter(F.col("term").isNotNull())
 
 
 def encode_slots(wide: DataFrame, vocab: DataFrame, id_col: str = "sample_id",
-                 slot_cols: Sequence[str] | None = None, strict: bool = True) -> DataFrame:
+                 slot_cols: Sequence[str] | None = None, strict: bool = True,
+                 allow_empty: bool = False) -> DataFrame:
     """Per sample, the ascending list of its allele codes, duplicates kept.
 
     ``vocab`` is (term, code). Sorting loses the locus order, as in the
     reference; a homozygous sample lists its code twice. An unknown term fails
-    the job in ``strict`` mode and is left out otherwise (see :func:`unmatched_terms`).
+    the job in ``strict`` mode and is left out otherwise (see :func:`unmatched_terms`);
+    so does an empty (NULL) slot, unless ``allow_empty`` says that it carries no allele.
     A sample id that occurs on two rows fails in ``strict`` mode.
     """
     slot_cols = list(slot_cols or [c for c in wide.columns if c != id_col])
-    long = unpivot_slots(wide, id_col, slot_cols)
+    long = unpivot_slots(wide, id_col, slot_cols, keep_empty=strict and not allow_empty)
     return encode_slot_terms(long, vocab, id_col, slot_col="slot", strict=strict)
 
 
@@ -48,7 +48,7 @@ def encode_slot_terms(long: DataFrame, vocab: DataFrame, id_col: str = "sample_i
     code = F.col("code")
     if strict:
         code = F.when(code.isNull(), F.raise_error(
-            F.concat(F.lit("unknown allele term: "), F.col("term")))).otherwise(code)
+            F.concat(F.lit("unknown allele term: "), F.coalesce("term", F.lit("(empty slot)"))))).otherwise(code)
     else:
         joined = joined.filter(code.isNotNull())
     aggs = [F.sort_array(F.collect_list(code)).alias("codes")]

@@ -33,8 +33,15 @@ def class_counts(df: DataFrame, label: str = "label", by: Sequence[str] = ()) ->
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score",
                  by: Sequence[str] = ()) -> DataFrame:
-    """One row per (group, score): positives and negatives at that score."""
-    y = F.col(label).cast("long")
+    """One row per (group, score): positives and negatives at that score.
+
+    A label other than 0 or 1 and a NULL score fail the job; filter such rows first
+    if they are expected. A NULL group is a group of its own.
+    """
+    good = F.col(label).isin(0, 1) & F.col(score).isNotNull()
+    y = F.when(F.coalesce(good, F.lit(False)), F.col(label).cast("long")).otherwise(F.raise_error(F.concat(
+        F.lit("label must be 0 or 1 and score not NULL: "), F.coalesce(F.col(label).cast("string"), F.lit("NULL")),
+        F.lit(", "), F.coalesce(F.col(score).cast("string"), F.lit("NULL")))).cast("long"))
     return df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
 

@@ -54,9 +54,9 @@ def downsample_class(df: DataFrame, label: str, keys: Sequence[str], fraction: f
                      sampled_value=0, seed: int | None = None) -> DataFrame:
     """Sample only the rows of one class; all other rows are kept whole.
 
-    One filter, so positives and sampled negatives come out of a single scan.
+    A NULL label is another class and is kept. One filter, so positives and sampled negatives come out of a single scan.
     """
-    return df.filter((F.col(label) != F.lit(sampled_value)) | keep_by_key(keys, fraction, seed))
+    return df.filter(~F.col(label).eqNullSafe(F.lit(sampled_value)) | keep_by_key(keys, fraction, seed))
 
 
 def downsample_class_bernoulli(df: DataFrame, label: str, fraction: float,
@@ -65,4 +65,4 @@ def downsample_class_bernoulli(df: DataFrame, label: str, fraction: float,
 
     Like ``sample_rows`` its rows depend on the partitioning of the input.
     """
-    return df.filter((F.col(label) != F.lit(sampled_value)) | (F.rand(seed) < F.lit(fraction)))
+    return df.filter(~F.col(label).eqNullSafe(F.lit(sampled_value)) | (F.rand(seed) < F.lit(fraction)))

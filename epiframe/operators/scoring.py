@@ -486,15 +486,23 @@ def save_state(spark, path: str, w: Weights, state: AdamState, next_step: int) -
     rows += [("__m", [state.m.size], state.m.tolist()), ("__v", [state.v.size], state.v.tolist()),
              ("__step", [2], [float(next_step), float(state.t)])]
     df = spark.createDataFrame(rows, "name string, shape array<int>, value array<double>")
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+    # a folder per step; Spark marks it with _SUCCESS when it is whole
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/step={next_step:012d}")
 
 
 def load_state(spark, path: str, like: Weights):
-    """(weights, state, next_step) saved by :func:`save_state`, or None."""
-    try:
-        rows = {r["name"]: r for r in spark.read.parquet(path).collect()}  # one row per tensor
-    except Exception:  # noqa: BLE001 - nothing saved yet
+    """(weights, state, next_step) of the last whole :func:`save_state`, or None if
+    nothing was saved. A state that cannot be read is an error."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
         return None
+    steps = [str(f.getPath().getName()) for f in fs.listStatus(base)]
+    whole = [s for s in steps if s.startswith("step=")
+             and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{s}/_SUCCESS"))]
+    if not whole:
+        return None
+    rows = {r["name"]: r for r in spark.read.parquet(f"{path}/{max(whole)}").collect()}  # one row per tensor
     arrays = {k: np.asarray(rows[k]["value"], dtype=np.float64).reshape(like.arrays[k].shape)
               for k in like.arrays}
     step, t = rows["__step"]["value"]

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,15 +51,36 @@ def max_broadcast_rows(df: DataFrame) -> int:
     return max(1, min(rows, limit // approx_row_bytes(df)))
 
 
+def _value_bytes(c: Column, dt: T.DataType) -> Column:
+    """Bytes of one value, measured where its size varies."""
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda a, x: a + F.coalesce(F.octet_length(x), F.lit(0)) + 16), F.lit(0))
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        per = approx_type_bytes(dt) // _ARRAY_ELEMENTS + 1
+        return F.coalesce(F.size(c), F.lit(0)).cast("long") * per + 16
+    if isinstance(dt, T.StructType):
+        return sum((_value_bytes(c[f.name], f.dataType) for f in dt.fields), F.lit(16).cast("long"))
+    return F.lit(approx_type_bytes(dt)).cast("long")
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a dimension, in one job over it; bytes from the data."""
+    size = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return r["n"], r["b"]
+
+
 def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Return ``broadcast(df)`` when its row count is within the bound, else ``df``.
+    """Return ``broadcast(df)`` when its rows and its measured bytes are within the
+    bounds, else ``df``.
 
-    The count runs one small job over the dimension only; the large side is not
-    touched. Above the bound the planner (with AQE) chooses the join.
+    One small job over the dimension measures it; nothing is cached, and the large
+    side is not touched. Above a bound the planner (with AQE) chooses the join.
     """
-    bound = max_broadcast_rows(df) if max_rows is None else max_rows
-    # Kept after the count so the join does not derive the dimension again; a
-    # lost block is rebuilt from the (deterministic) plan.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n <= bound else df
+    conf = df.sparkSession.conf
+    rows = max_rows if max_rows is not None else int(conf.get(CONF_KEY, None) or DEFAULT_MAX_BROADCAST_ROWS)
+    limit = int(conf.get(CONF_BYTES, None) or DEFAULT_MAX_BROADCAST_BYTES)
+    n, size = measure(df)
+    return F.broadcast(df) if n <= rows and size <= limit else df

@@ -23,15 +23,26 @@ MAX_BUCKETS = 1 << 16
 
 
 def default_buckets(df: DataFrame) -> int:
-    """About four buckets per shuffle partition or input split, power of two."""
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        inputs = df.rdd.getNumPartitions()
-    except Exception:  # plans without an RDD form (e.g. streaming)
-        inputs = 1
-    want = 4 * max(shuffle, inputs, 1)
-    return min(MAX_BUCKETS, 1 << math.ceil(math.log2(want)))
+    """About four buckets per shuffle partition, a power of two (at most
+    ``MAX_BUCKETS``; the number only affects load balance, never the result)."""
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(MAX_BUCKETS, 1 << math.ceil(math.log2(4 * max(shuffle, 1))))
+
+
+def range_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = None,
+                  out: str = "_bkt") -> DataFrame:
+    """Cut rows into ranges of the whole sort key (sampled splitters), ``out`` = the
+    range's number, and write them once to the checkpoint folder.
+
+    Because every order column takes part, a value that most rows share in the
+    leading column is still spread over many ranges. NULL sorts first, as in an
+    ascending ORDER BY.
+    """
+    from epiframe.session import checkpoint_root
+
+    checkpoint_root(df.sparkSession)
+    n = n_buckets or default_buckets(df)
+    return df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()).checkpoint(eager=True)
 
 
 def hash_bucket(h: Column, n_buckets: int) -> Column:
@@ -58,12 +69,15 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int, out: str = "_bkt")
     bounds = df.stat.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if probs else []
     bounds = sorted({float(b) for b in bounds if b is not None and not math.isnan(b)})
     splits = [-math.inf] + [b for b in bounds if math.isfinite(b)] + [math.inf]
+    # NULL is a bucket of its own below all others: ascending orders put it first,
+    # descending ones last
+    null_first = F.when(F.col(col).isNull(), F.lit(-1))
     if len(splits) < 3:  # one bucket (Bucketizer needs at least two)
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, null_first.otherwise(F.lit(0)))
     tmp = f"{out}_in"
     src = df.withColumn(tmp, F.col(col).cast("double"))
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(src).withColumn(out, F.col(out).cast("int")).drop(tmp)
+    return b.transform(src).withColumn(out, null_first.otherwise(F.col(out).cast("int"))).drop(tmp)
 
 
 def running_totals(df: DataFrame, by: Sequence[str], bucket: str | Sequence[str],
@@ -96,7 +110,12 @@ def running_totals(df: DataFrame, by: Sequence[str], bucket: str | Sequence[str]
         F.coalesce(F.sum(f"_t_{k}").over(w_off), F.lit(0)).alias(f"_off_{k}") for k in values])
     if not by and bucket_bound:
         offsets = F.broadcast(offsets)
-    joined = local.join(offsets, keys)
+    # NULL keys are groups like any other
+    offsets = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_off_{k}" for k in values])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(offsets, same).drop(*[f"_k_{k}" for k in keys])
     out = joined.select("*", *[(F.col(f"_l_{k}") + F.col(f"_off_{k}")).alias(k) for k in values])
     drop = [f"_{p}_{k}" for k in values for p in ("v", "l", "off")] + \
         [b for b in buckets if b.startswith("_")]
@@ -144,12 +163,10 @@ def dense_codes(df: DataFrame, col: str, name: str = "code",
                 n_buckets: int | None = None) -> DataFrame:
     """Number the distinct values of a string column 1..n in string order.
 
-    Distributed: buckets come from quantiles of the byte-prefix key, each bucket
-    is numbered by its own window, and bucket sizes (one row per bucket) give
-    the offsets.
+    NULL gets no code. Distributed: the distinct values are cut into ranges of the
+    whole string, each range is numbered by its own window, and range sizes (one
+    row per range) give the offsets.
     """
-    distinct = df.select(col).distinct().withColumn("_pk", string_prefix_key(col))
-    n = n_buckets or default_buckets(distinct)
-    staged = quantile_bucket(distinct, "_pk", n, out="_bkt")
+    staged = range_buckets(df.select(col).where(F.col(col).isNotNull()).distinct(), [col], n_buckets)
     out = running_totals(staged, [], "_bkt", [F.col(col)], {name: F.lit(1).cast("bigint")})
     return out.select(col, F.col(name).cast("int").alias(name))

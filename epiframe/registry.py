@@ -44,7 +44,7 @@ def r6(c: Column | str) -> Column:
 
 
 def _codes(spark, sf):
-    return encode_slots(S.slots_wide(spark, sf), S.voc_table(spark, sf))
+    return encode_slots(S.slots_wide(spark, sf), S.voc_table(spark, sf), allow_empty=True)
 
 
 def _split_col() -> Column:

@@ -71,5 +71,5 @@ def load_dictionaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def residue_codes_from(residues: DataFrame) -> dict[str, int]:
     """The residue table as a dict for :func:`epiframe.functions.encode_letters`
-    (23 rows, a fixed-size dictionary)."""
-    return {r["letter"]: int(r["code"]) for r in residues.limit(1000).collect()}
+    (one row per letter)."""
+    return {r["letter"]: int(r["code"]) for r in residues.collect()}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from epiframe.functions.encode import strip_blanks
+from epiframe.plans.joins import sized_broadcast
 
 
 def scan_lines(spark: SparkSession, path: str, min_partitions: int | None = None,
@@ -63,33 +64,65 @@ def parse_fields(df: DataFrame, fields: int = 2, col: str = "value",
     return df.select(*keep, *out)
 
 
+def numbered_lines(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """(file, line_no, value): lines with their 1-based number in their file.
+
+    Without reading a file whole: every file split (``_metadata.file_block_start``)
+    numbers its own lines in read order, and the line counts of a file's splits (one
+    row per split) give the offsets. A line crossing a split boundary belongs to the
+    split it starts in, as the line reader assigns it.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true") if recursive else spark.read
+    lines = reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        # increases along the read order inside a task; file splits are fixed by
+        # the listing, so a re-run task reads the same rows in the same order
+        F.monotonically_increasing_id().alias("_rid"),
+        "value")
+    local = lines.withColumn(
+        "_i", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_rid")))
+    sizes = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "_block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_off"))
+    return local.join(sized_broadcast(offsets), ["file", "_block"]).select(
+        "file", (F.col("_off") + F.col("_i")).alias("line_no"), "value")
+
+
 def read_labelled(spark: SparkSession, path: str, fields: int = 2, strict: bool = True,
-                  with_paths: bool = True) -> DataFrame:
-    """Labelled lines -> (seq, [abundance,] label [, split, sample, label_from_path])."""
-    lines = scan_lines(spark, path)
+                  with_paths: bool = True, line_no: bool = False) -> DataFrame:
+    """Labelled lines -> (seq, [abundance,] label [, split, sample, label_from_path]).
+
+    ``line_no`` adds (file, line_no), a unique key of every line: sampling, batching
+    and dropout need one, and it restores file order. Blank lines use up a number.
+    """
+    lines = numbered_lines(spark, path) if line_no else scan_lines(spark, path)
     if with_paths:
-        lines = with_path_columns(lines)
+        lines = with_path_columns(lines, "file" if line_no else None)
     return parse_fields(clean_lines(lines), fields, strict=strict)
 
 
 # Path patterns: "<root>/<split>/<sample>_<pos|neg>.<ext>" as the reference lays
 # files out, or the same names as partition directories ("split=train",
 # "file=<sample>_pos.txt") as Spark writers produce them.
-_SPLIT_RE = r"(?:^|/)(?:[A-Za-z_]+=)?(train|test)(?:/|$)"
-_CLASS_RE = r"(?:^|/)(?:[A-Za-z_]+=)?([^/=]+?)_(pos|neg)(?:\.[^/]*)?(?:/|$)"
-# Without a class suffix: the last path component (or the directory holding a
-# Spark part file) up to its first dot.
-_PLAIN_RE = r"(?:^|/)(?:[A-Za-z_]+=)?([^/=.]+)[^/]*(?:/part-[^/]*)?$"
+# The last split directory and the last component count (a Spark part file stands for
+# its directory), whatever the root is called.
+_SPLIT_RE = r"^(?:.*/)?(?:[A-Za-z_]+=)?(train|test)(?:/|$)"
+_NAME_RE = r"([^/]*)/?$"
+_CLASS_RE = r"^(.+)_(pos|neg)(?:\..*)?$"
 
 
 def path_columns(path: Column) -> dict[str, Column]:
-    cls = F.regexp_extract(path, _CLASS_RE, 2)
-    with_class = F.regexp_extract(path, _CLASS_RE, 1)
-    plain = F.regexp_extract(path, _PLAIN_RE, 1)
-    split = F.regexp_extract(path, _SPLIT_RE, 1)
+    # file paths of a scan are URIs: undo percent signs, leave plus signs alone
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    whole = F.regexp_replace(plain, "/part-[^/]*$", "")
+    name = F.regexp_replace(F.regexp_extract(whole, _NAME_RE, 1), "^[A-Za-z_]+=", "")
+    cls = F.regexp_extract(name, _CLASS_RE, 2)
+    split = F.regexp_extract(plain, _SPLIT_RE, 1)
     return {
         "split": F.when(split != "", split),
-        "sample": F.when(cls != "", with_class).otherwise(plain),
+        "sample": F.when(cls != "", F.regexp_extract(name, _CLASS_RE, 1))
+        .otherwise(F.regexp_extract(name, r"^([^.]*)", 1)),
         "path_label": F.when(cls == "pos", F.lit(1)).when(cls == "neg", F.lit(0)),
     }
 
@@ -108,27 +141,17 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     returned); a repeated term keeps its last number. Several files are
     numbered one after another in path order.
 
-    Line numbers without reading a file whole: every file split
-    (``_metadata.file_block_start``) numbers its own lines in read order, and
-    the line counts of the splits (one row per split) give the offsets. A line
-    crossing a split boundary belongs to the split it starts in, as the line
-    reader assigns it. Line ends are \\n, \\r\\n or a lone \\r, as in Python.
+    Lines are numbered per file (:func:`numbered_lines`); the files' line counts (one
+    row per file) give the offsets between files. Line ends are \\n, \\r\\n or a lone
+    \\r, as in Python.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        # increases along the read order inside a task; file splits are fixed by
-        # the listing, so a re-run task reads the same rows in the same order
-        F.monotonically_increasing_id().alias("_rid"),
-        "value")
-    local = lines.withColumn(
-        "i", F.row_number().over(Window.partitionBy("file", "block").orderBy("_rid")))
-    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per file split: bounded by the input size / split size
-    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
-    numbered = local.join(F.broadcast(offsets), ["file", "block"]).select(
-        strip_blanks("value").alias("term"), (F.col("off") + F.col("i")).alias("code"))
+    lines = numbered_lines(spark, path, recursive=False)
+    sizes = lines.groupBy("file").agg(F.max("line_no").alias("n"))
+    # one row per file of one vocabulary
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("off"))
+    numbered = lines.join(sized_broadcast(offsets), "file").select(
+        strip_blanks("value").alias("term"), (F.col("off") + F.col("line_no")).alias("code"))
     return (numbered.filter(F.col("term") != "")
             .groupBy("term").agg(F.max("code").cast("int").alias("code")))
 

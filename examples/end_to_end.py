@@ -54,16 +54,16 @@ def write_demo_inputs(spark, sf_dir: str, root: str) -> tuple[str, str, str]:
 def run(spark, vocab: str, slots: str, lines: str, work: str, variant: str = "abundance",
         fraction: float = 0.1, n_per_class: int = 200, steps: int = 3, seed: int = 0):
     # 1. dictionaries
-    codes = encode_slots(text.read_slots(spark, slots), text.read_vocab(spark, vocab))
+    codes = encode_slots(text.read_slots(spark, slots), text.read_vocab(spark, vocab), allow_empty=True)
     sinks.save_dictionaries(sinks.residue_table(spark), codes, f"{work}/dict")
     _, codes = sinks.load_dictionaries(spark, f"{work}/dict")
 
-    # 2. split + down-sample negatives in one scan; keyed by (path, line) so the
-    #    same lines are kept on any re-run
-    raw = text.with_path_columns(text.scan_lines(spark, lines))
-    raw = raw.select("value", "split", "sample", F.col("_metadata.file_path").alias("path"))
+    # 2. split + down-sample negatives in one scan; keyed by (file, line number) so the
+    #    same lines are kept on any re-run and equal lines are decided one by one
+    raw = text.with_path_columns(text.numbered_lines(spark, lines), "file")
+    raw = raw.select("value", "split", "sample", "file", "line_no")
     split.write_split(raw, f"{work}/split", extra_partitions=("split", "sample"),
-                      negative_fraction=fraction, key_cols=("path", "value"), seed=seed)
+                      negative_fraction=fraction, key_cols=("file", "line_no"), seed=seed)
 
     # 3. encode and write examples
     # directories give split and sample; the label is parsed from the line itself

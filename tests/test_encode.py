@@ -1,28 +1,25 @@
 import pytest
 from pyspark.sql import functions as F
 
+from epiframe.functions.alphabet import RESIDUE_CODES
 from epiframe.functions import (assemble, encode_letters, multi_hot, one_hot, pad_middle,
                                 peptide_vector, strip_blanks)
 
 
-def _py_pad(seq, maxlen=11):
-    from epiframe.functions.alphabet import RESIDUE_CODES
-
-    o = [RESIDUE_CODES[c] for c in seq]
-    k = len(o)
-    return o[:k // 2] + [0] * (maxlen - k) + o[k // 2:]
-
-
-@pytest.mark.parametrize("seq", ["", "A", "AC", "ACD", "ACDEFGHI", "ACDEFGHIK",
-                                 "ACDEFGHIKLM", "ACDEFGHIKLMN", "AZOUY"])
-def test_pad_middle_matches_reference_rule(spark, seq):
+@pytest.mark.parametrize("seq, want", [
+    ("", [0] * 11),
+    ("A", [0] * 10 + [1]),
+    ("AC", [1] + [0] * 9 + [2]),
+    ("ACD", [1] + [0] * 8 + [2, 3]),
+    ("ACDEFGHI", [1, 2, 3, 4, 0, 0, 0, 5, 6, 7, 8]),
+    ("ACDEFGHIK", [1, 2, 3, 4, 0, 0, 5, 6, 7, 8, 9]),
+    ("ACDEFGHIKLM", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]),
+    ("ACDEFGHIKLMN", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]),  # longer ones are not cut
+    ("AZOUY", [1, 0] + [0] * 6 + [21, 22, 20]),
+])
+def test_pad_middle_by_length(spark, seq, want):
     df = spark.createDataFrame([(seq,)], "s string")
-    got = df.select(peptide_vector("s").alias("v")).first()["v"]
-    assert got == _py_pad(seq)
-    if len(seq) <= 11:
-        assert len(got) == 11
-    else:  # longer sequences are not cut
-        assert len(got) == len(seq)
+    assert df.select(peptide_vector("s").alias("v")).first()["v"] == want
 
 
 def test_letters_codes_and_unknown(spark):
@@ -91,7 +88,11 @@ def test_pad_middle_keeps_letter_order(spark):
     def check(seq):
         df = spark.createDataFrame([(seq,)], "s string")
         got = df.select(pad_middle(encode_letters("s"))).first()[0]
-        assert got == _py_pad(seq)
-        assert [x for x in got if x] == [x for x in _py_pad(seq) if x]
+        codes = [RESIDUE_CODES[c] for c in seq]
+        half = len(seq) // 2
+        assert len(got) == 11
+        assert got[:half] == codes[:half]                        # left half in front
+        assert got[11 - (len(seq) - half):] == codes[half:]      # the rest at the end
+        assert not any(got[half:11 - (len(seq) - half)])         # zeros between
 
     check()
