@@ -1,10 +1,9 @@
 """Operator 5: near duplicates by improved consistent weighted sampling (ICWS).
 
-Documents are weighted sets of five-word shingles, weight = count x IDF. The IDF
-has a ceiling: shingles in fewer than ``rare`` documents all weigh 1, more frequent
-ones less. Frequent shingles are found exactly in two passes (a hashed count array
-that rules out all others, then exact counts of the rest); their number is bounded
-by shingles per document / ``RARE_SHARE``, whatever the corpus size.
+Documents are weighted sets of five-word shingles, weight = count x IDF. Document
+frequencies are counted over all documents in 2^20 hashed counters; a shingle whose
+counter is below ``rare`` documents weighs 1, more frequent ones less (a shingle that
+shares a counter with a frequent one weighs as that one does, in every document).
 
 Each document gets ICWS samples (Ioffe, 2010), banded into keys. Documents with a
 common key are compared by weighted Jaccard similarity, and documents of at least
@@ -27,8 +26,8 @@ from epiframe.llm.graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3            # P(no common band) = 1e-5 at similarity 0.8
-TABLE_BITS = 17                # rows of the table of random variates
-SKETCH_BITS = 20               # counters that rule out rare shingles
+TABLE_BITS = 16                # rows of the table of random variates
+SKETCH_BITS = 20               # hashed counters of document frequency
 RARE_SHARE, RARE_LEAST = 1000, 32
 SKETCH_BLOCK = 1 << 14
 SEED = 0x5EED
@@ -60,7 +59,7 @@ def word_hashes(text: str):
 
         class Words(dict):
             def __missing__(self, w):
-                if len(self) > 300_000:
+                if len(self) > 500_000:
                     self.clear()
                 h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
                 self[w] = h
@@ -70,11 +69,10 @@ def word_hashes(text: str):
     return np.fromiter(map(_STATE["words"].__getitem__, words), np.uint64, len(words))
 
 
-def shingles(text: str | None):
-    """64-bit hashes of the five-word shingles, in order (with repeats). A text of one
-    to four words is one shingle; NULL, empty and blank texts have none."""
+def shingles(h):
+    """64-bit hashes of the five-word shingles of hashed words, in order (with
+    repeats). A text of one to four words is one shingle; one without words has none."""
     import numpy as np
-    h = word_hashes(text or "")
     n = len(h)
     if n == 0:
         return h
@@ -87,75 +85,64 @@ def shingles(text: str | None):
 
 
 class Idf:
-    """Weights of frequent shingles (sorted hashes); every other shingle weighs 1."""
+    """Weights by counter (ascending counter numbers); every other counter weighs 1."""
 
     def __init__(self, frequent, weights):
         self.frequent, self.weights = frequent, weights
 
-    def vector(self, text: str | None):
-        """(distinct shingles ascending, weights)."""
+    def vector(self, h):
+        """(distinct shingles ascending, weights) of hashed words."""
         import numpy as np
-        s, tf = np.unique(shingles(text), return_counts=True)
+        s, tf = np.unique(shingles(h), return_counts=True)
         w = tf.astype(np.float64)
         if len(self.frequent) and len(s):
-            at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
-            hit = self.frequent[at] == s
+            counter = s >> np.uint64(64 - SKETCH_BITS)
+            at = np.minimum(np.searchsorted(self.frequent, counter), len(self.frequent) - 1)
+            hit = self.frequent[at] == counter
             w[hit] *= self.weights[at[hit]]
         return s, w
 
 
-def variates(rows):
-    """r, ln c (both from Gamma(2, 1)) and beta of table rows, shape (len, samples)."""
+def variates():
+    """r, ln c (both from Gamma(2, 1)), beta and ln a at weight 1 of every table row and
+    sample (float32), made once per worker."""
     import numpy as np
-    k = BANDS * ROWS
-    base = rows.astype(np.uint64)[:, None] * np.uint64(k) + np.arange(k, dtype=np.uint64)[None, :]
-
-    def u(i):
-        x = mix64(base * np.uint64(5) + np.uint64(i) + np.uint64(SEED * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-    r = -np.log(u(0) * u(1))
-    return r, np.log(-np.log(u(2) * u(3))), u(4)
-
-
-def unit_table():
-    """ln a of every table row at weight 1 (t = 0 there)."""
-    import numpy as np
-    if "unit" not in _STATE:
-        out = np.empty((1 << TABLE_BITS, BANDS * ROWS), np.float32)
-        for at in range(0, len(out), 4096):
-            r, lnc, beta = variates(np.arange(at, at + 4096))
-            out[at:at + 4096] = lnc + r * beta - r
-        _STATE["unit"] = out
-    return _STATE["unit"]
+    if "variates" not in _STATE:
+        k = BANDS * ROWS
+        out = [np.empty((1 << TABLE_BITS, k), np.float32) for _ in range(4)]
+        for at in range(0, 1 << TABLE_BITS, 4096):
+            base = np.arange(at * k, (at + 4096) * k, dtype=np.uint64).reshape(4096, k)
+
+            def u(i):
+                x = mix64(base * np.uint64(5) + np.uint64((i + SEED * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+                return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+            out[0][at:at + 4096] = -np.log(u(0) * u(1))
+            out[1][at:at + 4096] = np.log(-np.log(u(2) * u(3)))
+            out[2][at:at + 4096] = u(4)
+        r, lnc, beta, unit = out
+        unit[:] = lnc - r * (np.float32(0) - beta) - r
+        _STATE["variates"] = out
+    return _STATE["variates"]
 
 
 def band_keys(s, w):
-    """Band keys (int64) of a weighted shingle set; variates are drawn per table row,
-    chosen by the top bits of the shingle."""
+    """Band keys (int64) of a weighted shingle set. Variates are drawn per table row,
+    chosen by the top bits of the shingle; the sample (row, t) is known by its ln a."""
     import numpy as np
-    unit, k = unit_table(), BANDS * ROWS
+    r, lnc, beta, unit = variates()
+    k = BANDS * ROWS
     rows = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    best = np.full(k, np.inf, np.float32)
-    sample = np.zeros(k, np.uint64)
-    for at in range(0, len(rows), 8192):
-        part, pw = rows[at:at + 8192], w[at:at + 8192]
-        a = unit[part]
-        t = None
-        odd = np.flatnonzero(pw != 1.0)
-        if len(odd):
-            r, lnc, beta = variates(part[odd])
-            steps = np.floor(np.log(pw[odd])[:, None] / r + beta)
-            a[odd] = lnc - r * (steps - beta) - r
-            t = np.zeros(a.shape, np.int32)
-            t[odd] = steps
-        i = a.argmin(0)
-        cols = np.arange(k)
-        low = a[i, cols]
-        code = part[i].astype(np.uint64) << np.uint64(32)
-        if t is not None:
-            code |= t[i, cols].astype(np.uint32).astype(np.uint64)
-        better = low < best
-        best[better], sample[better] = low[better], code[better]
+    least = np.full(k, np.inf, np.float32)
+    plain = w == 1.0
+    ordinary, odd = rows[plain], rows[~plain]
+    for at in range(0, len(ordinary), 8192):
+        least = np.minimum(least, unit[ordinary[at:at + 8192]].min(0))
+    log_w = np.log(w[~plain]).astype(np.float32)
+    for at in range(0, len(odd), 8192):
+        i = odd[at:at + 8192]
+        t = np.floor(log_w[at:at + 8192, None] / r[i] + beta[i])
+        least = np.minimum(least, (lnc[i] - r[i] * (t - beta[i]) - r[i]).min(0))
+    sample = least.view(np.uint32).astype(np.uint64)
     x = mix64(sample + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
@@ -173,11 +160,13 @@ def weighted_jaccard(sa, wa, sb, wb) -> float:
 
 # --- corpus statistics ------------------------------------------------------------
 
-def frequent_shingles(texts: DataFrame, n_docs: int):
-    """Idf over all texts (column 0). Exact document counts of every shingle in at
-    least ``rare`` documents; the rest cannot reach it and weighs 1."""
+def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
+    """IDF weights from counters over all texts (column 0).
+
+    At most mean distinct shingles per document x ``RARE_SHARE`` counters can reach
+    ``rare``, whatever the corpus size; only those come to the driver.
+    """
     import numpy as np
-    spark = texts.sparkSession
     rare = max(RARE_LEAST, math.ceil(n_docs / RARE_SHARE))
     if n_docs < rare:
         return Idf(np.zeros(0, np.uint64), np.zeros(0))
@@ -187,7 +176,7 @@ def frequent_shingles(texts: DataFrame, n_docs: int):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             for t in b.column(0):
-                s = np.unique(shingles(t.as_py()))
+                s = np.unique(shingles(word_hashes(t.as_py() or "")))
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         blocks = counts.reshape(-1, SKETCH_BLOCK)
         used = [i for i in range(len(blocks)) if blocks[i].any()]
@@ -201,37 +190,16 @@ def frequent_shingles(texts: DataFrame, n_docs: int):
         total = np.zeros(SKETCH_BLOCK, np.int64)
         for c in frame["counts"]:
             total += np.frombuffer(c, np.uint32)
-        hot = np.flatnonzero(total >= rare) + int(key[0]) * SKETCH_BLOCK
-        return pd.DataFrame({"bucket": hot.astype(np.int32)})
+        hot = np.flatnonzero(total >= rare)
+        return pd.DataFrame({"counter": (hot + int(key[0]) * SKETCH_BLOCK).astype(np.int32), "n": total[hot]})
 
     # one row of 64 kB per task and block: a block's rows grow with tasks, not documents
     blocks = texts.mapInArrow(sketch, "block int, counts binary")
-    hot = blocks.groupBy("block").applyInPandas(add, "bucket int").collect()  # at most 2^SKETCH_BITS
-    bits = np.zeros(1 << SKETCH_BITS, bool)
-    bits[[r["bucket"] for r in hot]] = True
-    if not bits.any():
-        return Idf(np.zeros(0, np.uint64), np.zeros(0))
-    bits = spark.sparkContext.broadcast(np.packbits(bits))
-
-    def exact(batches):
-        import pyarrow as pa
-        may = np.unpackbits(bits.value).astype(bool)
-        for b in batches:
-            got = [np.zeros(0, np.uint64)]
-            for t in b.column(0):
-                s = np.unique(shingles(t.as_py()))
-                got.append(s[may[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]])
-            s, n = np.unique(np.concatenate(got), return_counts=True)
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))],
-                                                 names=["s", "n"])
-
-    rows = texts.mapInArrow(exact, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")) \
-        .where(F.col("n") >= rare).collect()  # at most mean shingles per document x RARE_SHARE rows
-    rows = sorted((r["s"] & (1 << 64) - 1, r["n"]) for r in rows)
+    hot = sorted((r["counter"], r["n"]) for r in
+                 blocks.groupBy("block").applyInPandas(add, "counter int, n long").collect())
     top = math.log1p(n_docs / rare)
-    return Idf(np.array([s for s, _ in rows], np.uint64),
-               np.array([math.log1p(n_docs / n) / top for _, n in rows], np.float64))
+    return Idf(np.array([c for c, _ in hot], np.uint64),
+               np.array([max(0.05, math.log1p(n_docs / n) / top) for _, n in hot], np.float64))
 
 
 # --- links ------------------------------------------------------------------------
@@ -250,7 +218,7 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
                 if not len(h):
                     continue
                 x = xxhash.xxh3_128_digest(h.tobytes())
-                s, w = weights.vector(t)
+                s, w = weights.vector(h)
                 ids.append(d)
                 k1.append(int.from_bytes(x[:8], "little", signed=True))
                 k2.append(int.from_bytes(x[8:], "little", signed=True))
@@ -272,7 +240,7 @@ def _vectors(docs: DataFrame, idf) -> DataFrame:
         for b in batches:
             ids, ss, ws = b.column(0), [], []
             for t in b.column(1):
-                s, w = weights.vector(t.as_py())
+                s, w = weights.vector(word_hashes(t.as_py() or ""))
                 ss.append(s.tobytes())
                 ws.append(b"" if (w == 1.0).all() else w.tobytes())
             yield pa.RecordBatch.from_arrays([ids, pa.array(ss, pa.binary()), pa.array(ws, pa.binary())], names=["id", "s", "w"])
@@ -295,6 +263,11 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
 
+    # later rounds ask for few texts: only their vectors are shuffled
+    asked = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-asked")
+    if asked.count() <= MAX_BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    vectors = vectors.join(asked, "id", "left_semi")
     left = vectors.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
     right = vectors.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
@@ -311,7 +284,7 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     prepare_python(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
     n_docs = src.count()
-    idf = spark.sparkContext.broadcast(frequent_shingles(src.select("t"), n_docs))
+    idf = spark.sparkContext.broadcast(document_frequencies(src.select("t"), n_docs))
     sig = materialise(_signatures(src, idf), "near-signatures")
     # texts with the same words: one representative each
     reps = materialise(sig.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
@@ -324,7 +297,7 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     members = materialise(live.select("id").distinct(), "near-members")
     side = F.broadcast(members) if members.count() <= MAX_BROADCAST_IDS else members
     # texts without a word have no signature, so ids here always have a vector
-    vectors = materialise(_vectors(src.join(side, "id", "left_semi"), idf).dropDuplicates(["id"]), "near-vectors")
+    vectors = materialise(_vectors(src.join(side, "id", "left_semi"), idf), "near-vectors")
     label = members.select("id", F.col("id").alias("c"))
     found: DataFrame | None = None
     leaders = 1
