@@ -281,7 +281,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def page_of(urn: Column) -> Column:
-    return F.regexp_extract(urn, "^<urn:page:(-?[0-9]+)>$", 1).cast("long")
+    return F.regexp_extract(urn, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
