@@ -16,6 +16,7 @@ leaders, until no key holds two components whose members have not been compared.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ SKETCH_BITS = 20               # hashed counters of document frequency
 RARE_SHARE, RARE_LEAST = 1000, 32
 SKETCH_BLOCK = 1 << 14
 SEED = 0x5EED
+VECTOR_ROWS = 500              # rows with packed vectors in one Arrow batch
 MAX_BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it a shuffle join fetches the texts
 
 _STATE: dict = {}
@@ -233,8 +235,10 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def _vectors(docs: DataFrame, idf) -> DataFrame:
-    """(id, s, w): packed shingles and weights (empty when all weigh 1)."""
+    """(id, s, w): packed shingles, and the weights other than 1 as packed positions
+    followed by values."""
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         weights = idf.value
         for b in batches:
@@ -242,20 +246,36 @@ def _vectors(docs: DataFrame, idf) -> DataFrame:
             for t in b.column(1):
                 s, w = weights.vector(word_hashes(t.as_py() or ""))
                 ss.append(s.tobytes())
-                ws.append(b"" if (w == 1.0).all() else w.tobytes())
+                odd = np.flatnonzero(w != 1.0)
+                ws.append(odd.astype(np.uint32).tobytes() + w[odd].tobytes())
             yield pa.RecordBatch.from_arrays([ids, pa.array(ss, pa.binary()), pa.array(ws, pa.binary())], names=["id", "s", "w"])
 
     return docs.mapInArrow(run, "id long, s binary, w binary")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int):
+    """Rows as wide as vectors go to Python a few hundred at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of at least ``threshold``, written."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def vec(s, w):
             s = np.frombuffer(s, np.uint64)
-            return s, np.frombuffer(w, np.float64) if w else np.ones(len(s))
+            out, n = np.ones(len(s)), len(w) // 12
+            out[np.frombuffer(w, np.uint32, n)] = np.frombuffer(w, np.float64, n, 4 * n)
+            return s, out
         for b in batches:
             a, c, sa, wa, sb, wb = (b.column(i) for i in range(6))
             keep = [weighted_jaccard(*vec(sa[i].as_py(), wa[i].as_py()), *vec(sb[i].as_py(), wb[i].as_py())) >= threshold
@@ -271,7 +291,8 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
     left = vectors.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
     right = vectors.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
-    return both.mapInArrow(run, "a long, b long")
+    with _small_batches(pairs.sparkSession, VECTOR_ROWS):
+        return materialise(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
@@ -297,28 +318,34 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     members = materialise(live.select("id").distinct(), "near-members")
     side = F.broadcast(members) if members.count() <= MAX_BROADCAST_IDS else members
     # texts without a word have no signature, so ids here always have a vector
-    vectors = materialise(_vectors(src.join(side, "id", "left_semi"), idf), "near-vectors")
+    with _small_batches(spark, VECTOR_ROWS):
+        vectors = materialise(_vectors(src.join(side, "id", "left_semi"), idf), "near-vectors")
     label = members.select("id", F.col("id").alias("c"))
-    found: DataFrame | None = None
+    found = tested = spark.createDataFrame([], "a long, b long")
     leaders = 1
-    tested: DataFrame | None = None
     while True:
         rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
-        lead = live.withColumn("rn", rank).where(F.col("rn") <= leaders).drop("rn")
-        lead = materialise(lead.join(label, "id"), "near-leaders")
-        state = materialise(live.join(label, "id"), "near-state")
-        pairs = lead.select("k", F.col("id").alias("a"), F.col("c").alias("ca")) \
-            .join(state.select("k", F.col("id").alias("b"), F.col("c").alias("cb")), "k") \
-            .where("a < b and ca <> cb").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        links = materialise(_verify(pairs, vectors, threshold), "near-links")
-        found = links if found is None else found.unionByName(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        comp = components(found)
-        label = materialise(members.join(comp, members["id"] == comp["v"], "left")
-                            .select("id", F.coalesce("c", "id").alias("c")), "near-labels")
+        lead = materialise(live.withColumn("rn", rank).where(F.col("rn") <= leaders).drop("rn"), "near-leaders")
+        met = materialise(lead.select("k", F.col("id").alias("a")).join(live.select("k", F.col("id").alias("b")), "k")
+                          .where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")), "near-met")
+        # first every member with the leader it shares most keys with, then what is
+        # still in different components
+        for best in (True, False):
+            sides = met.join(label.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a") \
+                .join(label.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
+            if best:
+                pairs = sides.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("m"))).alias("x")) \
+                    .select((-F.col("x.m")).alias("a"), "b")
+            else:
+                pairs = sides.select("a", "b")
+            pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+            if pairs.limit(1).count() == 0:
+                continue
+            found = found.unionByName(_verify(pairs, vectors, threshold))
+            tested = tested.unionByName(pairs)
+            comp = components(found)
+            label = materialise(members.join(comp, members["id"] == comp["v"], "left")
+                                .select("id", F.coalesce("c", "id").alias("c")), "near-labels")
         # leaders have met their whole bucket; what is left matters where components differ
         rest = live.join(lead.select("k", "id"), ["k", "id"], "left_anti").join(label, "id")
         open_ = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
