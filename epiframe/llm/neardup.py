@@ -61,7 +61,7 @@ def word_hashes(text: str):
 
         class Words(dict):
             def __missing__(self, w):
-                if len(self) > 500_000:
+                if len(self) > 200_000:
                     self.clear()
                 h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
                 self[w] = h
@@ -352,7 +352,7 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
         live = materialise(rest.join(open_, "k", "left_semi").select("k", "id"), "near-live")
         if live.limit(1).count() == 0:
             break
-        leaders *= 4
+        leaders *= 16
     edges.append(found)
     comp = components(edges[0].unionByName(edges[1]))
     ids = src.select("id")
