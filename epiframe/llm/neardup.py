@@ -6,11 +6,12 @@ counter is below ``rare`` documents weighs 1, more frequent ones less (a shingle
 shares a counter with a frequent one weighs as that one does, in every document).
 
 Each document gets ICWS samples (Ioffe, 2010), banded into keys. Documents with a
-common key are compared by weighted Jaccard similarity, and documents of at least
-``threshold`` are linked; classes are the connected components. Inside a key, all
-pairs are never formed: members are compared with a few leaders, linked members
-share a component, and only members still in different components go on to the next
-leaders, until no key holds two components whose members have not been compared.
+common key whose one-bit sketches of all samples agree are compared by weighted Jaccard
+similarity, and documents of at least ``threshold`` are linked; classes are the
+connected components. Inside a key, all pairs are never formed: members are compared
+with a few leaders, linked members share a component, and only members still in
+different components go on to the next leaders, until no key holds two components
+whose members have not been compared.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ from epiframe.llm.graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 3            # P(no common band) = 1e-5 at similarity 0.8
-TABLE_BITS = 16                # rows of the table of random variates
+BANDS, ROWS = 32, 6            # P(no common band) = 6e-5 at similarity 0.8
+SAMPLES = BANDS * ROWS         # a multiple of 64: one sketch bit a sample
+DEVIATIONS = 4                 # P(sketches differ too much) = 3e-5 at the threshold
+TABLE_BITS = 14                # rows of the table of random variates
 SKETCH_BITS = 20               # hashed counters of document frequency
 RARE_SHARE, RARE_LEAST = 1000, 32
 SKETCH_BLOCK = 1 << 14
+SKETCH_TASKS = 256             # tasks whose counters are summed in one group (16 MB)
 SEED = 0x5EED
-VECTOR_ROWS = 500              # rows with packed vectors in one Arrow batch
+TEXT_ROWS, VECTOR_ROWS = 1000, 500  # rows with texts or packed vectors in one Arrow batch
+TEXT_BLOCK = 1 << 18           # bytes whose words are hashed at once
 MAX_BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it a shuffle join fetches the texts
 
 _STATE: dict = {}
@@ -41,34 +46,64 @@ _STATE: dict = {}
 def mix64(x):
     """splitmix64 finaliser on uint64 arrays."""
     import numpy as np
-    x = x.copy()
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
-def word_hashes(text: str):
-    """64-bit hashes of the words, in order; words are remembered per worker."""
-    import re
+def _powers(n):
+    """Powers of an odd base modulo 2^64 and their inverses, at least ``n`` of each."""
+    import numpy as np
+    if len(_STATE.get("powers", ((),))[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        n = max(n, TEXT_BLOCK)
+        _STATE["powers"] = tuple(np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+    return _STATE["powers"]
+
+
+def _block_hashes(b):
+    """Hashes of the words of a run of bytes: every word's polynomial over a random
+    value per byte, read off one running sum."""
+    import numpy as np
+    if "values" not in _STATE:
+        _STATE["values"] = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        _STATE["inside"] = np.ones(256, bool)
+        _STATE["inside"][[9, 10, 11, 12, 13, 32]] = False
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = _STATE["inside"][b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    power, inverse = _powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    terms = _STATE["values"][b]
+    terms *= power[:len(b)]
+    np.cumsum(terms, out=total[1:])
+    return mix64((total[end] - total[start]) * inverse[start])
 
+
+def word_hashes(text: str):
+    """64-bit hashes of the words, in order. Texts are hashed in blocks that end at
+    white space (a longer word is a block of its own)."""
     import numpy as np
-    import xxhash
-    if "find" not in _STATE:
-        _STATE["find"] = re.compile("[^\x20\x09-\x0d]+").findall
-
-        class Words(dict):
-            def __missing__(self, w):
-                if len(self) > 200_000:
-                    self.clear()
-                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                self[w] = h
-                return h
-        _STATE["words"] = Words()
-    words = _STATE["find"](text)
-    return np.fromiter(map(_STATE["words"].__getitem__, words), np.uint64, len(words))
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(b) <= TEXT_BLOCK:
+        return _block_hashes(b)
+    out, at = [], 0
+    while at < len(b):
+        size = TEXT_BLOCK
+        while at + size < len(b):
+            space = np.flatnonzero((b[at:at + size] == 32) | (b[at:at + size] - np.uint8(9) < 5))
+            if len(space):
+                size = int(space[-1]) + 1
+                break
+            size *= 2
+        out.append(_block_hashes(b[at:at + size]))
+        at += size
+    return np.concatenate(out)
 
 
 def shingles(h):
@@ -79,10 +114,10 @@ def shingles(h):
     if n == 0:
         return h
     k = min(n, SHINGLE)
-    out = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i:n - k + 1 + i]
-        out ^= out >> np.uint64(29)
+    out = h[:n - k + 1].copy()
+    for i in range(1, k):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i:n - k + 1 + i]
     return mix64(out)
 
 
@@ -106,52 +141,88 @@ class Idf:
 
 
 def variates():
-    """r, ln c (both from Gamma(2, 1)), beta and ln a at weight 1 of every table row and
-    sample (float32), made once per worker."""
+    """r, ln c (both from Gamma(2, 1)) and beta of every table row and sample (float32),
+    the rows' ranks by ln a at weight 1, and by rank the rows and their ln a; made once
+    per worker."""
     import numpy as np
     if "variates" not in _STATE:
-        k = BANDS * ROWS
-        out = [np.empty((1 << TABLE_BITS, k), np.float32) for _ in range(4)]
-        for at in range(0, 1 << TABLE_BITS, 4096):
-            base = np.arange(at * k, (at + 4096) * k, dtype=np.uint64).reshape(4096, k)
+        n, k = 1 << TABLE_BITS, SAMPLES
+        r, lnc, beta, value = (np.empty((n, k), np.float32) for _ in range(4))
+        for at in range(0, n, 1024):
+            base = np.arange(at * k, (at + 1024) * k, dtype=np.uint64).reshape(1024, k)
 
             def u(i):
                 x = mix64(base * np.uint64(5) + np.uint64((i + SEED * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
                 return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-            out[0][at:at + 4096] = -np.log(u(0) * u(1))
-            out[1][at:at + 4096] = np.log(-np.log(u(2) * u(3)))
-            out[2][at:at + 4096] = u(4)
-        r, lnc, beta, unit = out
-        unit[:] = lnc - r * (np.float32(0) - beta) - r
-        _STATE["variates"] = out
+            r[at:at + 1024] = -np.log(u(0) * u(1))
+            lnc[at:at + 1024] = np.log(-np.log(u(2) * u(3)))
+            beta[at:at + 1024] = u(4)
+        value[:] = lnc - r * (np.float32(0) - beta) - r
+        rank, order = (np.empty((n, k), np.uint16) for _ in range(2))
+        for j in range(k):
+            order[:, j] = np.argsort(value[:, j], kind="stable")
+            rank[order[:, j], j] = np.arange(n, dtype=np.uint16)
+            value[:, j] = value[order[:, j], j]
+        _STATE["variates"] = r, lnc, beta, rank, order, value
     return _STATE["variates"]
 
 
-def band_keys(s, w):
-    """Band keys (int64) of a weighted shingle set. Variates are drawn per table row,
-    chosen by the top bits of the shingle; the sample (row, t) is known by its ln a."""
+def samples(s, w):
+    """The ICWS samples of a weighted shingle set (ascending shingles), hashed. Variates
+    are drawn per table row, chosen by the top bits of the shingle; equal ln a go to the
+    lesser shingle, and a sample is known by its shingle and ln a."""
     import numpy as np
-    r, lnc, beta, unit = variates()
-    k = BANDS * ROWS
-    rows = (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    least = np.full(k, np.inf, np.float32)
+    r, lnc, beta, rank, order, value = variates()
+    column = np.arange(SAMPLES)
+    shift = np.uint64(64 - TABLE_BITS)
     plain = w == 1.0
-    ordinary, odd = rows[plain], rows[~plain]
-    for at in range(0, len(ordinary), 8192):
-        least = np.minimum(least, unit[ordinary[at:at + 8192]].min(0))
-    log_w = np.log(w[~plain]).astype(np.float32)
-    for at in range(0, len(odd), 8192):
-        i = odd[at:at + 8192]
-        t = np.floor(log_w[at:at + 8192, None] / r[i] + beta[i])
-        least = np.minimum(least, (lnc[i] - r[i] * (t - beta[i]) - r[i]).min(0))
-    sample = least.view(np.uint32).astype(np.uint64)
-    x = mix64(sample + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
+    least = np.full(SAMPLES, np.inf, np.float32)
+    who = np.zeros(SAMPLES, np.uint64)
+    ordinary = s[plain]
+    if len(ordinary):
+        rows = (ordinary >> shift).astype(np.int64)
+        rows = rows[np.concatenate(([True], rows[1:] != rows[:-1]))]
+        top = np.full(SAMPLES, (1 << TABLE_BITS) - 1, np.uint16)
+        for at in range(0, len(rows), 1024):
+            top = np.minimum(top, rank[rows[at:at + 1024]].min(0))
+        least = value[top, column]
+        who = ordinary[np.searchsorted(ordinary, order[top, column].astype(np.uint64) << shift)]
+    odd = np.flatnonzero(~plain)
+    for at in range(0, len(odd), 1024):
+        x = s[odd[at:at + 1024]]
+        i = (x >> shift).astype(np.int64)
+        t = np.floor(np.log(w[odd[at:at + 1024]]).astype(np.float32)[:, None] / r[i] + beta[i])
+        ln_a = lnc[i] - r[i] * (t - beta[i]) - r[i]
+        first = ln_a.argmin(0)
+        low = ln_a[first, column]
+        better = (low < least) | ((low == least) & (x[first] < who))
+        least, who = np.where(better, low, least), np.where(better, x[first], who)
+    return mix64(who ^ mix64(least.view(np.uint32).astype(np.uint64) + column.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def band_keys(x):
+    """Band keys (int64) of hashed samples, one row of samples a document."""
+    import numpy as np
+    x = x.reshape(-1, BANDS, ROWS)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), x.shape[:2])
     for i in range(ROWS):
-        out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + x[:, i])
+        out = mix64(out * np.uint64(0xD6E8FEB86659FD93) + x[:, :, i])
     return out.view(np.int64)
 
 
+def sketch_bits(x):
+    """One bit of every hashed sample, packed in int64 words, one row a document."""
+    import numpy as np
+    return np.packbits((x & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
+def most_differing(threshold: float) -> int:
+    """Sketch bits in which two texts of similarity ``threshold`` may differ: the mean of
+    (1 - threshold) / 2 of all bits and ``DEVIATIONS`` standard deviations."""
+    p = (1 - threshold) / 2
+    return math.ceil(SAMPLES * p + DEVIATIONS * math.sqrt(SAMPLES * p * (1 - p)))
+
+
 def weighted_jaccard(sa, wa, sb, wb) -> float:
     import numpy as np
     _, i, j = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
@@ -165,78 +236,92 @@ def weighted_jaccard(sa, wa, sb, wb) -> float:
 def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
     """IDF weights from counters over all texts (column 0).
 
-    At most mean distinct shingles per document x ``RARE_SHARE`` counters can reach
-    ``rare``, whatever the corpus size; only those come to the driver.
+    The counters' sums (8 MB, whatever the corpus size) come to the driver. A counter is
+    frequent from ``n_docs / RARE_SHARE`` documents on, and from four times the mean
+    counter on, so that long texts do not make every counter frequent.
     """
     import numpy as np
-    rare = max(RARE_LEAST, math.ceil(n_docs / RARE_SHARE))
-    if n_docs < rare:
-        return Idf(np.zeros(0, np.uint64), np.zeros(0))
 
     def sketch(batches):
         import pyarrow as pa
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             for t in b.column(0):
-                s = np.unique(shingles(word_hashes(t.as_py() or "")))
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                s = np.sort(shingles(word_hashes(t.as_py() or "")))
+                if len(s):
+                    s = s[np.concatenate(([True], s[1:] != s[:-1]))]
+                    np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         blocks = counts.reshape(-1, SKETCH_BLOCK)
-        used = [i for i in range(len(blocks)) if blocks[i].any()]
-        if used:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()),
-                 pa.array([blocks[i].astype(np.uint32).tobytes() for i in used], pa.binary())], names=["block", "counts"])
+        for i in range(len(blocks)):
+            if blocks[i].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], names=["block", "counts"])
 
-    def add(key, frame):
+    def add(key, frame, kind):
         import pandas as pd
         total = np.zeros(SKETCH_BLOCK, np.int64)
         for c in frame["counts"]:
-            total += np.frombuffer(c, np.uint32)
-        hot = np.flatnonzero(total >= rare)
-        return pd.DataFrame({"counter": (hot + int(key[0]) * SKETCH_BLOCK).astype(np.int32), "n": total[hot]})
-
-    # one row of 64 kB per task and block: a block's rows grow with tasks, not documents
-    blocks = texts.mapInArrow(sketch, "block int, counts binary")
-    hot = sorted((r["counter"], r["n"]) for r in
-                 blocks.groupBy("block").applyInPandas(add, "counter int, n long").collect())
+            total += np.frombuffer(c, kind)
+        return pd.DataFrame({"block": [int(key[0])], "counts": [total.tobytes()]})
+
+    # one row of 64 kB per task and block, summed in two levels, so that no group holds
+    # the rows of more than SKETCH_TASKS tasks
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
+    with _small_batches(texts.sparkSession, TEXT_ROWS):
+        parts = texts.mapInArrow(sketch, "block int, counts binary") \
+            .withColumn("g", F.floor(F.spark_partition_id() / SKETCH_TASKS).cast("int"))
+        sums = parts.groupBy("block", "g").applyInPandas(lambda key, f: add(key, f, np.uint32), "block int, counts binary") \
+            .groupBy("block").applyInPandas(lambda key, f: add(key, f, np.int64), "block int, counts binary").collect()
+    for r in sums:
+        total[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    total = total.reshape(-1)
+    rare = max(RARE_LEAST, math.ceil(n_docs / RARE_SHARE), math.ceil(4 * total.mean()))
+    hot = np.flatnonzero(total >= rare)
     top = math.log1p(n_docs / rare)
-    return Idf(np.array([c for c, _ in hot], np.uint64),
-               np.array([max(0.05, math.log1p(n_docs / n) / top) for _, n in hot], np.float64))
+    return Idf(hot.astype(np.uint64), np.maximum(0.05, np.log1p(n_docs / total[hot]) / top))
 
 
 # --- links ------------------------------------------------------------------------
 
 def _signatures(docs: DataFrame, idf) -> DataFrame:
+    """(id, k1, k2, bands, bits) of every text with a word."""
+    words = SAMPLES // 64
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
         weights = idf.value
         for b in batches:
-            ids, k1, k2, bands = [], [], [], []
+            ids, k1, k2, drawn = [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py()
-                h = word_hashes(t or "")
+                h = word_hashes(t.as_py() or "")
                 if not len(h):
                     continue
                 x = xxhash.xxh3_128_digest(h.tobytes())
-                s, w = weights.vector(h)
                 ids.append(d)
                 k1.append(int.from_bytes(x[:8], "little", signed=True))
                 k2.append(int.from_bytes(x[8:], "little", signed=True))
-                bands.append(band_keys(s, w))
-            offsets = np.arange(len(ids) + 1, dtype=np.int32) * BANDS
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+                drawn.append(samples(*weights.vector(h)))
+            if not ids:
+                continue
+            x = np.stack(drawn)
+
+            def lists(values, n):
+                return pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n), pa.array(values.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "k1", "k2", "bands"])
+                 lists(band_keys(x), BANDS), lists(sketch_bits(x), words)], names=["id", "k1", "k2", "bands", "bits"])
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>")
+    with _small_batches(docs.sparkSession, TEXT_ROWS):
+        out = docs.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>, bits array<long>")
+        return materialise(out.select("id", "k1", "k2", "bands", *[F.col("bits")[i].alias(f"x{i}") for i in range(words)]),
+                           "near-signatures")
 
 
 def _vectors(docs: DataFrame, idf) -> DataFrame:
-    """(id, s, w): packed shingles, and the weights other than 1 as packed positions
-    followed by values."""
+    """(id, s, w): packed upper halves of the shingles, and the weights other than 1 as
+    packed positions followed by values."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -245,6 +330,10 @@ def _vectors(docs: DataFrame, idf) -> DataFrame:
             ids, ss, ws = b.column(0), [], []
             for t in b.column(1):
                 s, w = weights.vector(word_hashes(t.as_py() or ""))
+                s = (s >> np.uint64(32)).astype(np.uint32)
+                if len(s) and (s[1:] == s[:-1]).any():  # equal upper halves: one entry of both weights
+                    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+                    s, w = s[first], np.add.reduceat(w, first)
                 ss.append(s.tobytes())
                 odd = np.flatnonzero(w != 1.0)
                 ws.append(odd.astype(np.uint32).tobytes() + w[odd].tobytes())
@@ -265,14 +354,15 @@ def _small_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, old)
 
 
-def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of at least ``threshold``, written."""
+def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+    """Pairs (a, b) of at least ``threshold``, written. Only the texts asked for are read
+    into vectors, and those of the b side are shuffled to their leaders."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         def vec(s, w):
-            s = np.frombuffer(s, np.uint64)
+            s = np.frombuffer(s, np.uint32)
             out, n = np.ones(len(s)), len(w) // 12
             out[np.frombuffer(w, np.uint32, n)] = np.frombuffer(w, np.float64, n, 4 * n)
             return s, out
@@ -283,15 +373,15 @@ def _verify(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), c.filter(mask)], names=["a", "b"])
 
-    # later rounds ask for few texts: only their vectors are shuffled
     asked = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-asked")
     if asked.count() <= MAX_BROADCAST_IDS:
         asked = F.broadcast(asked)
-    vectors = vectors.join(asked, "id", "left_semi")
-    left = vectors.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
-    right = vectors.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
-    with _small_batches(pairs.sparkSession, VECTOR_ROWS):
+    spark = pairs.sparkSession
+    with _small_batches(spark, VECTOR_ROWS):
+        vectors = materialise(_vectors(docs.join(asked, "id", "left_semi"), idf), "near-vectors")
+        left = vectors.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
+        right = vectors.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb")
         return materialise(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
@@ -304,57 +394,57 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     spark = docs.sparkSession
     prepare_python(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    n_docs = src.count()
-    idf = spark.sparkContext.broadcast(document_frequencies(src.select("t"), n_docs))
-    sig = materialise(_signatures(src, idf), "near-signatures")
+    idf = spark.sparkContext.broadcast(document_frequencies(src.select("t"), src.count()))
+    sig = _signatures(src, idf)
+    words = [c for c in sig.columns if c.startswith("x")]
     # texts with the same words: one representative each
-    reps = materialise(sig.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
-    same = sig.select("id", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep")
-    edges = [same.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()]
-    # an id may stand for two texts (repeated ids): one row per id and key
-    buckets = reps.select(F.explode("bands").alias("k"), F.col("rep").alias("id")).distinct()
+    reps = sig.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = materialise(sig.select("id", "k1", "k2").join(reps, ["k1", "k2"]).where("id <> rep"), "near-same")
+    copies = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    buckets = sig.join(same.drop("rep"), ["id", "k1", "k2"], "left_anti").select(F.explode("bands").alias("k"), "id", *words)
     shared = buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    live = materialise(buckets.join(shared, "k", "left_semi"), "near-buckets")
-    members = materialise(live.select("id").distinct(), "near-members")
-    side = F.broadcast(members) if members.count() <= MAX_BROADCAST_IDS else members
-    # texts without a word have no signature, so ids here always have a vector
-    with _small_batches(spark, VECTOR_ROWS):
-        vectors = materialise(_vectors(src.join(side, "id", "left_semi"), idf), "near-vectors")
-    label = members.select("id", F.col("id").alias("c"))
+    live = materialise(buckets.join(shared, "k", "left_semi").withColumn("c", F.col("id")), "near-buckets")
+    differing = sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"m.{x}"))) for x in words), F.lit(0))
     found = tested = spark.createDataFrame([], "a long, b long")
     leaders = 1
     while True:
         rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
         lead = materialise(live.withColumn("rn", rank).where(F.col("rn") <= leaders).drop("rn"), "near-leaders")
-        met = materialise(lead.select("k", F.col("id").alias("a")).join(live.select("k", F.col("id").alias("b")), "k")
-                          .where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")), "near-met")
+        met = materialise(
+            lead.alias("l").join(live.alias("m"), F.col("l.k") == F.col("m.k"))
+            .where(F.col("l.id") < F.col("m.id")).where(F.col("l.c") != F.col("m.c"))
+            .where(differing <= most_differing(threshold))
+            .groupBy(F.col("l.id").alias("a"), F.col("m.id").alias("b")).agg(F.count("*").alias("n")), "near-met")
+        label = None
         # first every member with the leader it shares most keys with, then what is
         # still in different components
         for best in (True, False):
-            sides = met.join(label.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a") \
-                .join(label.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
             if best:
-                pairs = sides.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("m"))).alias("x")) \
+                pairs = met.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("m"))).alias("x")) \
                     .select((-F.col("x.m")).alias("a"), "b")
             else:
-                pairs = sides.select("a", "b")
+                pairs = met.select("a", "b")
+            if label is not None:
+                ends = [label.select(F.col("v").alias(x), F.col("c").alias("c" + x)) for x in "ab"]
+                pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left") \
+                    .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
             pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
             if pairs.limit(1).count() == 0:
                 continue
-            found = found.unionByName(_verify(pairs, vectors, threshold))
+            found = found.unionByName(_verify(pairs, src, idf, threshold))
             tested = tested.unionByName(pairs)
-            comp = components(found)
-            label = materialise(members.join(comp, members["id"] == comp["v"], "left")
-                                .select("id", F.coalesce("c", "id").alias("c")), "near-labels")
+            label = components(found)
         # leaders have met their whole bucket; what is left matters where components differ
-        rest = live.join(lead.select("k", "id"), ["k", "id"], "left_anti").join(label, "id")
+        rest = live.join(lead.select("k", "id"), ["k", "id"], "left_anti")
+        if label is not None:
+            rest = rest.drop("c").join(label.withColumnRenamed("v", "id"), "id", "left") \
+                .select("k", "id", *words, F.coalesce("c", "id").alias("c"))
         open_ = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-        live = materialise(rest.join(open_, "k", "left_semi").select("k", "id"), "near-live")
+        live = materialise(rest.join(open_, "k", "left_semi").select("k", "id", *words, "c"), "near-live")
         if live.limit(1).count() == 0:
             break
         leaders *= 16
-    edges.append(found)
-    comp = components(edges[0].unionByName(edges[1]))
+    comp = components(copies.unionByName(found))
     ids = src.select("id")
     return ids.join(comp, ids["id"] == comp["v"], "left").select("id", F.coalesce("c", "id").alias("class_id"))
 
