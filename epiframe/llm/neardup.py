@@ -1,17 +1,21 @@
 """Operator 5: near duplicates by improved consistent weighted sampling (ICWS).
 
 Documents are weighted sets of five-word shingles, weight = count x IDF. Document
-frequencies are counted over all documents in 2^20 hashed counters; a shingle whose
-counter is below ``rare`` documents weighs 1, more frequent ones less (a shingle that
-shares a counter with a frequent one weighs as that one does, in every document).
+frequencies are counted in 2^20 hashed counters over the whole corpus, copies and near
+copies once (by three plain MinHash values), so that a text does not lose weight by
+being copied; a shingle whose counter is below ``rare`` documents weighs 1, more
+frequent ones less (a shingle that shares a counter with a frequent one weighs as that
+one does, in every document).
 
 Each document gets ICWS samples (Ioffe, 2010), banded into keys. Documents with a
 common key whose one-bit sketches of all samples agree are compared by weighted Jaccard
 similarity, and documents of at least ``threshold`` are linked; classes are the
 connected components. Inside a key, all pairs are never formed: members are compared
 with a few leaders, linked members share a component, and only members still in
-different components go on to the next leaders, until no key holds two components
-whose members have not been compared.
+different components go on. What the first leaders leave is keyed by prefixes (the
+rarest shingles that hold over 1 - ``threshold`` of a text's weight, which texts of at
+least ``threshold`` must share) and goes to further leaders, until no key holds two
+components whose members have not been compared.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ TABLE_BITS = 14                # rows of the table of random variates
 SKETCH_BITS = 20               # hashed counters of document frequency
 RARE_SHARE, RARE_LEAST = 1000, 32
 SKETCH_BLOCK = 1 << 14
+COPY_SAMPLES = 3               # MinHash values that know a copy when documents are counted
 SKETCH_TASKS = 256             # tasks whose counters are summed in one group (16 MB)
 SEED = 0x5EED
 TEXT_ROWS, VECTOR_ROWS = 1000, 500  # rows with texts or packed vectors in one Arrow batch
 TEXT_BLOCK = 1 << 18           # bytes whose words are hashed at once
+MAX_BROADCAST_BYTES = 16 << 20  # of vectors, measured; beyond it pairs are joined by shuffles
 MAX_BROADCAST_IDS = 1_000_000  # 8 MB of ids; beyond it a shuffle join fetches the texts
 
 _STATE: dict = {}
@@ -233,13 +239,9 @@ def weighted_jaccard(sa, wa, sb, wb) -> float:
 
 # --- corpus statistics ------------------------------------------------------------
 
-def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
-    """IDF weights from counters over all texts (column 0).
-
-    The counters' sums (8 MB, whatever the corpus size) come to the driver. A counter is
-    frequent from ``n_docs / RARE_SHARE`` documents on, and from four times the mean
-    counter on, so that long texts do not make every counter frequent.
-    """
+def shingle_counters(texts: DataFrame):
+    """2^20 hashed counters (int64) of the texts (column 0) that hold a shingle; 8 MB on
+    the driver, whatever the corpus size."""
     import numpy as np
 
     def sketch(batches):
@@ -274,7 +276,45 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
             .groupBy("block").applyInPandas(lambda key, f: add(key, f, np.int64), "block int, counts binary").collect()
     for r in sums:
         total[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    total = total.reshape(-1)
+    return total.reshape(-1)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (id, t) that are, for each of ``COPY_SAMPLES`` MinHash values,
+    the least id with that value: one or few of a group of near copies, nearly all
+    others. Texts without a word go."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        salts = mix64(np.arange(1, COPY_SAMPLES + 1, dtype=np.uint64))
+        for b in batches:
+            ids, values = [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+                s = shingles(word_hashes(t.as_py() or ""))
+                if len(s):
+                    ids.append(d)
+                    values.append([int(mix64(s ^ x).min().view(np.int64)) for x in salts])
+            columns = [pa.array([v[j] for v in values], pa.int64()) for j in range(COPY_SAMPLES)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", *names])
+
+    spark, names = docs.sparkSession, [f"m{j}" for j in range(COPY_SAMPLES)]
+    with _small_batches(spark, TEXT_ROWS):
+        marks = materialise(docs.mapInArrow(run, "id long, " + ", ".join(f"{m} long" for m in names)), "near-marks")
+    later = None
+    for m in names:
+        first = marks.groupBy(m).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(m, "rep")
+        one = marks.select("id", m).join(first, m).where("id <> rep").select("id")
+        later = one if later is None else later.unionByName(one)
+    later = materialise(later.distinct(), "near-later")
+    return docs.join(F.broadcast(later) if later.count() <= MAX_BROADCAST_IDS else later, "id", "left_anti")
+
+
+def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
+    """IDF weights from counters over ``n_docs`` texts (column 0). A counter is frequent from
+    ``n_docs / RARE_SHARE`` documents on, and from four times the mean counter on, so
+    that long texts do not make every counter frequent."""
+    import numpy as np
+    total = shingle_counters(texts)
     rare = max(RARE_LEAST, math.ceil(n_docs / RARE_SHARE), math.ceil(4 * total.mean()))
     hot = np.flatnonzero(total >= rare)
     top = math.log1p(n_docs / rare)
@@ -381,10 +421,50 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
         vectors = materialise(_vectors(docs.join(asked, "id", "left_semi"), idf), "near-vectors")
         left = vectors.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("w").alias("wa"))
         right = vectors.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
+        size = vectors.agg(F.sum(F.length("s") + F.length("w"))).first()[0] or 0
+        if size <= MAX_BROADCAST_BYTES:  # many pairs of few texts: no pair is shuffled with its vectors
+            left, right = F.broadcast(left), F.broadcast(right)
+            pairs = pairs.repartition("b")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "wa", "sb", "wb")
         return materialise(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
+def prefix(s, w, counters, threshold):
+    """The rarest shingles that hold just over 1 - ``threshold`` of a text's weight. Two
+    texts of at least ``threshold`` share one of them: what they have in common weighs at
+    least ``threshold`` of either, so it cannot lie in the rest of both."""
+    import numpy as np
+    order = np.lexsort((s, counters[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+    held = np.cumsum(w[order])
+    return s[order[:1 + int(np.searchsorted(held, (1 - threshold) * held[-1] * (1 + 1e-9), "right"))]] if len(s) else s
+
+
+def _prefix_buckets(open_docs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+    """(k, id, further columns of ``open_docs``): the open documents by the shingles of
+    their prefixes, rare ones by their number among open documents; shingles whose
+    documents are all of one component are left out."""
+    spark = docs.sparkSession
+    ids = materialise(open_docs.select("id").distinct(), "near-open")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+    counters = spark.sparkContext.broadcast(shingle_counters(texts.select("t")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        weights, order = idf.value, counters.value
+        for b in batches:
+            found = [prefix(*weights.vector(word_hashes(t.as_py() or "")), order, threshold) for t in b.column(1)]
+            at = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "k"])
+
+    with _small_batches(spark, VECTOR_ROWS):
+        keys = materialise(texts.select("id", "t").mapInArrow(run, "id long, k array<long>"), "near-prefixes")
+    keyed = keys.select(F.explode("k").alias("k"), "id").join(open_docs, "id")
+    shared = keyed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
+    return materialise(keyed.join(shared, "k", "left_semi").select("k", *open_docs.columns), "near-live")
+
+
 def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """(id, class_id) of every row with a non-NULL id; ``class_id`` is the least id of
@@ -394,7 +474,8 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     spark = docs.sparkSession
     prepare_python(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    idf = spark.sparkContext.broadcast(document_frequencies(src.select("t"), src.count()))
+    counted = without_copies(src)
+    idf = spark.sparkContext.broadcast(document_frequencies(counted.select("t"), counted.select("id").count()))
     sig = _signatures(src, idf)
     words = [c for c in sig.columns if c.startswith("x")]
     # texts with the same words: one representative each
@@ -406,7 +487,7 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     live = materialise(buckets.join(shared, "k", "left_semi").withColumn("c", F.col("id")), "near-buckets")
     differing = sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"m.{x}"))) for x in words), F.lit(0))
     found = tested = spark.createDataFrame([], "a long, b long")
-    leaders = 1
+    leaders, by_prefix = 1, False
     while True:
         rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
         lead = materialise(live.withColumn("rn", rank).where(F.col("rn") <= leaders).drop("rn"), "near-leaders")
@@ -443,7 +524,14 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
         live = materialise(rest.join(open_, "k", "left_semi").select("k", "id", *words, "c"), "near-live")
         if live.limit(1).count() == 0:
             break
-        leaders *= 16
+        if not by_prefix:
+            # what one leader a band did not settle is keyed anew: texts that have much in
+            # common, but less than the threshold, share few of their rarest shingles
+            live, by_prefix = _prefix_buckets(live.select("id", *words, "c").distinct(), src, idf, threshold), True
+            if live.limit(1).count() == 0:
+                break
+        else:
+            leaders *= 32
     comp = components(copies.unionByName(found))
     ids = src.select("id")
     return ids.join(comp, ids["id"] == comp["v"], "left").select("id", F.coalesce("c", "id").alias("class_id"))
