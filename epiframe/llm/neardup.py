@@ -12,10 +12,13 @@ common key whose one-bit sketches of all samples agree are compared by weighted
 similarity, and documents of at least ``threshold`` are linked; classes are the
 connected components. Inside a key, all pairs are never formed: members are compared
 with a few leaders, linked members share a component, and only members still in
-different components go on. What the first leaders leave is keyed by prefixes (the
-rarest shingles that hold over 1 - ``threshold`` of a text's weight, which texts of at
-least ``threshold`` must share) and goes to further leaders, until no key holds two
-components whose members have not been compared.
+different components go on. Leaders are the texts that meet most others over all their
+keys, so a group of edited copies is led by the text nearest to what they have in
+common, and not by one that is far from most. What the first leaders leave is keyed by
+prefixes (the rarest shingles that hold over 1 - ``threshold`` of a text's weight, which
+texts of at least ``threshold`` must share); a common shingle makes a pair only if what
+either text holds from there on is enough for the threshold. These go to further
+leaders, until no key holds two components whose members have not been compared.
 """
 
 from __future__ import annotations
@@ -430,19 +433,25 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFra
 
 
 def prefix(s, w, counters, threshold):
-    """The rarest shingles that hold just over 1 - ``threshold`` of a text's weight. Two
-    texts of at least ``threshold`` share one of them: what they have in common weighs at
-    least ``threshold`` of either, so it cannot lie in the rest of both."""
+    """The rarest shingles that hold just over 1 - ``threshold`` of a text's weight, and
+    the weight from each of them on. Two texts of at least ``threshold`` share one of
+    them: what they have in common weighs at least ``threshold`` of either, so it cannot
+    lie in the rest of both."""
     import numpy as np
+    if not len(s):
+        return s, w
     order = np.lexsort((s, counters[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
     held = np.cumsum(w[order])
-    return s[order[:1 + int(np.searchsorted(held, (1 - threshold) * held[-1] * (1 + 1e-9), "right"))]] if len(s) else s
+    order = order[:1 + int(np.searchsorted(held, (1 - threshold) * held[-1] * (1 + 1e-9), "right"))]
+    return s[order], held[-1] - held[:len(order)] + w[order]
 
 
 def _prefix_buckets(open_docs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """(k, id, further columns of ``open_docs``): the open documents by the shingles of
-    their prefixes, rare ones by their number among open documents; shingles whose
-    documents are all of one component are left out."""
+    """(k, id, further columns of ``open_docs``, since, weight): the open documents by the
+    shingles of their prefixes, rare ones by their number among open documents, with the
+    weight from that shingle on and the whole weight. Shingles are left out whose documents
+    are all of one component, or all hold too little from there on for a link with a text
+    that weighs as much or more."""
     spark = docs.sparkSession
     ids = materialise(open_docs.select("id").distinct(), "near-open")
     texts = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
@@ -453,16 +462,37 @@ def _prefix_buckets(open_docs: DataFrame, docs: DataFrame, idf, threshold: float
         import pyarrow as pa
         weights, order = idf.value, counters.value
         for b in batches:
-            found = [prefix(*weights.vector(word_hashes(t.as_py() or "")), order, threshold) for t in b.column(1)]
-            at = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "k"])
+            ids, keys, since, whole = [], [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+                s, held = prefix(*weights.vector(word_hashes(t.as_py() or "")), order, threshold)
+                ids += [d] * len(s)
+                keys.append(s)
+                since.append(held)
+                whole += [float(held[0])] * len(s) if len(s) else []
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat), pa.array(ids, pa.int64()), pa.array(np.concatenate(since) if since else np.zeros(0)),
+                 pa.array(whole, pa.float64())], names=["k", "id", "since", "weight"])
 
     with _small_batches(spark, VECTOR_ROWS):
-        keys = materialise(texts.select("id", "t").mapInArrow(run, "id long, k array<long>"), "near-prefixes")
-    keyed = keys.select(F.explode("k").alias("k"), "id").join(open_docs, "id")
-    shared = keyed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-    return materialise(keyed.join(shared, "k", "left_semi").select("k", *open_docs.columns), "near-live")
+        keyed = materialise(texts.select("id", "t").mapInArrow(run, "k long, id long, since double, weight double"), "near-prefixes")
+    component = open_docs.groupBy("id").agg(F.min("c").alias("c"))
+    shared = _open_keys(keyed.join(component, "id"), threshold, True)
+    return materialise(keyed.join(shared, "k", "left_semi").join(open_docs, "id")
+                       .select("k", *open_docs.columns, "since", "weight"), "near-live")
+
+
+def _open_keys(live: DataFrame, threshold: float, by_prefix: bool) -> DataFrame:
+    """Keys (k) with two components; by prefixes, also with a text that holds enough from
+    there on for a link with one that weighs no less."""
+    enough = F.col("since") >= _least_common(threshold, F.col("weight"), F.col("weight")) if by_prefix else F.lit(True)
+    return live.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(enough).alias("enough")) \
+        .where("lo <> hi and enough").select("k")
+
+
+def _least_common(threshold: float, a, b):
+    """What two texts of weights ``a`` and ``b`` must have in common to be linked."""
+    return (a + b) * (threshold / (1 + threshold) * (1 - 1e-9))
 
 
 def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
@@ -483,17 +513,22 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     same = materialise(sig.select("id", "k1", "k2").join(reps, ["k1", "k2"]).where("id <> rep"), "near-same")
     copies = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     buckets = sig.join(same.drop("rep"), ["id", "k1", "k2"], "left_anti").select(F.explode("bands").alias("k"), "id", *words)
-    shared = buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    live = materialise(buckets.join(shared, "k", "left_semi").withColumn("c", F.col("id")), "near-buckets")
+    shared = buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    live = materialise(buckets.join(shared, "k").withColumn("c", F.col("id")), "near-buckets")
+    # how many texts a document meets over all its keys: the first of a key leads it
+    met_by = live.groupBy("id").agg(F.sum("n").alias("o"))
+    live = materialise(live.drop("n").join(met_by, "id").select("k", "id", *words, "o", "c"), "near-live")
+    carried, enough = [*words, "o"], F.lit(True)
     differing = sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"m.{x}"))) for x in words), F.lit(0))
     found = tested = spark.createDataFrame([], "a long, b long")
     leaders, by_prefix = 1, False
     while True:
-        rank = F.row_number().over(Window.partitionBy("k").orderBy("id"))
+        rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("o"), "id"))
         lead = materialise(live.withColumn("rn", rank).where(F.col("rn") <= leaders).drop("rn"), "near-leaders")
+        before = (F.col("l.o") > F.col("m.o")) | ((F.col("l.o") == F.col("m.o")) & (F.col("l.id") < F.col("m.id")))
         met = materialise(
             lead.alias("l").join(live.alias("m"), F.col("l.k") == F.col("m.k"))
-            .where(F.col("l.id") < F.col("m.id")).where(F.col("l.c") != F.col("m.c"))
+            .where(before & (F.col("l.c") != F.col("m.c")) & enough)
             .where(differing <= most_differing(threshold))
             .groupBy(F.col("l.id").alias("a"), F.col("m.id").alias("b")).agg(F.count("*").alias("n")), "near-met")
         label = None
@@ -512,22 +547,26 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
             pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
             if pairs.limit(1).count() == 0:
                 continue
-            found = found.unionByName(_verify(pairs, src, idf, threshold))
             tested = tested.unionByName(pairs)
+            links = _verify(pairs, src, idf, threshold)
+            if links.limit(1).count() == 0:
+                continue
+            found = found.unionByName(links)
             label = components(found)
         # leaders have met their whole bucket; what is left matters where components differ
         rest = live.join(lead.select("k", "id"), ["k", "id"], "left_anti")
         if label is not None:
             rest = rest.drop("c").join(label.withColumnRenamed("v", "id"), "id", "left") \
-                .select("k", "id", *words, F.coalesce("c", "id").alias("c"))
-        open_ = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k")
-        live = materialise(rest.join(open_, "k", "left_semi").select("k", "id", *words, "c"), "near-live")
+                .select("k", "id", *carried, F.coalesce("c", "id").alias("c"))
+        live = materialise(rest.join(_open_keys(rest, threshold, by_prefix), "k", "left_semi").select("k", "id", *carried, "c"), "near-live")
         if live.limit(1).count() == 0:
             break
         if not by_prefix:
             # what one leader a band did not settle is keyed anew: texts that have much in
             # common, but less than the threshold, share few of their rarest shingles
-            live, by_prefix = _prefix_buckets(live.select("id", *words, "c").distinct(), src, idf, threshold), True
+            live, by_prefix = _prefix_buckets(live.select("id", *carried, "c").distinct(), src, idf, threshold), True
+            carried += ["since", "weight"]
+            enough = F.least("l.since", "m.since") >= _least_common(threshold, F.col("l.weight"), F.col("m.weight"))
             if live.limit(1).count() == 0:
                 break
         else:
