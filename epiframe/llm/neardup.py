@@ -512,12 +512,17 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     reps = sig.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = materialise(sig.select("id", "k1", "k2").join(reps, ["k1", "k2"]).where("id <> rep"), "near-same")
     copies = same.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    buckets = sig.join(same.drop("rep"), ["id", "k1", "k2"], "left_anti").select(F.explode("bands").alias("k"), "id", *words)
+    later = same.drop("rep")
+    # keys are shuffled without the sketches, which only documents with a shared key fetch
+    buckets = sig.join(F.broadcast(later) if later.count() <= MAX_BROADCAST_IDS else later, ["id", "k1", "k2"], "left_anti") \
+        .select(F.explode("bands").alias("k"), "id", "k1")
     shared = buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    live = materialise(buckets.join(shared, "k").withColumn("c", F.col("id")), "near-buckets")
+    live = materialise(buckets.join(shared, "k"), "near-buckets")
     # how many texts a document meets over all its keys: the first of a key leads it
     met_by = live.groupBy("id").agg(F.sum("n").alias("o"))
-    live = materialise(live.drop("n").join(met_by, "id").select("k", "id", *words, "o", "c"), "near-live")
+    sketches = sig.select("id", "k1", *words).dropDuplicates(["id", "k1"])
+    live = materialise(live.join(sketches, ["id", "k1"]).join(met_by, "id")
+                       .select("k", "id", *words, "o", F.col("id").alias("c")), "near-live")
     carried, enough = [*words, "o"], F.lit(True)
     differing = sum((F.bit_count(F.col(f"l.{x}").bitwiseXOR(F.col(f"m.{x}"))) for x in words), F.lit(0))
     found = tested = spark.createDataFrame([], "a long, b long")
