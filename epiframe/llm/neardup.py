@@ -1,11 +1,10 @@
 """Operator 5: near duplicates by improved consistent weighted sampling (ICWS).
 
 Documents are weighted sets of five-word shingles, weight = count x IDF. Document
-frequencies are counted in 2^20 hashed counters over the whole corpus, copies and near
-copies once (by three plain MinHash values), so that a text does not lose weight by
-being copied; a shingle whose counter is below ``rare`` documents weighs 1, more
-frequent ones less (a shingle that shares a counter with a frequent one weighs as that
-one does, in every document).
+frequencies are counted in 2^20 hashed counters over every document of the corpus, copies
+too; a shingle whose counter is below ``rare`` documents weighs 1, more frequent ones
+less (a shingle that shares a counter with a frequent one weighs as that one does, in
+every document).
 
 Each document gets ICWS samples (Ioffe, 2010), banded into keys. Documents with a
 common key whose one-bit sketches of all samples agree are compared by weighted Jaccard
@@ -41,7 +40,6 @@ TABLE_BITS = 14                # rows of the table of random variates
 SKETCH_BITS = 20               # hashed counters of document frequency
 RARE_SHARE, RARE_LEAST = 1000, 32
 SKETCH_BLOCK = 1 << 14
-COPY_SAMPLES = 3               # MinHash values that know a copy when documents are counted
 SKETCH_TASKS = 256             # tasks whose counters are summed in one group (16 MB)
 SEED = 0x5EED
 TEXT_ROWS, VECTOR_ROWS = 1000, 500  # rows with texts or packed vectors in one Arrow batch
@@ -282,36 +280,6 @@ def shingle_counters(texts: DataFrame):
     return total.reshape(-1)
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (id, t) that are, for each of ``COPY_SAMPLES`` MinHash values,
-    the least id with that value: one or few of a group of near copies, nearly all
-    others. Texts without a word go."""
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        salts = mix64(np.arange(1, COPY_SAMPLES + 1, dtype=np.uint64))
-        for b in batches:
-            ids, values = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                s = shingles(word_hashes(t.as_py() or ""))
-                if len(s):
-                    ids.append(d)
-                    values.append([int(mix64(s ^ x).min().view(np.int64)) for x in salts])
-            columns = [pa.array([v[j] for v in values], pa.int64()) for j in range(COPY_SAMPLES)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", *names])
-
-    spark, names = docs.sparkSession, [f"m{j}" for j in range(COPY_SAMPLES)]
-    with _small_batches(spark, TEXT_ROWS):
-        marks = materialise(docs.mapInArrow(run, "id long, " + ", ".join(f"{m} long" for m in names)), "near-marks")
-    later = None
-    for m in names:
-        first = marks.groupBy(m).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(m, "rep")
-        one = marks.select("id", m).join(first, m).where("id <> rep").select("id")
-        later = one if later is None else later.unionByName(one)
-    later = materialise(later.distinct(), "near-later")
-    return docs.join(F.broadcast(later) if later.count() <= MAX_BROADCAST_IDS else later, "id", "left_anti")
-
-
 def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
     """IDF weights from counters over ``n_docs`` texts (column 0). A counter is frequent from
     ``n_docs / RARE_SHARE`` documents on, and from four times the mean counter on, so
@@ -504,8 +472,7 @@ def link_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     spark = docs.sparkSession
     prepare_python(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null")
-    counted = without_copies(src)
-    idf = spark.sparkContext.broadcast(document_frequencies(counted.select("t"), counted.select("id").count()))
+    idf = spark.sparkContext.broadcast(document_frequencies(src.select("t"), src.count()))
     sig = _signatures(src, idf)
     words = [c for c in sig.columns if c.startswith("x")]
     # texts with the same words: one representative each
