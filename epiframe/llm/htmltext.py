@@ -10,6 +10,8 @@ Two things are decided by markup, because differencing alone gets them wrong:
 elements that declare what they are (navigation, footers, forms, adverts, comments
 ...) go even where their text differs from page to page, and lines inside a declared
 article stay even where a neighbour quotes the same passage.
+So differencing decides pages without a declared article only; every page of the
+intended tables declares one (counts in the README).
 """
 
 from __future__ import annotations
