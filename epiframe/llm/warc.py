@@ -2,12 +2,14 @@
 
 Writing is plain DataFrame work: every record is one string, and Spark's text
 sink with a CRLF line separator supplies the end of the record's closing blank
-line, so each part file is a valid (optionally gzip) WARC/1.1 file.
+line, so each part file is a valid WARC/1.1 file. Compressed archives hold one gzip
+member per record, so damage to one record does not reach the next.
 
 Reading takes whole archive files (sized by the writer) and checks every record:
 version line, header block, Content-Length, closing blank line and payload
 digest. After a failed check the reader searches for the next valid member or
-version line, recovers what follows and logs the skipped byte range.
+version line, recovers what follows and logs the skipped byte range. A damaged member
+gives every record that it inflates to before the damage.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,7 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2000
+INFLATE = 1 << 14  # bytes inflated at once
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("file", T.StringType()),
@@ -99,6 +104,25 @@ def record_text(id_col: Column, url: Column, html: Column, n_bytes: Column, dige
         F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n"))
 
 
+def gzip_member(record: bytes) -> bytes:
+    """``record`` as a gzip member without its last byte, which is zero: the highest byte
+    of the length, or of that of an empty member added to a record of 16 MB or more."""
+    out = b""
+    for part in (record, b""):
+        z = zlib.compressobj(wbits=31)
+        out += z.compress(part) + z.flush()
+        if out[-1] == 0:
+            break
+    return out[:-1]
+
+
+def _members(batches):
+    import pyarrow as pa
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([gzip_member(t.as_buffer().to_pybytes() + b"\r\n") for t in b.column(0)], pa.binary())], names=["value"])
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html",
                compress: bool = True, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Archive every page below ``path`` (a shared folder).
@@ -106,7 +130,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     NULL html is an empty payload, NULL or empty urls leave out the target header.
     A NULL id is written as ``<urn:page:null>`` and read back as NULL; repeated rows
     become repeated records; an empty table writes empty archives. Files hold at most
-    ``records_per_file`` records, so a reader's memory is bounded.
+    ``records_per_file`` records, so a reader's memory is bounded. Compressed files are
+    gzip members, one per record, whatever the text sink's file names say.
     """
     pages = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     plan = plan_records(pages.select("_id", "_html"), "_id", "_html")
@@ -114,10 +139,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     plan = plan.select(F.col("_id").alias("_pid"), F.col("payload_digest").alias("_pd"), "payload_bytes",
                        "record_type", "refers_to")
     rows = pages.join(plan, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("payload_digest") == F.col("_pd")))
-    rows.select(record_text(F.col("_id"), F.col("_url"), F.col("_html"), F.col("payload_bytes"),
-                            F.col("payload_digest"), F.col("record_type"), F.col("refers_to")).alias("value")) \
-        .write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file) \
-        .option("compression", "gzip" if compress else "none").text(path)
+    lines, end = rows.select(record_text(F.col("_id"), F.col("_url"), F.col("_html"), F.col("payload_bytes"),
+                                         F.col("payload_digest"), F.col("record_type"), F.col("refers_to")).alias("value")), "\r\n"
+    if compress:
+        prepare_python(pages.sparkSession)
+        # the sink writes the bytes as they are; its separator is the members' last byte
+        lines, end = lines.mapInArrow(_members, "value binary").select(F.col("value").cast("string")), "\0"
+    lines.write.option("lineSep", end).option("maxRecordsPerFile", records_per_file) \
+        .option("compression", "none").text(path)
 
 
 # --- reading --------------------------------------------------------------------
@@ -205,36 +234,63 @@ def read_plain(data: bytes, base: int = 0) -> Iterator[dict]:
         at = nxt
 
 
+def _inflate(data: bytes, at: int, step: int, stop: int | None = None):
+    """(output by step, end of input by step, decompressor, whether it failed) of the
+    member at ``at``. From ``stop`` on steps are single bytes: zlib gives nothing of a call
+    that fails, so nothing but the damage is lost."""
+    z = zlib.decompressobj(wbits=31)
+    parts, ends, pos = [], [], at
+    while not z.eof and pos < len(data):
+        nxt = min(len(data), pos + (step if stop is None or pos < stop else 1))
+        try:
+            parts.append(z.decompress(data[pos:nxt]))
+        except zlib.error:
+            return parts, ends, z, True
+        ends.append(nxt)
+        pos = nxt
+    return parts, ends, z, False
+
+
+def _completed(data: bytes, at: int, parts: list[bytes], ends: list[int], size: int) -> int:
+    """End of the input of the member at ``at`` that inflates to ``size`` bytes."""
+    i = bisect_left(list(accumulate(map(len, parts))), size)
+    step = ends[i - 1] if i else at
+    if ends[i] - step > 1:
+        parts, ends, _, _ = _inflate(data[:ends[i]], at, INFLATE, step)
+        i = bisect_left(list(accumulate(map(len, parts))), size)
+    return ends[i]
+
+
 def read_members(data: bytes) -> Iterator[dict]:
     """Records of a gzip archive. Members may hold one record or many; a member that
-    fails its checks gives what it decompressed to, then the search goes on at the
-    next member start. Ranges are offsets in the file of the whole member."""
+    fails its checks gives every record that it decompressed to, then the search goes on
+    at the next member start. Ranges are offsets in the file: of the whole member for a
+    record, and for a gap from the byte that completed the last good record on."""
     at = 0
     while at < len(data):
-        z = zlib.decompressobj(wbits=31)
-        parts, failed, pos = [], "", at
-        if data[at:at + 3] != _MEMBER:
-            failed = "member"
-        else:
-            try:
-                while not z.eof and pos < len(data):
-                    parts.append(z.decompress(data[pos:pos + 65536]))
-                    pos += 65536
-                if not z.eof:
-                    failed = "truncated"
-            except zlib.error:
-                failed = "member"
+        parts, ends, failed, z = [], [], "member", None
+        if data[at:at + 3] == _MEMBER:
+            parts, ends, z, damaged = _inflate(data, at, INFLATE)
+            if damaged:
+                parts, ends, z, _ = _inflate(data, at, INFLATE, ends[-1] if ends else at)
+            else:
+                failed = "" if z.eof else "truncated"
         if not failed:
-            end = min(pos, len(data)) - len(z.unused_data)
-        else:
-            end = data.find(_MEMBER, at + 1)
-            end = len(data) if end < 0 else end
-        for r in read_plain(b"".join(parts)):
-            # a damaged member's tail is reported once, as the gap below
-            if not (failed and r["status"] != "ok"):
+            end = ends[-1] - len(z.unused_data)
+            for r in read_plain(b"".join(parts)):
+                yield r | {"start": at, "end": end}
+            at = end
+            continue
+        found = list(read_plain(b"".join(parts)))
+        good = max((r["end"] for r in takewhile(lambda r: r["status"] == "ok", found)), default=0)
+        start = _completed(data, at, parts, ends, good) if good else at
+        end = data.find(_MEMBER, max(start, at + 1))
+        end = len(data) if end < 0 else end
+        # a damaged member's tail is reported once, as the gap
+        for r in found:
+            if r["status"] == "ok":
                 yield r | {"start": at, "end": end}
-        if failed:
-            yield {"start": at, "end": end, "status": f"quarantined:{failed}"}
+        yield {"start": start, "end": end, "status": f"quarantined:{failed}"}
         at = end
 
 

@@ -305,6 +305,41 @@ def test_warc_round_trip_and_salvage(spark, scratch):
     assert list(warc.read_archive(b"")) == []
 
 
+def test_warc_damage_to_own_compressed_archives(spark, scratch):
+    rng = random.Random(11)
+    rows = [(i, f"http://h/{i}", f"<p>{words(rng, 12)}</p>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = scratch("warc-damaged")
+    warc.write_warc(pages, path)
+    folder = local_path(path)
+    raw = b"".join(open(os.path.join(folder, f), "rb").read() for f in sorted(os.listdir(folder)) if f.startswith("part"))
+    whole = list(warc.read_archive(raw))
+    assert [r["status"] for r in whole] == ["ok"] * 300 and len({r["start"] for r in whole}) == 300
+    assert len(gzip.decompress(raw).split(b"WARC/1.1\r\n")) == 301
+    at, end = whole[200]["start"], whole[200]["end"]
+    # a byte inside a member, its check sum, its first byte
+    for spot in (at + 60, end - 8, at):
+        bad = bytearray(raw)
+        bad[spot] ^= 0xFF
+        back = list(warc.read_archive(bytes(bad)))
+        ids = {r["record_id"] for r in back if r["status"] == "ok"}
+        assert {r["record_id"] for i, r in enumerate(whole) if i != 200} <= ids
+        gaps = [r for r in back if r["status"] != "ok"]
+        assert gaps and gaps[0]["start"] >= at and gaps[-1]["end"] == end
+    # many records in a member: those before the damage are kept, the gap starts after them
+    plain = gzip.decompress(raw)
+    for many in (gzip.compress(plain), gzip.compress(plain)[:-40]):
+        bad = bytearray(many)
+        bad[len(many) - 30] ^= 0xFF
+        back = list(warc.read_archive(bytes(bad)))
+        assert sum(r["status"] == "ok" for r in back) >= 290
+        assert back[-1]["status"].startswith("quarantined") and back[-1]["end"] == len(bad)
+        assert len(bad) - 1000 < back[-1]["start"] < len(bad)
+    # 16 MB or more: an empty member supplies the zero byte
+    big = b"x" * (1 << 24)
+    assert gzip.decompress(warc.gzip_member(big) + b"\0") == big
+
+
 def _plain(spark, pages, scratch):
     path = scratch("warc-plain")
     warc.write_warc(pages, path, compress=False, records_per_file=100)
