@@ -8,8 +8,11 @@ exceeds the current k-th distance by more than the test allows. Survivors get th
 exact distance in double precision on the original vectors.
 
 The number of lists probed is calibrated: for a bounded set of calibration queries
-the true neighbours are found by a scan of all rows, and enough lists are probed to
-hold ``COVER`` of them.
+(some drawn from all rows, some spread over the lists, so that a hot cluster is not all
+that is asked) the true neighbours are found by a scan of all rows. Enough lists are
+probed to hold ``COVER`` of the neighbours of the former, and ``ENOUGH`` of those of each
+query for ``COVER`` of the queries. A query whose lists hold fewer than k other rows goes
+on to further lists until they do, or none are left.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from epiframe.llm.common import materialise, prepare_python, table
 K = 10
 SAMPLE = 20_000        # vectors the index is fitted on
 MAX_LISTS = 4096
-CALIBRATE = 64         # calibration queries
-COVER = 0.985          # share of true neighbours in the probed lists
+CALIBRATE = 64         # calibration queries of either kind
+COVER = 0.985          # share of true neighbours in the probed lists, and of queries with enough
+ENOUGH = 0.9           # share of a query's true neighbours in its probed lists
 GROUP_ROWS, GROUP_QUERIES = 20_000, 2_000  # of one task's group
 BLOCK = 16             # columns per step
 EPSILON = 2.1          # of the hypothesis test
@@ -83,8 +87,19 @@ def _assign(vectors: DataFrame, centroids) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, list int")
 
 
+def calibration_rows(sample, centroids):
+    """Indices into the sample: the first ``CALIBRATE`` rows, and one row each of as many
+    lists drawn from all."""
+    import numpy as np
+    near = ((centroids ** 2).sum(1) - 2 * sample @ centroids.T).argmin(1)
+    _, first = np.unique(near, return_index=True)
+    spread = np.random.default_rng(SEED).permutation(first)[:CALIBRATE]
+    return np.concatenate([np.arange(min(CALIBRATE, len(sample))), spread])
+
+
 def _probe_count(spark: SparkSession, index: DataFrame, centroids, queries, ids, k: int) -> int:
-    """Lists to probe, from the true neighbours of the calibration queries."""
+    """Lists to probe, from the true neighbours of the calibration queries (the first
+    ``CALIBRATE`` drawn from all rows)."""
     import numpy as np
     held = spark.sparkContext.broadcast((queries, ids))
 
@@ -113,8 +128,15 @@ def _probe_count(spark: SparkSession, index: DataFrame, centroids, queries, ids,
     rows = near.withColumn("r", rank).where(F.col("r") <= k).select("q", "list").collect()
     order = np.argsort(((queries[:, None, :] - centroids[None]) ** 2).sum(2), 1, kind="stable")
     place = np.argsort(order, 1)
-    depth = sorted(int(place[r["q"], r["list"]]) + 1 for r in rows)
-    return depth[min(len(depth) - 1, math.ceil(COVER * len(depth)) - 1)] if depth else 1
+    depth: dict[int, list[int]] = {}
+    for r in rows:
+        depth.setdefault(r["q"], []).append(int(place[r["q"], r["list"]]) + 1)
+
+    def reach(values, share):
+        values = sorted(values)
+        return values[math.ceil(share * len(values)) - 1] if values else 1
+    pooled = reach([x for q, d in depth.items() if q < CALIBRATE for x in d], COVER)
+    return max(pooled, reach([reach(d, ENOUGH) for d in depth.values()], COVER))
 
 
 def scan(query, own_id: int, ids, original, rotated, rot_query, k: int):
@@ -152,9 +174,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, id_col:
 
     Rows take part if their id is not NULL, their vector is usable and as long as
     most vectors. Rows with a query's own id are not its candidates; an id that
-    repeats is one query (its least vector). Ties go to the smaller id. Fewer than
-    ``k`` candidates are all returned where their lists are probed; an empty table
-    gives an empty result.
+    repeats is one query (its least vector). Ties go to the smaller id. Every query has
+    ``k`` rows, or all candidates if there are fewer; an empty table gives an empty
+    result.
     """
     import numpy as np
     spark = vectors.sparkSession
@@ -174,10 +196,14 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, id_col:
     centroids = fit_centroids(sample, max(1, min(MAX_LISTS, round(math.sqrt(n)))))
     held = spark.sparkContext.broadcast(centroids)
     index = materialise(_assign(base, held), "ann-index")
-    probes = _probe_count(spark, index, centroids, sample[:CALIBRATE], ids[:CALIBRATE], k)
+    asking = calibration_rows(sample, centroids)
+    probes = _probe_count(spark, index, centroids, sample[asking], ids[asking], k)
     # sizes per list: at most MAX_LISTS rows
     size = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
-    asked = base.where("q").groupBy("vec_id").agg(F.min("v").alias("v"))
+    held_by = np.array([size.get(i, 0) for i in range(len(centroids))], np.int64)
+    # with the rows that share the query's id, which are none of its candidates
+    asked = base.groupBy("vec_id").agg(F.min(F.when(F.col("q"), F.col("v"))).alias("v"), F.count("*").alias("own")) \
+        .where("v is not null")
 
     def probe(batches):
         import pyarrow as pa
@@ -187,11 +213,12 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, id_col:
                 continue
             x = matrix(b.column(1))
             d = (c ** 2).sum(1) - 2 * x @ c.T
-            near = np.argsort(d, 1, kind="stable")[:, :probes].astype(np.int32)
-            w = near.shape[1]
-            take = np.repeat(np.arange(b.num_rows), w)
+            near = np.argsort(d, 1, kind="stable").astype(np.int32)
+            before = np.cumsum(held_by[near], 1) - held_by[near]  # rows in nearer lists
+            probed = (np.arange(len(c)) < probes) | (before < k + b.column(2).to_numpy()[:, None])
+            take = np.nonzero(probed)[0]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(near.ravel(), pa.int32())],
+                [b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(near[probed], pa.int32())],
                 names=["vec_id", "v", "list"])
 
     probing = materialise(asked.mapInArrow(probe, "vec_id long, v array<double>, list int"), "ann-probes")

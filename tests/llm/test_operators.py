@@ -152,6 +152,28 @@ def test_nearest_neighbours_recall_ties_and_odd_vectors(spark):
     assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_outliers_beside_a_hot_cluster_get_all_neighbours(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows = [(i, [1000.0] + [0.0] * 15) for i in range(100, 1600)]  # copies
+    rows += [(i, rng.standard_normal(16).tolist()) for i in range(60)]
+    rows += [(7, rng.standard_normal(16).tolist()) for _ in range(12)]  # an id of many rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(df, F.col("vec_id") < 60).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert len(got) == 60 and all(len(found) == 10 for found in got.values())
+    hit, total = 0, 0
+    for q in set(got) - {7}:
+        v = np.array(dict((i, x) for i, x in rows if i == q)[q])
+        best = sorted((float(((np.array(x) - v) ** 2).sum()), i) for i, x in rows if i != q)[:10]
+        hit += len(Counter(i for _, i in best) & Counter(got[q]))
+        total += 10
+    assert hit / total >= 0.9
+    few = spark.createDataFrame(rows[1500:1506], df.schema)
+    assert ann.nearest_neighbours(few, F.col("vec_id") == 3).count() == 5
+
+
 # --- 5 -------------------------------------------------------------------------
 
 def test_near_duplicates_against_all_pairs(spark):
