@@ -36,6 +36,8 @@ STARTS = WINDOW - CORE + 1
 CHUNK = 8 << 20               # bytes of a long text worked on at a time
 BUCKET = 20_000               # suffixes of one sort bucket
 MAX_BROADCAST_KEYS = 2_000_000  # 64-bit keys (16 MB); beyond it a shuffle join
+MAX_BROADCAST_BYTES = 32 << 20  # of lists of wanted suffixes, measured; beyond it a shuffle join
+WANTED_BYTES = 8 * 8            # a suffix in such a list: offset and size, null bits, six fields
 
 SUFFIX = "d long, t long, x long, lo long, hi long, g long, u long"
 RECORD = "d long, t long, x long, off int, j0 int, j1 int, a int, b int, res boolean, node long, uk long, ctx binary"
@@ -135,7 +137,8 @@ def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[n] for r in part], ty) for n, ty in zip(names, _arrow_types())], names=names)
 
-    both = docs.join(F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS // 20 else wanted, ["d", "t"])
+    size = wanted.agg(F.sum(F.size("w").cast("long") * WANTED_BYTES + 2 * 8)).first()[0] or 0
+    both = docs.join(F.broadcast(wanted) if size <= MAX_BROADCAST_BYTES else wanted, ["d", "t"])
     return both.select("d", "t", "text", "w").mapInArrow(run, RECORD)
 
 

@@ -422,3 +422,27 @@ def test_repeats_against_every_window(spark, monkeypatch, bucket):
         return hashlib.sha256(out + b[at:]).hexdigest()
     assert got == sorted((i or -1, list(s), kept(t, s)) for (i, t), s in zip(rows, want))
     assert repeats.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_long_lists_of_wanted_suffixes_are_not_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, 0, words(rng, 200).encode()) for i in range(3)]
+    docs = spark.createDataFrame(rows, "d long, t long, text binary")
+    # few rows, but many suffixes in each
+    reps = docs.select("d", "t", F.explode(F.expr("sequence(0L, 300L)")).alias("x")) \
+        .selectExpr("d", "t", "x", "x as lo", "x as hi", "x as g", "x as u", "false as res")
+
+    def plan():
+        found = repeats._contexts(docs, reps)
+        return found._jdf.queryExecution().executedPlan().toString(), found.select("d", "x", "ctx").collect()
+    auto = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(auto)
+    spark.conf.set(auto, "-1")
+    try:
+        small, want = plan()
+        monkeypatch.setattr(repeats, "MAX_BROADCAST_BYTES", 900 * 56, raising=False)
+        large, got = plan()
+    finally:
+        spark.conf.set(auto, old)
+    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
+    assert len(got) == 903 and sorted(map(tuple, got)) == sorted(map(tuple, want))
