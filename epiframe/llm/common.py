@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Scratch:
+    """Folders that :func:`materialise` wrote in a :func:`scratch_scope`."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete them; nothing may read them any more."""
+        for path in self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
+
+
+_SCOPES: list[Scratch] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[Scratch]:
+    """Folders written within the block are noted in the innermost open scope."""
+    _SCOPES.append(Scratch())
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read it back.
 
@@ -24,6 +54,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _SCOPES:
+        _SCOPES[-1].paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

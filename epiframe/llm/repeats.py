@@ -35,9 +35,7 @@ CORE = WINDOW // 2
 STARTS = WINDOW - CORE + 1
 CHUNK = 8 << 20               # bytes of a long text worked on at a time
 BUCKET = 20_000               # suffixes of one sort bucket
-MAX_BROADCAST_KEYS = 2_000_000  # 64-bit keys (16 MB); beyond it a shuffle join
-MAX_BROADCAST_BYTES = 32 << 20  # of lists of wanted suffixes, measured; beyond it a shuffle join
-WANTED_BYTES = 8 * 8            # a suffix in such a list: offset and size, null bits, six fields
+SALTS = 8                     # shares a class of suffixes is dealt into where its extents are joined
 
 SUFFIX = "d long, t long, x long, lo long, hi long, g long, u long"
 RECORD = "d long, t long, x long, off int, j0 int, j1 int, a int, b int, res boolean, node long, uk long, ctx binary"
@@ -108,11 +106,6 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SUFFIX)
 
 
-def _keyed(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """``df`` joined with a key table, broadcast only where its row count is small."""
-    return df.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys, on)
-
-
 def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Records of representative suffixes with the bytes of their extents."""
     wanted = materialise(reps.groupBy("d", "t").agg(
@@ -137,8 +130,7 @@ def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[n] for r in part], ty) for n, ty in zip(names, _arrow_types())], names=names)
 
-    size = wanted.agg(F.sum(F.size("w").cast("long") * WANTED_BYTES + 2 * 8)).first()[0] or 0
-    both = docs.join(F.broadcast(wanted) if size <= MAX_BROADCAST_BYTES else wanted, ["d", "t"])
+    both = docs.join(wanted, ["d", "t"])
     return both.select("d", "t", "text", "w").mapInArrow(run, RECORD)
 
 
@@ -275,13 +267,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     prepare_python(docs.sparkSession)
     suffixes = materialise(_suffixes(docs.select("d", "t", "text")), "repeats-suffixes")
     keys = suffixes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    alive = materialise(_keyed(suffixes, materialise(keys, "repeats-keys"), "g"), "repeats-alive")
+    # the key table is written, so both sides of the join are plain exchanges, which
+    # adaptive execution splits at a hot core
+    alive = materialise(suffixes.join(materialise(keys, "repeats-keys"), "g", "left_semi"), "repeats-alive")
     extents = materialise(alive.groupBy("g", "u").agg(
         F.count("*").alias("n"), F.min(F.struct("d", "t", "x", "lo", "hi")).alias("r")), "repeats-extents")
     spans = [alive.join(extents.where("n > 1").select("g", "u"), ["g", "u"])
              .select("d", "t", F.col("lo").alias("s"), (F.col("hi") + WINDOW).alias("e"))]
     mixed = extents.groupBy("g").agg(F.count("*").alias("nu")).where("nu > 1").select("g")
-    reps = extents.join(mixed, "g").select("g", "u", "r.*", (F.col("n") > 1).alias("res"))
+    # extents of a hot core are dealt by (g, salt): SALTS rows of two numbers a core
+    salted = mixed.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    reps = extents.withColumn("salt", F.pmod("u", F.lit(SALTS).cast("long"))).join(salted, ["g", "salt"]) \
+        .select("g", "u", "r.*", (F.col("n") > 1).alias("res"))
     records = materialise(_contexts(docs, reps), "repeats-records")
     while True:
         sizes = records.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("node")
@@ -363,9 +360,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest columns, and what is kept as a string (a character that lost some of
+    its bytes shows as U+FFFD; the digest is of the bytes)."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"),
+                      F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def repeated_spans_by_force(texts: list[bytes]) -> list[list[tuple[int, int]]]:

@@ -262,6 +262,41 @@ def test_line_dedup_against_all_pairs(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_or_lack_an_id(spark):
+    import duckdb
+    rng = random.Random(14)
+    pool = [f"{w} line number {i} of the pool" for i in range(14) for w in ("first", "firsd", "other")]
+    rows = [(rng.choice([7, 7, 8, None, None, 9]), "\n".join(rng.sample(pool, rng.randint(1, 6)))) for _ in range(40)]
+    rows += [(None, "first shared line here\nunique line of row one"), (None, "another unique line here\nfirst shared line here"),
+             (7, "x same id first one\nand a clean one"), (7, "y same id\nx same id first one"), (7, None), (None, ""), rows[0], rows[0]]
+
+    def order(r):
+        text = r[1] or ""
+        return (r[0] if r[0] is not None else lines.NO_ID, int(hashlib.md5(text.encode()).hexdigest()[:15], 16))
+    seen, want = [], {}
+    for key in sorted({(order(r), r) for r in rows}, key=lambda k: k[0]):
+        d, t = key[1]
+        gone = []
+        for n, line in enumerate((t or "").split("\n")):
+            if line and any(line == s or within_one_edit(line, s) for s in seen):
+                gone.append(n)
+            if line:
+                seen.append(line)
+        want[d, t] = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(5) for c in ("d", "t", "gone", "row", "lines")})
+    got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(df).collect()]
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(got, key=key) == sorted(((d, want[d, t]) for d, t in rows), key=key)
+    kept = {x for _, t in got for x in (t or "").split("\n")}
+    assert {"unique line of row one", "another unique line here", "and a clean one"} <= kept
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    twin = con.execute(f"with {lines.line_dedup_sql()} select doc_id, text from deduped").fetchall()
+    assert sorted(twin, key=key) == sorted(got, key=key)
+    con.close()
+
+
 # --- 7 -------------------------------------------------------------------------
 
 def test_quality_statistics_against_python(spark):
@@ -424,25 +459,34 @@ def test_repeats_against_every_window(spark, monkeypatch, bucket):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_long_lists_of_wanted_suffixes_are_not_broadcast(spark, monkeypatch):
+def test_lists_of_wanted_suffixes_are_joined_by_a_shuffle(spark):
     rng = random.Random(12)
     rows = [(i, 0, words(rng, 200).encode()) for i in range(3)]
     docs = spark.createDataFrame(rows, "d long, t long, text binary")
     # few rows, but many suffixes in each
     reps = docs.select("d", "t", F.explode(F.expr("sequence(0L, 300L)")).alias("x")) \
         .selectExpr("d", "t", "x", "x as lo", "x as hi", "x as g", "x as u", "false as res")
-
-    def plan():
-        found = repeats._contexts(docs, reps)
-        return found._jdf.queryExecution().executedPlan().toString(), found.select("d", "x", "ctx").collect()
     auto = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(auto)
     spark.conf.set(auto, "-1")
     try:
-        small, want = plan()
-        monkeypatch.setattr(repeats, "MAX_BROADCAST_BYTES", 900 * 56, raising=False)
-        large, got = plan()
+        found = repeats._contexts(docs, reps)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["d"], r["x"]): bytes(r["ctx"]) for r in found.select("d", "x", "ctx").collect()}
     finally:
         spark.conf.set(auto, old)
-    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" not in large
-    assert len(got) == 903 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert "BroadcastHashJoin" not in plan
+    assert got == {(d, x): t[x:x + repeats.WINDOW] for d, _, t in rows for x in range(301)}
+
+
+def test_repeats_query_shows_what_is_kept(spark):
+    from epiframe.llm.queries import QUERIES
+    out = QUERIES["op10_repeats"](spark, SF)
+    assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    docs = {r["doc_id"]: (r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in out.collect():
+        assert r["n_bytes"] == len(docs[r["doc_id"]].encode())
+        if r["n_removed"] == 0:
+            assert r["text"] == docs[r["doc_id"]]
+        elif "\ufffd" not in r["text"]:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]

@@ -42,3 +42,16 @@ def test_odd_rows_pass_every_stage(spark):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_run_removes_what_it_wrote_on_the_way(spark):
+    import os
+
+    from epiframe.session import checkpoint_root, local_path
+    folder = os.path.join(local_path(checkpoint_root(spark)), "epiframe")
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    out = pipeline.run(spark, SF)
+    left = {p.rsplit("-", 1)[0] for p in set(os.listdir(folder)) - before}
+    assert left - {"pyfiles-local"} == {"pipeline-source-mixing"}
+    assert out.count() > 0
