@@ -17,8 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from epiframe.llm.common import materialise, table  # noqa: E402
-from epiframe.llm.lines import dedup_lines  # noqa: E402
+from epiframe.llm.common import materialise, scratch_scope, table  # noqa: E402
+from epiframe.llm.lines import cut_lines  # noqa: E402
 from epiframe.llm.mixing import mix_documents, n_tokens  # noqa: E402
 from epiframe.llm.neardup import near_duplicates  # noqa: E402
 from epiframe.llm.pieces import encode_pieces  # noqa: E402
@@ -38,6 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_lid"), F.col("quality").alias("_q")) \
         .where("_q is not null")
     # the statistics are written once, with the rows: learning and judging both read them
+    # (a row without an id, or that shares one, could not be joined to its verdict again)
     stats = materialise(with_statistics(_packed(docs, "doc_id", "text"), carry=("_row",)), "pipeline-statistics")
     slim = with_features(stats.drop("_row"))
     labelled = slim.join(labels, slim["doc_id"] == F.col("_lid")).where(~base_failed())
@@ -48,12 +49,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines and lines one edit from an earlier one go; a document that loses
     every line goes too (operator 6). ``n_chars`` follows the text."""
-    out = dedup_lines(_packed(docs, "doc_id", "text"))
-    row = F.col("_row").withField("text", F.col("text"))
+    out = cut_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        row = F.when(F.col("n_removed") > 0, row.withField("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))) \
-            .otherwise(row)
-    return out.where("n_removed = 0 or n_removed < n_lines").select(row.alias("_row")).select("_row.*")
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,9 +91,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, "pipeline-" + name.replace(" ", "-"))
-    return docs
+    """The stages in turn. What a stage wrote on the way goes once its result is written,
+    and so does the result before it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch_scope() as on_the_way:
+            result = stage(spark, docs, sf_dir)
+            with scratch_scope() as own:
+                docs = materialise(result, "pipeline-" + name.replace(" ", "-"))
+        on_the_way.drop(spark)
+        if before is not None:
+            before.drop(spark)
+        before = own
+    return STAGES[-1][1](spark, docs, sf_dir)
