@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.llm.common import materialise, prepare_python, table
 
-SAMPLE_PER_CLASS = 10_000   # labelled rows of a class the model is fitted on, by hash
+SAMPLE_PER_CLASS = 10_000   # labelled rows of a class the model is fitted on, by hash (give or take its chance)
 BINS, PAIR_BINS = 64, 12
 CYCLES, PAIR_CYCLES = 400, 150
 N_PAIRS = 8
@@ -298,18 +298,24 @@ def fit(x, y, seed: int = SEED) -> Model:
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, quality: str = "quality", id_col: str = "doc_id",
                     per_class: int = SAMPLE_PER_CLASS) -> tuple:
-    """(x, y) of at most ``per_class`` labelled rows of each class, those with the least
-    hash of (id, statistics), in that order.
+    """(x, y) of about ``per_class`` labelled rows of each class (all, if fewer): those
+    whose hash of (id, statistics) lies in the class's share of the hash range, in order
+    of the hash. Each task picks its rows by itself; no class is brought to one task.
 
     Labels other than 0 and 1, NULL labels, and rows that are held out by their id do not
     count; a document labelled twice counts twice."""
     import numpy as np
     known = labels.select(F.col(id_col).alias("_lid"), F.col(quality).cast("int").alias("y")) \
         .where(F.col("y").isin(0, 1) & F.col("_lid").isNotNull() & ~held_out(F.col("_lid")))
-    joined = stats.join(known, F.col("doc_id") == F.col("_lid")).select("x", "y", F.xxhash64("doc_id", "x").alias("h"))
-    first = Window.partitionBy("y").orderBy("h")
-    rows = joined.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_class) \
-        .orderBy("h", "y").collect()  # at most 2 x per_class rows of FEATURES numbers
+    joined = stats.join(known, F.col("doc_id") == F.col("_lid")).select(
+        "x", "y", F.xxhash64("doc_id", "x").alias("h"))
+    joined = materialise(joined, "gam-labelled")
+    share = F.lit(0.0)
+    for r in joined.groupBy("y").count().collect():  # two rows
+        share = F.when(F.col("y") == r["y"], F.lit(min(1.0, per_class / r["count"]))).otherwise(share)
+    rows = joined.where(F.pmod("h", F.lit(1 << 20).cast("long")) < share * (1 << 20)) \
+        .collect()  # about 2 x per_class rows of FEATURES numbers
+    rows.sort(key=lambda r: (r["h"], r["y"]))
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     return x, np.array([r["y"] for r in rows], np.int64)
 
