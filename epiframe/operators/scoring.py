@@ -133,22 +133,30 @@ def random_weights(cfg: ScorerConfig, seed: int = 0) -> Weights:
 
 # ---------------------------------------------------------------- numpy core
 
-def _splitmix(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def dropout_mask(row_hash: np.ndarray, units: int, step: int, keep_prob: float) -> np.ndarray:
     """Keep mask scaled by 1/keep_prob; a function of (row key, unit, step) only,
-    so a re-run task draws the same mask (M9)."""
-    with np.errstate(over="ignore"):
-        base = row_hash.astype(np.uint64)[:, None] * np.uint64(0x100000001B3)
-        unit = np.arange(units, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B1)
-        x = _splitmix(base ^ unit ^ np.uint64(step * 0x632BE5AB + 1))
-    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-    return (u < keep_prob) / keep_prob
+    so a re-run task draws the same mask (M9). The bits are those of
+    :func:`dropout_kept`."""
+    from epiframe.functions.random import draw32_array, keep_threshold
+
+    return (draw32_array(row_hash, units, step) < np.uint64(keep_threshold(keep_prob))) / keep_prob
+
+
+def dropout_kept(df: DataFrame, keys: Sequence[str], units: int, steps: Sequence[int],
+                 keep_prob: float = KEEP_PROB, seed: int = 0) -> DataFrame:
+    """The dropout mask as rows: (keys, unit, step, kept) of every row of ``df``.
+
+    JVM arithmetic on a hash of the keys (:mod:`epiframe.functions.random`), so the mask
+    that a fit draws in NumPy can be looked at, or joined to the examples, in SQL."""
+    from epiframe.functions.random import draw32, keep_threshold, row_state
+    from epiframe.operators.sampling import key_hash60
+
+    rows = df.select(*keys, key_hash60(keys, seed).alias("_h"),
+                     F.explode(F.array(*[F.lit(int(t)) for t in steps])).alias("step"))
+    drawn = rows.select(*keys, "step", row_state(F.col("_h"), F.col("step")).alias("_state"),
+                        F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit"))
+    kept = draw32(F.col("_state"), F.col("unit")) < F.lit(keep_threshold(keep_prob))
+    return drawn.select(*keys, "unit", "step", kept.alias("kept"))
 
 
 def _one_hot_dense(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -333,16 +341,20 @@ def linear_layer(df: DataFrame, in_col: str, W: np.ndarray, b: np.ndarray,
     return df.mapInArrow(run, schema)
 
 
+SLICE = 4096    # parameters of one slice of the gradient
+FAN_IN = 32     # partial sums a slice is dealt into before its last sum
+
+
 def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = None,
-                  vec: str = "vec", label: str = "label", step: int | None = None,
-                  key_hash: str | None = None) -> DataFrame:
-    """Summed loss gradient over all rows (M8): one row ``(rows, loss, g)`` with
-    ``g`` the flat gradient (parameters in sorted name order).
-
-    Each task sums its batches in NumPy and emits one row holding a model-sized
-    array; the rows are added by Spark ML's ``Summarizer`` (a JVM aggregate with
-    map-side partial sums), so the exchange carries one vector per task and a
-    single vector reaches the driver. With ``step`` and ``key_hash`` (a BIGINT
+                    vec: str = "vec", label: str = "label", step: int | None = None,
+                    key_hash: str | None = None, slice_size: int = SLICE, fan_in: int = FAN_IN) -> DataFrame:
+    """Summed loss gradient over all rows (M8) as rows ``(slice, g)``: slice ``s`` holds
+    parameters ``s * slice_size ..`` in sorted name order, slice -1 (rows, summed loss).
+
+    Reduce-scatter: each task adds its batches in NumPy and emits its sum in slices; the
+    slices of a group of tasks are added first, then those of all groups, so every
+    reducer adds slices, never whole models, however many tasks and parameters there are.
+    The sums are Spark ML's ``Summarizer``. With ``step`` and ``key_hash`` (a BIGINT
     column), dropout is applied (M9).
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -358,6 +370,7 @@ def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = No
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         total = None
         loss, rows = 0.0, 0
@@ -366,35 +379,61 @@ def gradient_sums(df: DataFrame, weights: Weights, cfg: ScorerConfig | None = No
                 continue
             X = _arrow_vectors(rb, vec)
             y = rb.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
-            mask = None
-            if step is not None:
-                kh = rb.column(key_hash).to_numpy(zero_copy_only=False).astype(np.int64)
-                mask = dropout_mask(kh.view(np.uint64), cfg.hidden, step, cfg.keep_prob)
-            s, cache = forward(w, X, cfg, mask)
-            g = backward(w, cache, y, s, cfg)
-            v = np.concatenate([g[k].ravel() for k in names])
+            kh = rb.column(key_hash).to_numpy(zero_copy_only=False) if key_hash else None
+            v, part_loss = batch_gradient(w, X, y, cfg, names, step, kh)
             total = v if total is None else total + v
-            loss += float(log_loss_terms(y, s).sum())
+            loss += part_loss
             rows += rb.num_rows
         if total is None:
             return
-        offsets = pa.array([0, total.size], type=pa.int32())
-        g_col = pa.ListArray.from_arrays(offsets, pa.array(total, type=pa.float64()))
+        cuts = [total[i:i + slice_size] for i in range(0, total.size, slice_size)]
+        group = TaskContext.get().partitionId() % fan_in
+        values = [np.array([rows, loss]), *cuts]
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([rows], type=pa.int64()), pa.array([loss], type=pa.float64()), g_col],
-            names=["rows", "loss", "g"])
+            [pa.array(np.arange(-1, len(cuts), dtype=np.int32)), pa.array(np.full(len(values), group, np.int32)),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))],
+            names=["slice", "part", "g"])
 
-    parts = df.select(*cols).mapInArrow(run, "rows long, loss double, g array<double>")
-    return parts.agg(F.sum("rows").alias("rows"), F.sum("loss").alias("loss"),
-                     vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    parts = df.select(*cols).mapInArrow(run, "slice int, part int, g array<double>")
+    some = parts.groupBy("slice", "part").agg(Summarizer.sum(array_to_vector("g")).alias("g"))
+    return some.groupBy("slice").agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("g"))
 
 
-def collect_gradient(sums: DataFrame, weights: Weights) -> tuple[Weights, float, int]:
+def batch_gradient(w: Weights, X: np.ndarray, y: np.ndarray, cfg: ScorerConfig, names: Sequence[str],
+                   step: int | None = None, key_hash: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """(flat gradient sum, loss sum) of one batch of example vectors."""
+    mask = None
+    if step is not None and key_hash is not None:
+        mask = dropout_mask(key_hash.astype(np.int64), cfg.hidden, step, cfg.keep_prob)
+    s, cache = forward(w, X, cfg, mask)
+    g = backward(w, cache, y, s, cfg)
+    return np.concatenate([g[k].ravel() for k in names]), float(log_loss_terms(y, s).sum())
+
+
+def collect_gradient(slices: DataFrame, weights: Weights) -> tuple[Weights, float, int]:
     """Bring the (model-sized) summed gradient to the driver."""
-    r = sums.first()
-    if r is None or r["rows"] is None:
+    got = {r["slice"]: r["g"] for r in slices.collect()}  # model-sized
+    if not got:
         return weights.unflat(np.zeros(weights.flat().size)), 0.0, 0
-    return weights.unflat(np.asarray(r["g"], dtype=np.float64)), float(r["loss"]), int(r["rows"])
+    rows, loss = got.pop(-1)
+    return weights.unflat(np.concatenate([got[i] for i in sorted(got)])), float(loss), int(rows)
+
+
+def gradient_components(slices: DataFrame, weights: Weights, slice_size: int = SLICE) -> DataFrame:
+    """(name, i, j, g): every component of the gradient as a row; a vector has j = 0."""
+    flat = slices.where("slice >= 0").select(F.col("slice").cast("long").alias("s"), F.posexplode("g").alias("p", "g")) \
+        .select((F.col("s") * slice_size + F.col("p")).alias("at"), "g")
+    name, first, width, at = F.lit(None).cast("string"), F.lit(0), F.lit(1), 0
+    for k in sorted(weights.arrays):
+        shape = weights.arrays[k].shape
+        here = F.col("at") >= at
+        name = F.when(here, F.lit(k)).otherwise(name)
+        first = F.when(here, F.lit(at)).otherwise(first)
+        width = F.when(here, F.lit(shape[1] if len(shape) > 1 else 1)).otherwise(width)
+        at += weights.arrays[k].size
+    named = flat.select(name.alias("name"), (F.col("at") - first).alias("o"), width.alias("w"), "g")
+    return named.select("name", F.expr("cast(o div w as int)").alias("i"), F.expr("cast(o % w as int)").alias("j"), "g")
 
 
 @dataclass
@@ -447,7 +486,9 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
     data = df
     key_hash = None
     if dropout and keys:
-        data = df.withColumn("_kh", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+        from epiframe.operators.sampling import key_hash60
+
+        data = df.withColumn("_kh", key_hash60(keys, seed))
         key_hash = "_kh"
     n_batches = None
     if batch_col is not None:
@@ -467,9 +508,9 @@ def fit_scorer(df: DataFrame, cfg: ScorerConfig | None = None, steps: int = 5,
     history = []
     for step in range(first, steps):
         part = data if n_batches is None else data.filter(F.col(batch_col) == step % n_batches)
-        sums = gradient_sums(part, w, cfg, vec, label,
-                             step=step if key_hash else None, key_hash=key_hash)
-        g, loss, rows = collect_gradient(sums, w)
+        slices = gradient_sums(part, w, cfg, vec, label,
+                                 step=step if key_hash else None, key_hash=key_hash)
+        g, loss, rows = collect_gradient(slices, w)
         if rows == 0:
             break
         g = g.unflat(g.flat() / rows)

@@ -17,7 +17,7 @@ from epiframe.functions.activations import relu, sigmoid
 from epiframe.functions.linear import affine
 from epiframe.functions.encode import (encode_letters, multi_hot, one_hot, pad_middle,
                                        peptide_vector, slice_features)
-from epiframe.operators import batching, metrics, sampling, scoring, split
+from epiframe.operators import batching, curves, epochs, exact_sampling, metrics, sampling, scoring, split
 from epiframe.operators.examples import encode_examples, encode_examples_checked
 from epiframe.operators.lookup import (attach_sample_codes, encode_slots, unmatched_terms,
                                        unpivot_slots)
@@ -31,6 +31,15 @@ BATCH_PER_CLASS = 1000
 SEQUENTIAL_ROWS = 300
 SEED = 7
 FRACTION = 0.1
+KNOWN_BELOW = "Brand#4"     # terms below this are in the dictionary of the look-up report
+EXACT_FRACTION = (1, 10)    # numerator, denominator
+SMALL_HIDDEN = 8            # hidden units where every gradient component is compared
+FIT_RATE = 0.01
+OFF_KINK = {"b1": 0.003, "f1": 0.003, "a1": 0.00003}
+MASK_UNITS, MASK_STEPS, KEEP = 6, (0, 1, 7), 0.75
+FIRST_EPOCH, LAST_EPOCH = 1, 3
+N_EXPECTED, NOT_EXPECTED = 36, (30, 31)
+SCORE_LOW, SCORE_HIGH, SCORE_BINS = 8.0, 23.0, 6
 
 
 def arr_str(c: Column | str) -> Column:
@@ -116,8 +125,10 @@ def q_encode_rejects(spark, sf):
 
 
 def q_unmatched_terms(spark, sf):
+    # a dictionary that knows the first brands only
     long = unpivot_slots(S.slots_wide(spark, sf))
-    return unmatched_terms(long, S.voc_table(spark, sf)).select("sample_id", "slot", "term")
+    known = S.voc_table(spark, sf).where(F.col("term") < KNOWN_BELOW)
+    return unmatched_terms(long, known).select("sample_id", "slot", "term")
 
 
 def q_slice_features(spark, sf):
@@ -293,23 +304,118 @@ def q_eval_held_out(spark, sf):
                       r6("pr_auc").alias("pr_auc"), r6("log_loss").alias("log_loss"))
 
 
-def _b2_offset(cfg) -> tuple[int, int]:
-    w = scoring.rule_weights(cfg).arrays
-    off = 0
-    for k in sorted(w):
-        if k == "b2":
-            return off, w[k].size
-        off += w[k].size
-    raise KeyError("b2")
+def off_kink_weights(cfg):
+    """Rule weights with OFF_KINK added to the hidden biases: rule values are multiples of
+    a few fractions, so sums of zero, where a ReLU's derivative would follow the order of
+    summation, do not occur."""
+    w = scoring.rule_weights(cfg)
+    for name, by in OFF_KINK.items():
+        if name in w.arrays:
+            w.arrays[name] = w.arrays[name] + by
+    return w
+
+
+def _gradients(spark, sf, variant, hidden):
+    cfg = scoring.ScorerConfig(variant, hidden=hidden)
+    w = off_kink_weights(cfg) if hidden == SMALL_HIDDEN else scoring.rule_weights(cfg)
+    # small slices, so several reducers and the two levels of sums take part
+    slices = scoring.gradient_sums(_examples(spark, sf, variant), w, cfg, slice_size=256, fan_in=4)
+    return scoring.gradient_components(slices, w, slice_size=256)
 
 
 def q_gradient_sums(spark, sf):
-    cfg = scoring.ScorerConfig("base")
-    g = scoring.gradient_sums(_examples(spark, sf), scoring.rule_weights(cfg), cfg)
-    off, n = _b2_offset(cfg)
-    # one model-sized row: the output-bias slice, one row per category
-    b2 = g.select(F.posexplode(F.slice("g", off + 1, n)).alias("k", "g"))
-    return b2.select(F.col("k").cast("int").alias("k"), r6("g").alias("g"))
+    """Output biases of the full-size model: one row per category."""
+    g = _gradients(spark, sf, "base", 256).where("name = 'b2'")
+    return g.select(F.col("i").alias("k"), r6("g").alias("g"))
+
+
+def _q_gradients(variant):
+    def query(spark, sf):
+        """Every component of the summed gradient (small hidden layer, rule weights)."""
+        g = _gradients(spark, sf, variant, SMALL_HIDDEN)
+        return g.select("name", "i", "j", (F.round("g", 4) + F.lit(0.0)).alias("g"))
+    return query
+
+
+def q_fit_losses(spark, sf):
+    """Mean loss before and after one Adam step on all examples (rule weights, no dropout)."""
+    cfg = scoring.ScorerConfig("base", hidden=SMALL_HIDDEN)
+    _, hist = scoring.fit_scorer(_examples(spark, sf), cfg, steps=2, lr=FIT_RATE, dropout=False,
+                                 init=off_kink_weights(cfg))
+    out = spark.createDataFrame(hist, "step int, loss double, rows long")
+    return out.select("step", r6("loss").alias("loss"), "rows")
+
+
+def q_dropout_mask(spark, sf):
+    s = S.seq_table(spark, sf).select("doc_id", "pos")
+    return scoring.dropout_kept(s, ["doc_id", "pos"], MASK_UNITS, MASK_STEPS, KEEP, seed=SEED)
+
+
+def _numbered(spark, sf):
+    return epochs.numbered_classes(_lineitem(spark, sf), "l_returnflag", ["l_orderkey", "l_linenumber"], seed=SEED)
+
+
+def q_epoch_order(spark, sf):
+    """Two epochs of every class, each a permutation of its rows."""
+    out = epochs.epoch_order(_numbered(spark, sf), "l_returnflag", FIRST_EPOCH, LAST_EPOCH, seed=SEED)
+    return out.select("epoch", "position", "l_returnflag", "l_orderkey", "l_linenumber")
+
+
+def q_epoch_batches(spark, sf):
+    """Balanced batches for two epochs of the largest class, from a later batch on."""
+    numbered = _numbered(spark, sf)
+    most = numbered.agg(F.max("class_rows")).first()[0] or 0
+    first = most // BATCH_PER_CLASS
+    out = epochs.balanced_stream(numbered, "l_returnflag", BATCH_PER_CLASS, first, first + 2 * (most // BATCH_PER_CLASS),
+                                 seed=SEED)
+    return out.select("batch", "slot", "epoch", "l_returnflag", "l_orderkey", "l_linenumber")
+
+
+def q_downsample_exact(spark, sf):
+    li = _lineitem(spark, sf).withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    out = exact_sampling.downsample_exact(li, "label", ["l_orderkey", "l_linenumber"], EXACT_FRACTION,
+                                          by=["l_linenumber"], seed=SEED)
+    return out.select("l_orderkey", "l_linenumber", "label")
+
+
+def q_sample_bernoulli_check(spark, sf):
+    """What holds for any Bernoulli sample: rows of the table, each once, about the share."""
+    whole, kept = _lineitem(spark, sf), sampling.sample_rows(_lineitem(spark, sf), FRACTION, seed=SEED)
+    again = sampling.sample_rows(_lineitem(spark, sf), FRACTION, seed=SEED)
+    keys = ["l_orderkey", "l_linenumber"]
+
+    def per_key(df, name):
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = per_key(whole, "m").join(per_key(kept, "k"), keys, "full_outer").join(per_key(again, "a"), keys, "full_outer")
+    m, k, a = (F.coalesce(c, F.lit(0)) for c in ("m", "k", "a"))
+    share = F.abs(F.sum(k) - F.sum(m) * FRACTION) < 6 * F.sqrt(F.sum(m) * (FRACTION * (1 - FRACTION)))
+    return both.agg(F.sum(m).alias("rows"), F.min(k <= m).alias("each_once"), share.alias("about_the_share"),
+                    F.min(k == a).alias("same_with_same_seed"))
+
+
+def q_binned_areas(spark, sf):
+    """Thresholded ROC and PR areas per sample, their bounds, and the exact areas."""
+    scored = S.scored_table(spark, sf)
+    even = F.col("doc_id") % 2 == 0
+    halves = [curves.score_bins(scored.where(c), SCORE_LOW, SCORE_HIGH, SCORE_BINS, by=["sample_id"])
+              for c in (even, ~even)]
+    binned = curves.binned_areas(curves.merge_bins(*halves, by=["sample_id"]), by=["sample_id"])
+    exact = metrics.evaluate_by_sample(scored).select("sample_id", F.col("roc_auc").alias("exact_roc"),
+                                                      F.col("pr_auc").alias("exact_pr"))
+    slack = F.lit(1e-9)
+    return binned.join(exact, "sample_id").select(
+        "sample_id", "n_pos", "n_neg", r6("roc_auc").alias("roc_auc"), r6("roc_bound").alias("roc_bound"),
+        r6("pr_auc").alias("pr_auc"), r6("pr_low").alias("pr_low"), r6("pr_high").alias("pr_high"),
+        (F.abs(F.col("roc_auc") - F.col("exact_roc")) <= F.col("roc_bound") + slack).alias("roc_within"),
+        F.col("exact_pr").between(F.col("pr_low") - slack, F.col("pr_high") + slack).alias("pr_within"))
+
+
+def q_slice_float32(spark, sf):
+    """Example vectors sliced as 32-bit floats, as a trainer reads them."""
+    ex = encode_examples(S.seq_table(spark, sf), _codes(spark, sf), "abundance")
+    pep, al, ab = slice_features(F.col("vec").cast("array<float>"), [11, 6, 1], ["peptide", "alleles", "abundance"])
+    return ex.select("doc_id", "pos", F.element_at(pep, 1).alias("first"), F.element_at(al, 6).alias("last"),
+                     F.element_at(ab, 1).alias("abundance"))
 
 
 def q_fit_scorer(spark, sf):
@@ -368,11 +474,31 @@ def q_manifest(spark, sf):
     return _manifest(spark, sf).select("split", "sample", "cls", "file")
 
 
+def _expected_files(spark, sf):
+    """Expected samples: one in N_EXPECTED of the documents' ids, but two; the files hold
+    N_SEQ_SAMPLES samples, so some are missing and some surplus."""
+    ids = S.table(spark, sf, "documents").select((F.col("doc_id") % N_EXPECTED).cast("bigint").alias("sample_id")) \
+        .where(~F.col("sample_id").isin(*NOT_EXPECTED)).distinct()
+    samples = ids.select(_split_col().alias("split"),
+                         F.concat(F.lit("sample_"), F.col("sample_id").cast("string")).alias("sample"))
+    return dataset.dataset_manifest(samples, id_col="sample")
+
+
+def q_file_listing(spark, sf):
+    """Metadata of the files found: no file is opened."""
+    found = dataset.listed_files(dataset.file_listing(spark, _labelled_lines_dir(spark, sf, 2)))
+    return found.select("split", "file", "cls", "bytes")
+
+
 def q_manifest_missing(spark, sf):
-    lines = text.with_path_columns(text.scan_lines(spark, _labelled_lines_dir(spark, sf, 2)))
-    present = lines.select("split", F.concat_ws("_", "sample", F.when(
-        F.col("path_label") == 1, "pos").otherwise("neg")).alias("file")).distinct()
-    return dataset.check_complete(_manifest(spark, sf), present)
+    found = dataset.listed_files(dataset.file_listing(spark, _labelled_lines_dir(spark, sf, 2)))
+    return dataset.check_complete(_expected_files(spark, sf), found)
+
+
+def q_manifest_files(spark, sf):
+    """The files that are not as expected, by name."""
+    found = dataset.listed_files(dataset.file_listing(spark, _labelled_lines_dir(spark, sf, 2)))
+    return dataset.reconcile(_expected_files(spark, sf), found).where("status <> 'present'")
 
 
 def _examples_dir(spark, sf) -> str:
@@ -410,7 +536,13 @@ def q_dictionary_roundtrip(spark, sf):
     sinks.save_dictionaries(sinks.residue_table(spark), _codes(spark, sf), path,
                             vocab=S.voc_table(spark, sf))
     residues, samples = sinks.load_dictionaries(spark, path)
-    return samples.select("sample_id", arr_str("codes").alias("codes"))
+    vocab = sinks.load_vocab(spark, path)
+    return samples.select(F.lit("samples").alias("dictionary"), F.col("sample_id").cast("string").alias("key"),
+                          arr_str("codes").alias("codes")) \
+        .unionByName(residues.select(F.lit("residues").alias("dictionary"), F.col("letter").alias("key"),
+                                     F.col("code").cast("string").alias("codes"))) \
+        .unionByName(vocab.select(F.lit("vocab").alias("dictionary"), F.col("term").alias("key"),
+                                  F.col("code").cast("string").alias("codes")))
 
 
 def q_text_roundtrip(spark, sf):
@@ -450,6 +582,7 @@ QUERIES: dict[str, Query] = {
     "unmatched_terms": q_unmatched_terms,
     "encode_rejects": q_encode_rejects,
     "slice_features": q_slice_features,
+    "slice_float32": q_slice_float32,
     "clean_lines": q_clean_lines,
     "split_pos": q_split_pos,
     "split_neg": q_split_neg,
@@ -460,11 +593,16 @@ QUERIES: dict[str, Query] = {
     "downsample_negatives": q_downsample_negatives,
     "balanced_batches": q_balanced_batches,
     "sequential_batches": q_sequential_batches,
+    "epoch_order": q_epoch_order,
+    "epoch_batches": q_epoch_batches,
+    "downsample_exact": q_downsample_exact,
+    "sample_bernoulli_check": q_sample_bernoulli_check,
     # metrics (A2-A5)
     "log_loss": q_log_loss,
     "roc_auc": q_roc_auc,
     "pr_auc": q_pr_auc,
     "eval_by_sample": q_eval_by_sample,
+    "binned_areas": q_binned_areas,
     # scoring (M1-M8)
     "activations": q_activations,
     "linear": q_linear,
@@ -475,6 +613,11 @@ QUERIES: dict[str, Query] = {
     "eval_model": q_eval_model,
     "eval_held_out": q_eval_held_out,
     "gradient_sums": q_gradient_sums,
+    "gradients_base": _q_gradients("base"),
+    "gradients_abundance": _q_gradients("abundance"),
+    "gradients_flank": _q_gradients("flank"),
+    "fit_losses": q_fit_losses,
+    "dropout_mask": q_dropout_mask,
     "fit_scorer": q_fit_scorer,
     # sources and sinks
     "read_vocab": q_read_vocab,
@@ -483,7 +626,9 @@ QUERIES: dict[str, Query] = {
     "read_labelled3": q_read_labelled3,
     "path_columns": q_path_columns,
     "manifest": q_manifest,
+    "file_listing": q_file_listing,
     "manifest_missing": q_manifest_missing,
+    "manifest_files": q_manifest_files,
     "class_sets": q_class_sets,
     "sample_set": q_sample_set,
     "examples_roundtrip": q_examples_roundtrip,

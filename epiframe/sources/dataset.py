@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.plans.joins import sized_broadcast
@@ -22,35 +23,97 @@ def dataset_manifest(samples: DataFrame, id_col: str = "sample_id", split_col: s
     return out.withColumn("file", F.concat_ws("_", F.col(id_col).cast("string"), F.col("cls")))
 
 
+def file_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, bytes, modified) of every file under ``root``, empty files included.
+
+    No file is opened: sizes come from a distributed metadata scan (the content column of
+    Spark's binary reader is not selected). That scan plans no task for an empty file, so
+    names come from the reader's file index, which Spark lists in parallel and holds on
+    the driver for any read; the listing is bounded by the number of files, not by their
+    size."""
+    read = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+            .load(root))
+    names = [(unquote(p),) for p in read.inputFiles()]
+    sizes = read.select("path", F.col("length").alias("_n"), F.col("modificationTime").alias("modified"))
+    listed = spark.createDataFrame(names, "path string").hint("rebalance")
+    # one leading slash or several after the scheme name the same file
+    def plain(c: str) -> Column:
+        return F.regexp_replace(F.col(c), "^([a-z0-9]+:)/+", "$1/")
+    return listed.withColumn("_p", plain("path")).join(sizes.select(plain("path").alias("_p"), "_n", "modified"), "_p", "left") \
+        .select("path", F.coalesce("_n", F.lit(0)).cast("long").alias("bytes"), "modified")
+
+
+def listed_files(listing: DataFrame, extension: str = "txt") -> DataFrame:
+    """(split, file, cls, parts, bytes) of the dataset's files in a listing: one row a
+    ``<sample>_<class>`` file or directory of part files, named in the path as
+    ``split=<split>/file=<file>.<ext>`` or ``<split>/<file>.<ext>``. Hidden and marker
+    files are left out."""
+    name = rf"(?:^|/)(?:split=)?([^/=]+)/(?:file=)?([^/=]+)\.{extension}(?:/[^/]*)?$"
+    path = F.col("path")
+    found = listing.where(~F.element_at(F.split("path", "/"), -1).rlike(r"^[._]")).select(
+        F.regexp_extract(path, name, 1).alias("split"),
+        F.regexp_extract(path, name, 2).alias("file"), "bytes").where("file <> ''")
+    return found.groupBy("split", "file").agg(F.count(F.lit(1)).alias("parts"), F.sum("bytes").alias("bytes")) \
+        .withColumn("cls", F.regexp_extract("file", "_([^_]+)$", 1))
+
+
+def reconcile(manifest: DataFrame, found: DataFrame, keys: Sequence[str] = ("split", "file"),
+              cls: str = "cls") -> DataFrame:
+    """Every expected or found file with ``status`` ``present``, ``missing`` (expected, not
+    found), ``surplus`` (found, not expected) or ``empty`` (found and expected, 0 bytes).
+
+    One full outer join on the keys, of which NULL is a value like any other; a file
+    listed twice counts once. ``found`` may lack ``cls`` (taken from the file name's
+    last part) and ``bytes`` (no file is then empty)."""
+    keys = list(keys)
+    kind = F.first(cls).alias("_fc") if cls in found.columns else F.lit(None).cast("string").alias("_fc")
+    size = F.sum("bytes").alias("_fb") if "bytes" in found.columns else F.lit(1).cast("bigint").alias("_fb")
+    have = found.groupBy(*[F.col(k).alias(f"_f_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_fn"), kind, size)
+    want = manifest.groupBy(*keys).agg(F.first(cls).alias("_mc"), F.lit(True).alias("_m"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+    both = want.join(have, same, "full_outer")
+    expected, present = F.coalesce("_m", F.lit(False)), F.col("_fn").isNotNull()
+    return both.select(
+        *[F.when(expected, F.col(k)).otherwise(F.col(f"_f_{k}")).alias(k) for k in keys],
+        F.coalesce("_mc", "_fc", F.regexp_extract(F.col(f"_f_{keys[-1]}"), "_([^_]+)$", 1)).alias(cls),
+        F.when(~present, "missing").when(~expected, "surplus").when(F.col("_fb") == 0, "empty")
+        .otherwise("present").alias("status"))
+
+
 def check_complete(manifest: DataFrame, present: DataFrame,
                    keys: Sequence[str] = ("split", "file")) -> DataFrame:
-    """Per (split, class): expected, present and missing file counts.
+    """Per (split, class): expected, present, missing, surplus and empty file counts, and
+    ``exact``: every expected file is there with content, and no other one is.
 
-    ``present`` lists the files found (one row per file name). Missing files are
-    the expected rows without a match (a left-anti join).
-    """
-    keys = list(keys)
-    pres = present.select(*keys).distinct()
-    missing = manifest.join(pres, keys, "left_anti")
-    exp = manifest.groupBy("split", "cls").agg(F.count(F.lit(1)).alias("expected"))
-    miss = missing.groupBy("split", "cls").agg(F.count(F.lit(1)).alias("missing"))
-    return (exp.join(miss, ["split", "cls"], "left")
-            .select("split", "cls", "expected",
-                    (F.col("expected") - F.coalesce("missing", F.lit(0))).alias("present"),
-                    F.coalesce("missing", F.lit(0)).alias("missing")))
+    ``present`` lists the files found. A class with surplus files only has a row too."""
+    files = reconcile(manifest, present, keys)
+
+    def n(*status: str) -> Column:
+        return F.count(F.when(F.col("status").isin(*status), 1))
+    return files.groupBy(keys[0], "cls").agg(
+        n("present", "missing", "empty").alias("expected"), n("present", "empty").alias("present"),
+        n("missing").alias("missing"), n("surplus").alias("surplus"), n("empty").alias("empty"),
+        (n("present") == F.count(F.lit(1))).alias("exact"))
 
 
 def missing_files(manifest: DataFrame, present: DataFrame,
                   keys: Sequence[str] = ("split", "file")) -> DataFrame:
-    return manifest.join(present.select(*keys).distinct(), list(keys), "left_anti")
+    return reconcile(manifest, present, keys).where("status = 'missing'").select(*keys, "cls")
+
+
+def surplus_files(manifest: DataFrame, present: DataFrame,
+                  keys: Sequence[str] = ("split", "file")) -> DataFrame:
+    return reconcile(manifest, present, keys).where("status = 'surplus'").select(*keys, "cls")
 
 
 def assert_complete(report: DataFrame) -> None:
-    """Fail like the reference's assertions when any expected file is missing
-    (one row per split and class reaches the driver)."""
-    bad = [r for r in report.collect() if r["missing"]]
+    """Fail like the reference's assertions unless every class of every split holds
+    exactly its expected files (one row per split and class reaches the driver)."""
+    bad = [r for r in report.collect() if not r["exact"]]
     if bad:
-        raise AssertionError(f"incomplete dataset: {bad}")
+        raise AssertionError(f"dataset is not as expected: {bad}")
 
 
 def present_partitions(spark: SparkSession, root: str,

@@ -69,6 +69,11 @@ def load_dictionaries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return spark.read.parquet(f"{path}/residues"), spark.read.parquet(f"{path}/samples")
 
 
+def load_vocab(spark: SparkSession, path: str) -> DataFrame:
+    """The allele vocabulary (term, code) as saved by :func:`save_dictionaries`."""
+    return spark.read.parquet(f"{path}/vocab")
+
+
 def residue_codes_from(residues: DataFrame) -> dict[str, int]:
     """The residue table as a dict for :func:`epiframe.functions.encode_letters`
     (one row per letter)."""
