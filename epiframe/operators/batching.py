@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from epiframe.operators.sampling import key_hash60
 from epiframe.plans.joins import sized_broadcast
 from epiframe.plans.ordering import default_buckets, ordered_index, range_buckets, running_totals
-from epiframe.session import checkpoint_root
+from epiframe.session import stored
 
 # A row of a small class that fills more slots than this is first copied into chunks,
 # which are dealt to many tasks, and then into slots.
@@ -58,10 +58,9 @@ def balanced_batches(df: DataFrame, label: str, keys: Sequence[str], n_per_class
     for inputs that are expensive to derive (numbering reads them twice).
     """
     spark = df.sparkSession
-    checkpoint_root(spark)
     if checkpoint_input:
-        df = df.checkpoint(eager=True)
-    numbered = hash_order_index(df, label, keys, seed).checkpoint(eager=True)
+        df = stored(df, "batch-input")
+    numbered = stored(hash_order_index(df, label, keys, seed), "numbered")
     counts = numbered.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
     largest = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
     total = -(-largest // n_per_class) * n_per_class
@@ -97,8 +96,7 @@ def sequential_batches(df: DataFrame, batch_rows: int, order: Sequence[str],
     if split_col != order[0]:
         raise ValueError(f"split_col {split_col!r} is not the first order column {order[0]!r}")
     if checkpoint_input:
-        checkpoint_root(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = stored(df, "batch-input")
     key = [*lead, *order]
     staged = range_buckets(df, key, n_buckets)
     out = running_totals(staged, list(by), "_bkt", [F.col(c) for c in key], {"rn": F.lit(1).cast("bigint")})

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from epiframe.functions.random import permutation_key, permuted
 from epiframe.operators.batching import hash_order_index
 from epiframe.plans.joins import sized_broadcast
-from epiframe.session import checkpoint_root
+from epiframe.session import stored
 
 EPOCHS_PER_CHUNK = 1_000
 
@@ -24,8 +24,7 @@ EPOCHS_PER_CHUNK = 1_000
 def numbered_classes(df: DataFrame, label: str, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """``df`` with ``rn`` (from 1) and ``class_rows``, written once to the checkpoint
     folder; NULL is a class like any other."""
-    checkpoint_root(df.sparkSession)
-    numbered = hash_order_index(df, label, keys, seed).checkpoint(eager=True)
+    numbered = stored(hash_order_index(df, label, keys, seed), "numbered")
     counts = numbered.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("class_rows"))
     return numbered.join(sized_broadcast(counts), F.col(label).eqNullSafe(F.col("_cls"))).drop("_cls")
 

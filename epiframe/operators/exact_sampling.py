@@ -15,19 +15,13 @@ from pyspark.sql import functions as F
 
 from epiframe.operators.sampling import key_hash60
 from epiframe.plans.joins import sized_broadcast
-from epiframe.session import scratch_path
+from epiframe.session import stored
 
 BITS = 12
 LIMIT = 10_000
 HASH_BITS, ID_BITS = 60, 63
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _cut(rows: DataFrame, bins: DataFrame, group: list[str]) -> DataFrame:
     """Per group: the bin in which the running count passes ``k`` (``at``), and how many
     rows are still wanted in it (``rest``). At most 2^BITS rows a group are ordered."""
@@ -55,7 +49,7 @@ def downsample_exact(df: DataFrame, label: str, keys: Sequence[str], fraction: t
     # NULL groups compare as text '~', others as '=' + text
     as_key = [F.coalesce(F.concat(F.lit("="), g.cast("string")), F.lit("~")).alias(n) for g, n in zip(groups, names)]
     hashed = key_hash60([F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], seed)
-    slim = _written(df.where(wanted).select(
+    slim = stored(df.where(wanted).select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *as_key, hashed.alias("h"),
         F.monotonically_increasing_id().alias("id")), "exact-rows")
     sizes = slim.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
@@ -70,14 +64,14 @@ def downsample_exact(df: DataFrame, label: str, keys: Sequence[str], fraction: t
             at = max(0, at - BITS)
             staged = left.withColumn("bin", F.shiftright(F.col(col), at))
             bins = staged.groupBy(*names, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"))
-            cut = _written(_cut(left, bins, names), "exact-cut")
+            cut = stored(_cut(left, bins, names), "exact-cut")
             joined = staged.join(sized_broadcast(cut), names)
             taken.append(joined.where("bin < at").select("row"))
             left = joined.where("bin = at").select("row", *names, "h", "id", F.col("rest").alias("k"))
             most = cut.agg(F.max("held").alias("m")).first()["m"] or 0
             if most <= LIMIT:
                 break
-            left = _written(left, "exact-left")
+            left = stored(left, "exact-left")
         if most <= LIMIT:
             break
     order = Window.partitionBy(*names).orderBy("h", "id")  # at most LIMIT rows a group

@@ -55,10 +55,9 @@ def auc_summary(df: DataFrame, label: str = "label", score: str = "score",
         # Cut lineage: the score quantiles and the running sums both read the
         # aggregate, which is written once to the shared checkpoint folder
         # instead of re-scoring the input twice.
-        from epiframe.session import checkpoint_root
+        from epiframe.session import stored
 
-        checkpoint_root(df.sparkSession)
-        agg = agg.checkpoint(eager=True)
+        agg = stored(agg, "score-counts")
     cum = cumulative_by_score(agg, "score", ["pos", "neg"], by=by, descending=True)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     cpos, cneg = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")

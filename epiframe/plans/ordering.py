@@ -38,11 +38,10 @@ def range_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = N
     leading column is still spread over many ranges. NULL sorts first, as in an
     ascending ORDER BY.
     """
-    from epiframe.session import checkpoint_root
+    from epiframe.session import stored
 
-    checkpoint_root(df.sparkSession)
     n = n_buckets or default_buckets(df)
-    return df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()).checkpoint(eager=True)
+    return stored(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()), "ranges")
 
 
 def hash_bucket(h: Column, n_buckets: int) -> Column:

@@ -21,7 +21,7 @@ from epiframe.operators import batching, curves, epochs, exact_sampling, metrics
 from epiframe.operators.examples import encode_examples, encode_examples_checked
 from epiframe.operators.lookup import (attach_sample_codes, encode_slots, unmatched_terms,
                                        unpivot_slots)
-from epiframe.session import scratch_path
+from epiframe.session import scratch_path, stored
 from epiframe.sources import dataset, sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,10 @@ def r6(c: Column | str) -> Column:
 
 
 def _codes(spark, sf):
-    return encode_slots(S.slots_wide(spark, sf), S.voc_table(spark, sf), allow_empty=True)
+    # derived dimensions are written once: measuring them for a broadcast and joining
+    # them read the result, not the derivation
+    voc = stored(S.voc_table(spark, sf), "vocabulary")
+    return stored(encode_slots(S.slots_wide(spark, sf), voc, allow_empty=True), "sample-codes")
 
 
 def _split_col() -> Column:

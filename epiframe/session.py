@@ -66,6 +66,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/epiframe/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df, name: str):
+    """``df`` written once as Parquet below the shared checkpoint folder and read back.
+
+    Cuts lineage in storage that every executor can reach; later passes read only the
+    columns they need, which a checkpoint of whole serialised rows does not allow.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for Python-side file access in tests."""
     if path.startswith("file:"):

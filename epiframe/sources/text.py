@@ -98,7 +98,7 @@ def read_labelled(spark: SparkSession, path: str, fields: int = 2, strict: bool
     """
     lines = numbered_lines(spark, path) if line_no else scan_lines(spark, path)
     if with_paths:
-        lines = with_path_columns(lines, "file" if line_no else None)
+        lines = join_path_columns(lines, file_paths(spark, path), "file" if line_no else None)
     return parse_fields(clean_lines(lines), fields, strict=strict)
 
 
@@ -134,6 +134,21 @@ def with_path_columns(df: DataFrame, path_col: str | None = None) -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in path_columns(path).items()])
 
 
+def file_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of every non-empty file under ``path``: a metadata scan, no file is opened."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            .select(F.col("_metadata.file_path").alias("file")))
+
+
+def join_path_columns(df: DataFrame, files: DataFrame, path_col: str | None = None) -> DataFrame:
+    """:func:`with_path_columns` with the parsing done once a file: the parsed paths are
+    joined to the lines, broadcast when measured small."""
+    parsed = files.select(F.col("file").alias("_path"), *[c.alias(n) for n, c in path_columns(F.col("file")).items()])
+    at = F.col(path_col) if path_col else F.col("_metadata.file_path")
+    named = df.select("*", at.alias("_at"))
+    return named.join(sized_broadcast(parsed), F.col("_at") == F.col("_path"), "left").drop("_at", "_path")
+
+
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     """Headerless term list -> (term, code), code = 1-based line number.
 
