@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from epiframe.llm.common import materialise, scratch_scope, table  # noqa: E402
-from epiframe.llm.lines import cut_lines  # noqa: E402
+from epiframe.llm.lines import cut_lines, row_key  # noqa: E402
 from epiframe.llm.mixing import mix_documents, n_tokens  # noqa: E402
 from epiframe.llm.neardup import near_duplicates  # noqa: E402
 from epiframe.llm.pieces import encode_pieces  # noqa: E402
@@ -27,23 +27,20 @@ from epiframe.llm.quality import base_failed, learn_decision_list, with_features
 MIX_FRACTION = (4, 5)  # share of the remaining tokens that is kept
 
 
-def _packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and the whole row as one struct, so no helper column of an
-    operator can clash with a column of the input."""
-    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or a learned rule go (operator 7)."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_lid"), F.col("quality").alias("_q")) \
         .where("_q is not null")
-    # the statistics are written once, with the rows: learning and judging both read them
-    # (a row without an id, or that shares one, could not be joined to its verdict again)
-    stats = materialise(with_statistics(_packed(docs, "doc_id", "text"), carry=("_row",)), "pipeline-statistics")
-    slim = with_features(stats.drop("_row"))
-    labelled = slim.join(labels, slim["doc_id"] == F.col("_lid")).where(~base_failed())
+    # the statistics are written once, without the rows: learning and judging both read
+    # them. A verdict depends on the text alone, so it meets its rows by (id, text digest),
+    # also where ids are shared or lacking.
+    keyed = docs.select("doc_id", "text", *row_key("doc_id", "text"))
+    stats = with_features(materialise(with_statistics(keyed, carry=("d", "t")), "pipeline-statistics"))
+    labelled = stats.join(labels, stats["doc_id"] == F.col("_lid")).where(~base_failed())
     rules = learn_decision_list(labelled, F.col("_q") == 0)
-    return with_features(stats).where(~base_failed() & rules.keep()).select("_row.*")
+    kept = stats.where(~base_failed() & rules.keep()).select("d", "t")
+    rows = docs.select(*row_key("doc_id", "text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(kept, ["d", "t"], "left_semi").select("_row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
