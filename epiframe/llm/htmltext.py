@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,9 +46,14 @@ NAMES = re.compile(
     r"|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|comments?|discussion"
     r"|replies|reply|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|toolbar"
     r"|pagination|pager|skip|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
+# Possessive runs: an attempt that fails costs one scan. Names end at "<" and quotes too.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>\"'<]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+)|<", re.S)
+_TAG_NAME = re.compile(r"</?[a-zA-Z][^\s/>\"'<]*+")
+_CLOSERS = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
+_LONG_NUMBER = re.compile(r"&#([0-9]{9,})")
 
 KEPT, PLAIN, FURNITURE = "article", "plain", "furniture"
 
@@ -69,38 +76,81 @@ def _declared(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class _Unclosed:
+    """Tells whether the tag that starts at a position ever closes (a ``>`` outside
+    quotes follows). Quotes and ``>`` from which no scan closes are remembered, so all
+    questions about one page cost one pass over it, however many tags stay open."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.dead = page, [m.start() for m in _CLOSERS.finditer(page)], set()
+        # for each quote or ">", the index after the quote that closes it (0: none follows)
+        last: dict[str, int] = {}
+        self.after = [0] * len(self.at)
+        for i in range(len(self.at) - 1, -1, -1):
+            c = page[self.at[i]]
+            self.after[i] = last.get(c, 0)
+            last[c] = i + 1
+
+    def closes(self, start: int) -> bool:
+        m = _TAG_NAME.match(self.page, start)
+        if not m:
+            return True
+        i, seen = bisect_left(self.at, m.end()), []
+        while i < len(self.at) and i not in self.dead:
+            if self.page[self.at[i]] == ">":
+                return True
+            seen.append(i)
+            i = self.after[i]
+            if not i:
+                break
+        self.dead.update(seen)
+        return False
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded. Numbers beyond Unicode stand for U+FFFD; those of
+    thousands of digits are cut to that before they are read as numbers."""
+    return html_lib.unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0") or "0")[:9], text))
+
+
 def text_lines(page: str | None) -> list[tuple[str, str]]:
     """(text, kind) of the blocks of a page in order: character references decoded,
     white space as single spaces, trimmed, blank blocks left out. ``kind`` is
-    ``article``, ``plain`` or ``furniture``."""
+    ``article``, ``plain`` or ``furniture``. A ``<`` whose tag never closes is text. Time
+    grows with the length of the page, whatever it holds."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
     # open elements: tag, furniture, article, text of the block that an inline piece of
     # furniture interrupts
     stack: list[tuple[str, bool, bool, list[str] | None]] = []
+    opened: Counter = Counter()  # open elements by tag
     bad = good = 0
 
     def flush():
         if parts:
-            line = _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
+            line = _SPACE.sub(" ", _decoded("".join(parts))).strip()
             parts.clear()
             if line:
                 out.append((line, FURNITURE if bad else KEPT if good else PLAIN))
 
     def close(to: int):
-        nonlocal bad, good
+        nonlocal bad, good, parts
         while len(stack) > to:
             tag, b, g, held = stack[-1]
             if held is not None or tag in BLOCKS:
                 flush()
             stack.pop()
+            opened[tag] -= 1
             bad -= b
             good -= g
-            parts.extend(held or ())
+            if held is not None:  # flushed above, so nothing is lost
+                parts = held
 
     raw = ""
     page = page or ""
     at, end = 0, len(page)
+    last = page.rfind(">")
+    unclosed: _Unclosed | None = None
     while at < end:
         if raw:
             m = re.compile(rf"</{raw}\s*>", re.I).search(page, at)
@@ -108,6 +158,11 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
             raw = ""
             if at >= end:
                 break
+        if page[at] == "<" and not page.startswith("<!--", at) and (
+                at > last or unclosed is not None and not unclosed.closes(at)):
+            parts.append("<")
+            at += 1
+            continue
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
@@ -117,6 +172,8 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
         if tag is None:
             if m[0] == "<":
                 parts.append("<")
+                if unclosed is None and _TAG_NAME.match(page, at - 1):
+                    unclosed = _Unclosed(page)
             continue
         tag = tag.lower()
         if tag == "br":
@@ -124,13 +181,13 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
             continue
         block = tag in BLOCKS
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if block:
-                    flush()
+            if opened[tag]:
+                to = len(stack) - 1
+                while stack[to][0] != tag:
+                    to -= 1
+                close(to)
+            elif block:
+                flush()
             continue
         if block:
             flush()
@@ -142,9 +199,10 @@ def text_lines(page: str | None) -> list[tuple[str, str]]:
         # inline elements matter only when they are furniture
         if block or b:
             g = tag in ARTICLE
-            stack.append((tag, b, g, None if block else parts[:]))
+            stack.append((tag, b, g, None if block else parts))
+            opened[tag] += 1
             if not block:
-                parts.clear()
+                parts = []
             bad += b
             good += g
         if tag in RAW:
@@ -255,7 +313,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
     NULL or empty html gives an empty text. A NULL url is a host of its own without a
     path. Repeated rows are separate pages (and copies of each other, so neither
     deletes the other's text). A page without a neighbour is only cleaned by markup.
-    Other columns are ignored.
+    Very long and malformed pages take time in proportion to their length. Other columns
+    are ignored, whatever their names.
     """
     spark = pages.sparkSession
     prepare_python(spark)
