@@ -4,7 +4,7 @@ The network reads the bytes of a word (a space on either side), one GRU in each
 direction, and labels every byte position with language probabilities. A
 document's probabilities are the mean over the positions of all its words that
 hold a letter. Training is backpropagation through time in numpy on the driver,
-on a bounded sample of labelled documents; prediction covers whole texts, and
+on a bounded sample of words of labelled documents; prediction covers whole texts, and
 equal words are run through the network once per worker.
 """
 
@@ -21,7 +21,7 @@ from epiframe.llm.common import prepare_python, table
 HIDDEN = 16
 PIECE = 30                   # bytes of a network sequence; longer words are cut
 SAMPLE_DOCS = 150            # labelled documents per language used to train
-SAMPLE_CHARS = 20_000        # only texts up to this length are sampled for training
+DOC_WORDS = 400              # words drawn from a sampled document, from all over its text
 SAMPLE_WORDS = 8_000         # words per language drawn from the sample
 STEPS, BATCH, RATE, SEED = 700, 256, 0.01, 5
 MAX_WORDS = 300_000          # words remembered per worker
@@ -157,8 +157,16 @@ class BiGru:
 
 
 def pieces_of(word: str) -> list[bytes]:
+    """The word's bytes in pieces of at most PIECE bytes, cut between characters."""
     b = word.encode("utf-8", "surrogatepass")
-    return [b[i:i + PIECE] for i in range(0, len(b), PIECE)]
+    out, at = [], 0
+    while at < len(b):
+        end = min(at + PIECE, len(b))
+        while end < len(b) and b[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(b[at:end])
+        at = end
+    return out
 
 
 def train(samples: dict[str, list[str]], steps: int = STEPS, seed: int = SEED) -> BiGru | None:
@@ -194,17 +202,22 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """At most ``docs_per_language`` texts of each language, chosen by a hash of the id,
-    never from the held-out fold."""
+def training_sample(docs: DataFrame, docs_per_language: int = SAMPLE_DOCS,
+                    words: int = DOC_WORDS) -> dict[str, list[str]]:
+    """Words of at most ``docs_per_language`` texts of each language, chosen by a hash of
+    the id, never from the held-out fold; one string per text. Texts of every length take
+    part: each gives at most ``words`` words, drawn by hash from all over it (runs of over
+    PIECE characters are drawn in pieces), so what reaches the driver is bounded."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-                      & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-                      & (F.char_length("text") <= SAMPLE_CHARS))
+                      & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     keys = rows.select("lang", "doc_id", F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
     pick = keys.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))) \
         .where(F.col("rn") <= docs_per_language).select(F.col("doc_id").alias("_i"))
+    runs = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]{1,%d}" % PIECE), F.lit(0))
+    drawn = F.slice(F.array_sort(F.transform(runs, lambda w, i: F.struct(F.xxhash64(F.lit(SEED), i, w), w.alias("w")))), 1, words)
     got = rows.join(F.broadcast(pick.distinct()), F.col("doc_id") == F.col("_i")) \
-        .select("lang", "doc_id", "text").orderBy("lang", "doc_id", "text").collect()
+        .select("lang", "doc_id", F.array_join(F.transform(drawn, lambda d: d["w"]), " ").alias("text")) \
+        .orderBy("lang", "doc_id", "text").collect()
     out: dict[str, list[str]] = {}
     for r in got:
         out.setdefault(r["lang"], []).append(r["text"])

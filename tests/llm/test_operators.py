@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -64,8 +65,61 @@ def test_langid_held_out_accuracy_and_edge_rows(spark):
     assert langid.identify(odd, None).where("lang_pred = 'und'").count() == 4
 
 
+def test_langid_learns_from_long_texts_and_cuts_between_characters(spark):
+    rng = random.Random(8)
+    words = {"aa": ["kala", "meri", "talo", "vesi"], "bb": ["\u0434\u043e\u043c", "\u0440\u0435\u043a\u0430", "\u043b\u0435\u0441"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30_000 if k == "bb" else 40)), k)
+            for i, k in enumerate(["aa", "bb"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns(
+        {"lang_pred": F.lit("clash"), "score": F.lit(7)})
+    sample = langid.training_sample(docs)
+    assert set(sample) == {"aa", "bb"} and all(len(t.split()) <= langid.DOC_WORDS for ts in sample.values() for t in ts)
+    net = langid.train(sample, steps=80)
+    got = langid.identify(docs, net)
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {i: k for i, _, k in rows}
+    for w in ("\u0434" * 40, "a" + "\u4e2d" * 33, "x" * 61, "\U0001f600" * 9 + "b"):
+        parts = langid.pieces_of(w)
+        assert "".join(p.decode() for p in parts) == w and all(0 < len(p) <= langid.PIECE for p in parts)
+
+
+def test_langid_pooled_words_equal_a_direct_run():
+    import numpy as np
+    net = langid.train({"a": ["one two three four"], "b": ["uno dos tres \u00e1rbol"]}, steps=5)
+    texts = ["one tres \u00e1rbol one 12", "", None, "12 !", "two " * 50 + "z" * 70]
+    pred, score = langid._predict(net, texts)
+    again = langid._predict(net, texts[::-1])  # words remembered, other order
+    assert pred == again[0][::-1] and np.allclose(score, again[1][::-1])
+    for t, k, s in zip(texts, pred, score):
+        cut = [p for w in (t or "").split() if any(c.isalpha() for c in w) for p in langid.pieces_of(w)]
+        if not cut:
+            assert (k, s) == ("und", 0.0)
+            continue
+        p = sum(net.position_sums([c])[0].astype(float) for c in cut) / sum(map(len, cut))
+        assert k == net.langs[int(p.argmax())] and abs(s - p.max()) < 1e-5
+
+
 # --- 2 -------------------------------------------------------------------------
 
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a '\"", "<!", "</p ", "<b<", "<div>", "<div></b>", "x<span class=ad></span>",
+                                  "<!--", "<p>", "&#1", "<a b='", "<script>", "</script ", '<i class="ad">'])
+def test_html_time_grows_with_length(unit):
+    page = unit * (300_000 // len(unit))
+    for tail in ("", ">", "\">x", "'>y"):
+        t0 = time.perf_counter()
+        htmltext.text_lines(page + tail)
+        assert time.perf_counter() - t0 < 5
+
+
+def test_html_unclosed_tags_are_text():
+    lines = lambda page: [t for t, _ in htmltext.text_lines(page)]
+    assert lines("a <b c") == ["a <b c"]
+    assert lines("<p>1 <2 and <x 'y <p>z</p>") == ["1 <2 and <x 'y", "z"]
+    assert lines('<p>q <a "b</p><p title="c>d">e</p>') == ['q d">e']  # quotes pair up as they come
+    assert lines("<p>a <!-- b > c") == ["a"]
+    assert lines("<p>" + "&#" + "1" * 6000 + ";b &#0000000000065;</p>") == ["\ufffdb A"]
+
+
 def test_html_blocks_and_declared_furniture():
     page = ('<div>a &lt;b&gt; <b>c</b>d<p class="cookie-notice">x</p>y</div><header>H</header><main><header>T</header>'
             '<p>q<span class="ad">zz</span> r</main><aside>s</aside><form><input>u</form><ul class="comments"><li>w</ul>'
