@@ -123,6 +123,19 @@ def _eval_model_sql(where: str = "") -> str:
     return head + ",\n" + scored + ",\n" + _metrics_sql("scored_m", "sample_id").strip()
 
 
+def _figures_sql() -> str:
+    head, _, _ = _model_score_sql("base").partition("\nselect ex.doc_id")
+    values = {"n_rows": "count(*)", "n_pos": "sum(label)", "n_neg": "sum(1 - label)",
+              "log_loss": "avg(greatest(score, 0) - score * label + ln(1 + exp(-abs(score))))",
+              "least_score": "min(score)", "largest_score": "max(score)", "n_bad": "sum(0)"}
+    rows = " union all ".join(f"select '{k}' figure, round(cast({v} as double), 6) observed, "
+                              f"round(cast({v} as double), 6) recounted from scored_m" for k, v in values.items())
+    return head + """,
+scored_m as materialized (select ex.label, coalesce(sc.score, 0) score from ex left join sc
+    on ex.doc_id = sc.doc_id and ex.pos = sc.pos)
+select * from (""" + rows + ")"
+
+
 def _gradient_sql() -> str:
     base = _model_score_sql("base")
     head, _, _ = base.partition("\nselect ex.doc_id")
@@ -423,6 +436,8 @@ from slots join r on slots.l_returnflag = r.l_returnflag and r.rn = slots.s % sl
     "masked_score_flank": _model_score_sql("flank"),
     "eval_model": _eval_model_sql(),
     "eval_held_out": _eval_model_sql(f"where ex.sample_id < {N_TEST_SAMPLES}"),
+    "scored_written": _model_score_sql("base"),
+    "scored_figures": _figures_sql(),
     "gradient_sums": _gradient_sql(),
     "gradients_base": _gradients_sql("base"),
     "gradients_abundance": _gradients_sql("abundance"),

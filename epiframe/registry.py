@@ -17,7 +17,7 @@ from epiframe.functions.activations import relu, sigmoid
 from epiframe.functions.linear import affine
 from epiframe.functions.encode import (encode_letters, multi_hot, one_hot, pad_middle,
                                        peptide_vector, slice_features)
-from epiframe.operators import batching, curves, epochs, exact_sampling, metrics, sampling, scoring, split
+from epiframe.operators import batching, curves, epochs, exact_sampling, metrics, observed, sampling, scoring, split
 from epiframe.operators.examples import encode_examples, encode_examples_checked
 from epiframe.operators.lookup import (attach_sample_codes, encode_slots, unmatched_terms,
                                        unpivot_slots)
@@ -294,6 +294,26 @@ def q_eval_model(spark, sf):
                       r6("pr_auc").alias("pr_auc"), r6("log_loss").alias("log_loss"))
 
 
+def _written_scores(spark, sf):
+    cfg = scoring.ScorerConfig("base")
+    return observed.write_scored(_examples(spark, sf), scoring.rule_weights(cfg), scratch_path(spark, "scored"), cfg)
+
+
+def q_scored_written(spark, sf):
+    """The table of scores as written, whose figures ``scored_figures`` shows."""
+    return _written_scores(spark, sf)[0].select("doc_id", "pos", "sample_id", "label", r6("score").alias("score"))
+
+
+def q_scored_figures(spark, sf):
+    """Figures observed while the scores were written, beside those of the table read back."""
+    table, seen = _written_scores(spark, sf)
+    rows = [(k, None if v is None else float(v)) for k, v in seen.items()]
+    recounted = table.agg(*observed.figures()).select(F.explode(F.create_map(*[
+        c for k in observed.FIGURES for c in (F.lit(k), F.col(k).cast("double"))])).alias("figure", "v"))
+    return recounted.join(F.broadcast(spark.createDataFrame(rows, "figure string, seen double")), "figure") \
+        .select("figure", r6("seen").alias("observed"), r6("v").alias("recounted"))
+
+
 def q_eval_held_out(spark, sf):
     """The held-out samples read back from the written examples (directory
     pruning), scored and evaluated per sample, as the reference's listeners do."""
@@ -615,6 +635,8 @@ QUERIES: dict[str, Query] = {
     "masked_score_flank": q_masked_score_flank,
     "eval_model": q_eval_model,
     "eval_held_out": q_eval_held_out,
+    "scored_written": q_scored_written,
+    "scored_figures": q_scored_figures,
     "gradient_sums": q_gradient_sums,
     "gradients_base": _q_gradients("base"),
     "gradients_abundance": _q_gradients("abundance"),
