@@ -493,6 +493,14 @@ from slots join r on slots.l_returnflag = r.l_returnflag and r.rn = slots.s % sl
 _ctes, _sel = _metrics_sql("scored", None).strip().split("\nselect ", 1)
 ORACLE["roc_auc"] = _with(("scored",), _ctes, "m as (select " + _sel + ")", "select roc_auc from m")
 ORACLE["linear_arrow"] = ORACLE["linear"]
+ORACLE["bucketed_codes"] = ORACLE["attach_codes"]
+ORACLE["bucketed_batches"] = ORACLE["sequential_batches"]
+ORACLE["vocab_versions"] = """
+with found as (select p_brand term, 1 step from part union all select p_type, 2 from part union all select p_name, 3 from part),
+     firsts as (select term, min(step) step from found where trim(term) <> '' group by term),
+     coded as (select term, step, cast(row_number() over (order by step, term) as integer) code from firsts)
+select cast(v.version as integer) as version, term, code
+from coded, (select unnest([1, 2, 3]) as version) v where coded.step <= v.version"""
 ORACLE["pr_auc"] = _with(("scored",), _ctes, "m as (select " + _sel + ")", "select pr_auc from m")
 _ctes_s, _sel_s = _metrics_sql("scored", "sample_id").strip().split("\nselect ", 1)
 ORACLE["eval_by_sample"] = _with(("scored",), _ctes_s, "select " + _sel_s)

@@ -7,6 +7,7 @@ rounded to 6 digits so that two engines can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,18 +18,20 @@ from epiframe.functions.activations import relu, sigmoid
 from epiframe.functions.linear import affine
 from epiframe.functions.encode import (encode_letters, multi_hot, one_hot, pad_middle,
                                        peptide_vector, slice_features)
-from epiframe.operators import batching, curves, epochs, exact_sampling, metrics, observed, sampling, scoring, split
+from epiframe.operators import batching, curves, epochs, exact_sampling, metrics, observed, sampling, scoring, split, vocabulary
 from epiframe.operators.examples import encode_examples, encode_examples_checked
 from epiframe.operators.lookup import (attach_sample_codes, encode_slots, unmatched_terms,
                                        unpivot_slots)
 from epiframe.session import scratch_path, stored
-from epiframe.sources import dataset, sinks, text
+from epiframe.sources import bucketed, dataset, sinks, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 N_TEST_SAMPLES = 5          # samples 0..4 are held out, as the reference holds out five
 BATCH_PER_CLASS = 1000
 SEQUENTIAL_ROWS = 300
+EXAMPLE_BUCKETS = 8          # buckets of the stored example tables
+VOCAB_FILES = 3             # files of the vocabulary that read_vocab numbers
 SEED = 7
 FRACTION = 0.1
 KNOWN_BELOW = "Brand#4"     # terms below this are in the dictionary of the look-up report
@@ -578,10 +581,49 @@ def q_text_roundtrip(spark, sf):
 def q_read_vocab(spark, sf):
     voc = S.voc_table(spark, sf)
     path = scratch_path(spark, "vocab")
-    sinks.write_merged(voc.select(F.col("term").alias("value"), "code"), path, order=["code"])
+    # several files: the lines are numbered across them in path order
+    sinks.write_ordered_lines(voc.select(F.col("term").alias("value"), "code"), path, ["code"], n_files=VOCAB_FILES)
     return text.read_vocab(spark, path)
 
 
+def q_vocab_versions(spark, sf):
+    """Every snapshot of a vocabulary that grows from brands over types to part names."""
+    path = scratch_path(spark, "vocab-versions")
+    part = S.table(spark, sf, "part")
+    steps = [["p_brand"], ["p_type", "p_brand"], ["p_name", "p_type"]]
+    snapshots = []
+    for version, cols in enumerate(steps, 1):
+        terms = part.select(F.explode(F.array(*cols)).alias("term"))
+        snapshots.append(vocabulary.add_version(spark, path, version, terms)
+                         .select(F.lit(version).alias("version"), "term", "code"))
+    return snapshots[0].unionByName(snapshots[1]).unionByName(snapshots[2])
+
+
+# --------------------------------------------------------- bucketed examples
+
+def _bucketed_seq(spark, sf) -> str:
+    name = "epiframe_seq_" + uuid.uuid4().hex[:12]
+    bucketed.write_bucketed(S.seq_table(spark, sf), name, scratch_path(spark, "bucketed"), "sample_id",
+                            ["label", "doc_id", "pos"], EXAMPLE_BUCKETS)
+    return name
+
+
+def q_bucketed_codes(spark, sf):
+    """J1 on tables stored in buckets: no exchange."""
+    name = _bucketed_seq(spark, sf)
+    bucketed.write_bucketed_dimension(spark, _codes(spark, sf), name, f"{name}_codes",
+                                      scratch_path(spark, "bucketed-codes"), "sample_id")
+    out = bucketed.attach_bucketed(spark, name, f"{name}_codes", "sample_id", "codes")
+    return out.select("doc_id", "pos", "sample_id", arr_str("codes").alias("codes"))
+
+
+def q_bucketed_batches(spark, sf):
+    """B5 on a table stored in buckets: no exchange."""
+    out = bucketed.number_bucketed(spark, _bucketed_seq(spark, sf), "sample_id", ["label", "doc_id", "pos"],
+                                   SEQUENTIAL_ROWS)
+    return out.select("sample_id", "doc_id", "pos", "label", "rn", "batch")
+
+
 def q_read_slots(spark, sf):
     path = scratch_path(spark, "slots")
     S.slots_wide(spark, sf).write.option("header", "true").csv(path)
@@ -659,4 +701,7 @@ QUERIES: dict[str, Query] = {
     "examples_roundtrip": q_examples_roundtrip,
     "dictionary_roundtrip": q_dictionary_roundtrip,
     "text_roundtrip": q_text_roundtrip,
+    "vocab_versions": q_vocab_versions,
+    "bucketed_codes": q_bucketed_codes,
+    "bucketed_batches": q_bucketed_batches,
 }

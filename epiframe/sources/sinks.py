@@ -26,11 +26,24 @@ def write_lines(df: DataFrame, path: str, col: str = "value",
      .partitionBy(*partition_by).text(path))
 
 
+def write_ordered_lines(df: DataFrame, path: str, order: Sequence[str], col: str = "value",
+                        n_files: int | None = None) -> None:
+    """Text files whose lines, file after file in path order, follow ``order``.
+
+    The distributed form of one sorted file: rows are cut into ranges of the whole sort
+    key, each range is sorted and written by its own task, and part files are named in
+    the order of the ranges (up to 100,000 files, the width of Spark's part numbers).
+    """
+    n = [n_files] if n_files else []
+    df.repartitionByRange(*n, *order).sortWithinPartitions(*order).select(col) \
+        .write.mode("errorifexists").text(path)
+
+
 def write_merged(df: DataFrame, path: str, col: str = "value", order: Sequence[str] = ()) -> None:
     """Export helper: one single text file (the reference's part-file merge).
 
     Everything passes through one writer task, so this is for small outputs
-    (dictionaries, reports); Spark readers take the partitioned directory as is.
+    (reports); :func:`write_ordered_lines` keeps an order over many files.
     """
     out = df.orderBy(*order) if order else df
     out.select(col).coalesce(1).write.mode("errorifexists").text(path)
