@@ -1,9 +1,9 @@
 """Operator 8: write WARC archives and read them back, salvaging damaged ones.
 
-Writing is plain DataFrame work: every record is one string, and Spark's text
-sink with a CRLF line separator supplies the end of the record's closing blank
-line, so each part file is a valid WARC/1.1 file. Compressed archives hold one gzip
-member per record, so damage to one record does not reach the next.
+Every record is one string, built by Spark; an Arrow step joins records to files of
+bounded count and bytes, and Spark's text sink writes a file a row and supplies the end
+of the last record, so each part file is a valid WARC/1.1 file. Compressed archives hold
+one gzip member per record, so damage to one record does not reach the next.
 
 Reading takes whole archive files (sized by the writer) and checks every record:
 version line, header block, Content-Length, closing blank line and payload
@@ -33,7 +33,7 @@ VERSION = "WARC/1.1"
 WARC_DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 2000
+RECORDS_PER_FILE, BYTES_PER_FILE = 2000, 16 << 20  # a file ends where it reaches either
 INFLATE = 1 << 14  # bytes inflated at once
 
 RECORD_SCHEMA = T.StructType([
@@ -116,22 +116,41 @@ def gzip_member(record: bytes) -> bytes:
     return out[:-1]
 
 
-def _members(batches):
-    import pyarrow as pa
-    for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([gzip_member(t.as_buffer().to_pybytes() + b"\r\n") for t in b.column(0)], pa.binary())], names=["value"])
+def _files(compress: bool, records: int, size: int):
+    """Arrow step from records to whole files, each at most ``records`` records and, but for
+    its last record, less than ``size`` bytes. A file lacks the end that the sink adds."""
+    def run(batches):
+        import pyarrow as pa
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([between.join(held)], pa.binary())], names=["value"])
+        between = b"\0" if compress else b"\r\n"
+        held, n_bytes = [], 0
+        for b in batches:
+            for t in b.column(0):
+                record = t.as_buffer().to_pybytes()
+                held.append(gzip_member(record + b"\r\n") if compress else record)
+                n_bytes += len(held[-1]) + len(between)
+                if len(held) >= records or n_bytes >= size:
+                    yield file()
+                    held, n_bytes = [], 0
+        if held:
+            yield file()
+    return run
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "url", html: str = "html",
-               compress: bool = True, records_per_file: int = RECORDS_PER_FILE) -> None:
+               compress: bool = True, records_per_file: int = RECORDS_PER_FILE,
+               bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Archive every page below ``path`` (a shared folder).
 
     NULL html is an empty payload, NULL or empty urls leave out the target header.
     A NULL id is written as ``<urn:page:null>`` and read back as NULL; repeated rows
-    become repeated records; an empty table writes empty archives. Files hold at most
-    ``records_per_file`` records, so a reader's memory is bounded. Compressed files are
-    gzip members, one per record, whatever the text sink's file names say.
+    become repeated records; an empty table writes no records. Other columns are
+    ignored, whatever their names. Files end with the record that reaches
+    ``records_per_file`` or ``bytes_per_file``, so a file is larger than that by less than
+    one record and a reader's memory is bounded, however long the pages are. Compressed
+    files are gzip members, one per record, whatever the text sink's file names say.
     """
     pages = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url).alias("_url"), F.col(html).alias("_html"))
     plan = plan_records(pages.select("_id", "_html"), "_id", "_html")
@@ -139,14 +158,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url: str =
     plan = plan.select(F.col("_id").alias("_pid"), F.col("payload_digest").alias("_pd"), "payload_bytes",
                        "record_type", "refers_to")
     rows = pages.join(plan, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("payload_digest") == F.col("_pd")))
-    lines, end = rows.select(record_text(F.col("_id"), F.col("_url"), F.col("_html"), F.col("payload_bytes"),
-                                         F.col("payload_digest"), F.col("record_type"), F.col("refers_to")).alias("value")), "\r\n"
-    if compress:
-        prepare_python(pages.sparkSession)
-        # the sink writes the bytes as they are; its separator is the members' last byte
-        lines, end = lines.mapInArrow(_members, "value binary").select(F.col("value").cast("string")), "\0"
-    lines.write.option("lineSep", end).option("maxRecordsPerFile", records_per_file) \
-        .option("compression", "none").text(path)
+    lines = rows.select(record_text(F.col("_id"), F.col("_url"), F.col("_html"), F.col("payload_bytes"),
+                                    F.col("payload_digest"), F.col("record_type"), F.col("refers_to")).alias("value"))
+    prepare_python(pages.sparkSession)
+    # the sink writes the bytes as they are, one file a row; its separator is the end of
+    # the last record, and of a member its last byte
+    files = lines.mapInArrow(_files(compress, records_per_file, bytes_per_file), "value binary")
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0" if compress else "\r\n") \
+        .option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 # --- reading --------------------------------------------------------------------

@@ -451,6 +451,28 @@ def test_warc_damage_to_own_compressed_archives(spark, scratch):
     assert gzip.decompress(warc.gzip_member(big) + b"\0") == big
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_archives_are_bounded_by_bytes(spark, scratch, compress):
+    rng = random.Random(5)
+    sizes = [10, 400_000, 20, 30, 250_000, 250_000, 5, 900_000, 1]
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abcdefghij", k=n)), "x", i, "y") for i, n in enumerate(sizes)]
+    # columns that the operator makes, under their own names
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, _id int, value string").coalesce(1)
+    path = scratch("warc-bytes")
+    limit = 300_000
+    warc.write_warc(pages, path, compress=compress, bytes_per_file=limit)
+    folder = local_path(path)
+    files = [os.path.getsize(os.path.join(folder, f)) for f in os.listdir(folder) if f.startswith("part")]
+    assert len(files) > 2 and max(files) < limit + 900_000 + 1000
+    back = warc.read_warc(spark, path)
+    got = {r["record_id"]: bytes(r["payload"]).decode() for r in back.collect()}
+    assert got == {f"<urn:page:{r[0]}>": r[2] for r in rows}
+    assert back.where("status <> 'ok'").count() == 0
+    nothing = scratch("warc-empty")
+    warc.write_warc(pages.limit(0), nothing, compress=compress)
+    assert warc.read_warc(spark, nothing).count() == 0
+
+
 def _plain(spark, pages, scratch):
     path = scratch("warc-plain")
     warc.write_warc(pages, path, compress=False, records_per_file=100)
