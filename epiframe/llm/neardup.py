@@ -2,9 +2,9 @@
 
 Documents are weighted sets of five-word shingles, weight = count x IDF. Document
 frequencies are counted in 2^20 hashed counters over every document of the corpus, copies
-too; a shingle whose counter is below ``rare`` documents weighs 1, more frequent ones
-less (a shingle that shares a counter with a frequent one weighs as that one does, in
-every document).
+too, less what other shingles add to a counter on average; a shingle below ``rare``
+documents weighs 1, more frequent ones less (a shingle that shares a counter with a
+frequent one weighs as that one does, in every document).
 
 Each document gets ICWS samples (Ioffe, 2010), banded into keys. Documents with a
 common key whose one-bit sketches of all samples agree are compared by weighted Jaccard
@@ -281,15 +281,21 @@ def shingle_counters(texts: DataFrame):
 
 
 def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
-    """IDF weights from counters over ``n_docs`` texts (column 0). A counter is frequent from
-    ``n_docs / RARE_SHARE`` documents on, and from four times the mean counter on, so
-    that long texts do not make every counter frequent."""
+    """IDF weights from counters over ``n_docs`` texts (column 0).
+
+    What the other shingles add to a counter on average is taken off first, so long
+    texts, which fill all counters, do not make every shingle frequent. What is left
+    estimates the documents of the counter's most frequent shingle: frequent from
+    ``n_docs / RARE_SHARE`` documents on, and from ``RARE_LEAST`` on, as a share cannot
+    be told from a few documents.
+    """
     import numpy as np
     total = shingle_counters(texts)
-    rare = max(RARE_LEAST, math.ceil(n_docs / RARE_SHARE), math.ceil(4 * total.mean()))
-    hot = np.flatnonzero(total >= rare)
+    found = total - (total.sum() - total) / (len(total) - 1)
+    rare = max(RARE_LEAST, math.ceil(n_docs / RARE_SHARE))
+    hot = np.flatnonzero(found >= rare)
     top = math.log1p(n_docs / rare)
-    return Idf(hot.astype(np.uint64), np.maximum(0.05, np.log1p(n_docs / total[hot]) / top))
+    return Idf(hot.astype(np.uint64), np.maximum(0.05, np.log1p(n_docs / found[hot]) / top))
 
 
 # --- links ------------------------------------------------------------------------

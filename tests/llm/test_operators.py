@@ -279,6 +279,23 @@ def test_shared_passage_is_counted_in_every_document(spark):
     assert all(r["class_id"] == r["doc_id"] and r["kept"] for r in got)
 
 
+@pytest.mark.parametrize("background", [0, 5, 500])
+def test_idf_follows_the_share_of_documents_whatever_the_length_of_texts(monkeypatch, background):
+    # counters filled by the other shingles of longer and longer texts
+    import numpy as np
+    n_docs, holders = 100_000, {17: 5_000, 400_000: 40_000, 900_000: 60}
+    total = np.random.default_rng(3).poisson(background, 1 << neardup.SKETCH_BITS).astype(np.int64)
+    for at, n in holders.items():
+        total[at] += n
+    monkeypatch.setattr(neardup, "shingle_counters", lambda texts: total)
+    idf = neardup.document_frequencies(None, n_docs)
+    weights = dict(zip(idf.frequent.tolist(), idf.weights))
+    for at in (17, 400_000):
+        assert weights[at] == pytest.approx(np.log1p(n_docs / holders[at]) / np.log1p(neardup.RARE_SHARE), rel=0.02)
+    others = [w for at, w in weights.items() if at not in holders]
+    assert len(others) <= 100 and min([1.0, *others]) > 0.95
+
+
 # --- 6 -------------------------------------------------------------------------
 
 def within_one_edit(a, b):
