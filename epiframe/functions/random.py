@@ -11,7 +11,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Shifts and multipliers of the mixing steps, as (shift, multiplier).
@@ -74,32 +75,52 @@ def permutation_key(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
 
 
+def permuted_array(x, n, key):
+    """Places of a NumPy int64 array: :func:`permuted` of many numbers at once."""
+    import numpy as np
+    a = np.floor(np.sqrt(n.astype(np.float64))).astype(np.int64) + 1
+    b = n // a + 1
+    out = np.empty_like(x)
+    at, v = np.arange(len(x)), x
+    for _ in range(WALKS + 1):
+        left, right = v // b, v % b
+        for i, f in enumerate(ROUND_FACTORS):
+            y = ((left if i % 2 else right) + key * f % PRIME) % PRIME
+            y = y * y % PRIME
+            if i % 2:
+                right = (right + y) % b
+            else:
+                left = (left + y) % a
+        v = left * b + right
+        out[at] = v
+        beyond = np.flatnonzero(v >= n)
+        if not len(beyond):
+            return out
+        at, v, n, key, a, b = (c[beyond] for c in (at, v, n, key, a, b))
+    raise ValueError("permutation walk too long")
+
+
 def permuted(x: Column, n: Column, key: Column) -> Column:
     """Place of ``x`` (0..n-1) in the order that ``key`` gives 0..n-1.
 
     0..n-1 lies in a grid of a x b > n cells, where every round adds a keyed square of
     one coordinate to the other; a place beyond n is sent through again. A chain longer
     than ``WALKS`` (its chance is about n^(-WALKS/2)) is an error, never a wrong row.
+
+    Runs on Arrow batches: Spark interprets lambda functions of columns node by node. It
+    is marked as not deterministic, though it is, so that a filter on the place does not
+    compute it once more for each time it names it.
     """
-    x, n = x.cast("bigint"), n.cast("bigint")
-    a = F.floor(F.sqrt(n.cast("double"))).cast("bigint") + 1
-    b = F.call_function("div", n, a) + 1
-    rounds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).cast("bigint").alias("f"))
-                       for i, f in enumerate(ROUND_FACTORS)])
-
-    def turn(s: Column, r: Column) -> Column:
-        even = r["i"] % 2 == 0
-        y = (F.when(even, s["r"]).otherwise(s["l"]) + key * r["f"] % PRIME) % PRIME
-        return F.struct(F.when(even, (s["l"] + y * y % PRIME) % a).otherwise(s["l"]).alias("l"),
-                        F.when(even, s["r"]).otherwise((s["r"] + y * y % PRIME) % b).alias("r"))
-
-    def once(v: Column) -> Column:
-        start = F.struct(F.call_function("div", v, b).alias("l"), (v % b).alias("r"))
-        return F.aggregate(rounds, start, turn, lambda s: s["l"] * b + s["r"])
-
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x), lambda v, _: F.when(v < n, v).otherwise(once(v)),
-                      lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("permutation walk too long"))))
-    return out
+    from epiframe.session import ship_package
+    ship_package(SparkSession.active())
+
+    @F.arrow_udf("bigint")
+    def place(x: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
+        if x.null_count or n.null_count or key.null_count:
+            raise ValueError("permutation of NULL")
+        return pa.array(permuted_array(*(c.to_numpy(zero_copy_only=False) for c in (x, n, key))))
+
+    return place.asNondeterministic()(*[c.cast("bigint") for c in (x, n, key)])
 
 
 def permute(x: int, n: int, key: int) -> int:

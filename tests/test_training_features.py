@@ -178,6 +178,18 @@ def test_permutation_is_one_and_equals_python(spark, n):
         assert at == {x: rnd.permute(x, n, k) for x in range(n)}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 10_007])
+def test_permutation_of_arrays_equals_python(n):
+    x, sizes = np.arange(2 * n) % n, np.full(2 * n, n)
+    keys = np.repeat([5, (1 << 28) - 1], n)
+    assert rnd.permuted_array(x, sizes, keys).tolist() == [rnd.permute(a, n, k) for a, k in zip(x.tolist(), keys.tolist())]
+
+
+def test_permutation_of_null_is_an_error(spark):
+    with pytest.raises(Exception, match="permutation of NULL"):
+        spark.range(3).select(rnd.permuted(F.when(F.col("id") < 2, F.col("id")), F.lit(3), F.lit(1))).collect()
+
+
 def test_permutations_differ_and_mix():
     n = 5000
     a, b = ([rnd.permute(x, n, k) for x in range(n)] for k in (77, 78))
@@ -226,6 +238,14 @@ def test_a_later_epoch_needs_no_exchange(spark):
     assert extra == 0
 
 
+def test_places_are_computed_once_a_row_and_not_interpreted(spark):
+    numbered = epochs.numbered_classes(labelled(spark), "c", ["id"], seed=3)
+    stream = epochs.balanced_stream(numbered, "c", 10, 3, 9, seed=3).select("batch", "slot", "epoch", "c", "id")
+    for df in (epochs.epoch_order(numbered, "c", 0, 3), stream):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 # --- exact-size sampling -----------------------------------------------------------
 
 @pytest.mark.parametrize("limit,bits", [(10_000, 12), (3, 4), (1, 2)])
